@@ -34,9 +34,11 @@ def age_days(date: Column | str, as_of: str) -> Column:
 
 
 def age_marker(recurrence: Column | str, days: Column) -> Column:
-    """Recurrence and rough age, such as "×3 · ~2mo"."""
-    age = F.when(days < 14, F.format_string("%dd", days)).when(days < 60, F.format_string("~%dw", (days / 7).cast("int"))).when(days < 730, F.format_string("~%dmo", (days / 30).cast("int"))).otherwise(F.format_string("~%dy", (days / 365).cast("int")))
-    return F.when(col(recurrence) > 1, F.concat(F.lit("×"), col(recurrence).cast("string"), F.lit(" · "), age)).otherwise(age)
+    """How often and how old: "×3 · ~4mo"; nothing for a fresh one-off."""
+    often = F.when(col(recurrence) >= 2, F.concat(F.lit("×"), col(recurrence).cast("string")))
+    months = F.floor(days / 30)
+    old = F.when(days >= 90, F.when(months < 12, F.concat(F.lit("~"), months.cast("string"), F.lit("mo"))).otherwise(F.concat(F.lit("~"), F.bround(days / 365.0).cast("int").cast("string"), F.lit("y"))))
+    return F.concat_ws(" · ", often, old)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

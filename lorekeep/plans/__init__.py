@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lorekeep.plans import q_graph, q_sources  # noqa: F401
+from lorekeep.plans import q_graph, q_retrieval, q_similarity, q_sources  # noqa: F401
 from lorekeep.plans.registry import ORACLES, QUERIES  # noqa: F401
