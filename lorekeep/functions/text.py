@@ -152,4 +152,4 @@ def human(n: Column | str) -> Column:
 def links(text: Column | str) -> Column:
     """Distinct targets of [[target]], [[target|label]] and [[target#part]]."""
     found = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != ""))
