@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lorekeep.plans import q_graph, q_history, q_hygiene, q_retrieval, q_rollups, q_similarity, q_sources  # noqa: F401
+from lorekeep.plans import q_active, q_graph, q_history, q_hygiene, q_retrieval, q_rollups, q_similarity, q_sources  # noqa: F401
 from lorekeep.plans.registry import ORACLES, QUERIES  # noqa: F401
