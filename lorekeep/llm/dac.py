@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import new_path, open_fs, stored
+from lorekeep.llm.shared import new_path, open_fs, partitions, stored
 from lorekeep.llm.tokens import encoder, slices, vocabulary_path
 
 MAGIC = b"LKDAC001"
 BLOCK = 512  # bits of a rank directory entry
 #: Tokens after which a file is closed.
 FILE_TOKENS = 4_000_000
+FILES_A_TASK = 4
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long"
 
 
@@ -174,7 +175,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a manifest."""
-    files = manifest.select("path", "start").repartition("path")
+    # a fixed number of tasks: rows are few and small, their files are not
+    files = manifest.select("path", "start")
+    files = files.repartition(partitions(manifest.sparkSession, files.count(), FILES_A_TASK), "path")
     return files.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
