@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import new_path, open_fs, stored
+from lorekeep.llm.shared import new_path, open_fs, partitions, stored
 from lorekeep.llm.tokens import encoder, slices, vocabulary_path
 
 SEPARATOR = 50256
-BLOCK_BYTES, FILE_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, FILE_BYTES, BLOCKS_A_TASK = 4 << 20, 64 << 20, 8
 
 
 def write_flat(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, dtype: str = "<u2", vocabulary: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -87,7 +87,9 @@ def scan(files: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2", block
     ids = F.floor(F.col("bytes") / width)
     last = F.floor((ids - 1) / block_ids)
     blocks = files.where(ids > 0).select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), ids.alias("ids"))
-    blocks = blocks.select("path", "block", F.least(F.lit(block_ids), F.col("ids") - F.col("block") * block_ids).cast("long").alias("count")).repartition("path", "block")
+    blocks = blocks.select("path", "block", F.least(F.lit(block_ids), F.col("ids") - F.col("block") * block_ids).cast("long").alias("count"))
+    # a fixed number of tasks: rows are few and small, their blocks are not
+    blocks = blocks.repartition(partitions(files.sparkSession, blocks.count(), BLOCKS_A_TASK), "path", "block")
     found = stored(blocks.mapInArrow(search, "path string, block long, found long, tail long, sizes array<long>"), "blocks")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     run = found.select("path", "block", "found", "tail").withColumn("first", F.coalesce(F.sum("found").over(before), F.lit(0))).withColumn("tails", F.coalesce(F.sum("tail").over(before), F.lit(0)))
