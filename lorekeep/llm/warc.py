@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import new_path, open_fs, stored
+from lorekeep.llm.shared import new_path, open_fs, partitions, stored
 
-FILE_BYTES, REVISIT_BYTES, WINDOW = 32 << 20, 1000, 4 << 20
+FILE_BYTES, REVISIT_BYTES, WINDOW, FILES_A_TASK = 32 << 20, 1000, 4 << 20, 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[01]\.\d{1,2}\r\n")
@@ -210,7 +210,9 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path").repartition("path").mapInArrow(run, RECORD)
+    # a fixed number of tasks: rows are few and small, their files are not
+    n = partitions(files.sparkSession, files.count(), FILES_A_TASK)
+    return files.select("path").repartition(n, "path").mapInArrow(run, RECORD)
 
 
 def list_archives(spark: SparkSession, pattern: str) -> DataFrame:
