@@ -141,7 +141,7 @@ def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k:
     """
     sig = notes.where("ntype = 'mistake'").select("project", "stem", "recurrence", F.explode(content_tokens(F.concat_ws(" ", "title", "descr", "prevention"))).alias("tok"))
     n = sig.groupBy("project").agg(F.count_distinct("stem").alias("n"))
-    idf = sig.groupBy("project", "tok").agg(F.count("*").alias("df")).join(F.broadcast(n), "project").select("project", "tok", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
+    idf = sig.groupBy("project", "tok").agg(F.count("*").alias("df")).join(n, "project").select("project", "tok", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
     weighted = sig.join(idf, ["project", "tok"])
     mass = weighted.groupBy("stem").agg(F.sum("w").alias("mass"), F.max("recurrence").alias("recurrence"))
     head = trajectories.select("traj", "project", F.explode(content_tokens(F.substring("text", 1, SCAN_CHARS))).alias("tok"))

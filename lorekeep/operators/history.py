@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days up to which they are broadcast.
+SMALL_ROWS = 100_000
 STATUS_RANK = ["live", "current", "resolved", "superseded"]
 
 
@@ -22,9 +24,9 @@ def conflicts(notes: DataFrame) -> DataFrame:
 
 
 def valid_at(notes: DataFrame, days: DataFrame, start: str = "valid_from", stop: str = "valid_to") -> DataFrame:
-    """(day, stem): notes whose half-open interval holds each day; the days are few and broadcast."""
+    """(day, stem): notes whose half-open interval holds each day; the days are broadcast if they are few."""
     inside = (F.col("day") >= F.col(start)) & (F.col(stop).isNull() | (F.col("day") < F.col(stop)))
-    return notes.join(F.broadcast(days), inside).select("day", "stem")
+    return notes.join(F.broadcast(days) if days.count() <= SMALL_ROWS else days, inside).select("day", "stem")
 
 
 def contradictions(notes: DataFrame) -> DataFrame:

@@ -25,8 +25,9 @@ PREFILTER = 600
 SMALL_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def small(df: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it, or a table that has no fewer rows and is cheaper to count, is within the bound."""
+    return F.broadcast(df) if (df if bound is None else bound).count() <= SMALL_ROWS else df
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -47,7 +48,7 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, ["scope", "term"]).join(F.broadcast(stats), "scope").select("scope", "term", "stem", weight.alias("s"))
+    scored = tf.join(df, ["scope", "term"]).join(stats, "scope").select("scope", "term", "stem", weight.alias("s"))
     return terms.join(scored, ["scope", "term"]).groupBy("qid", "stem").agg(F.sum("s").alias("lex"))
 
 
@@ -110,10 +111,10 @@ def rrf(signals: list[tuple[DataFrame, str, float]]) -> DataFrame:
     return out.groupBy("qid", "stem").agg(F.sum("part").alias("score"))
 
 
-def priors(scores: DataFrame, docs: DataFrame, conf: DataFrame, as_of: str, boost: float = RECUR_FUSION) -> DataFrame:
+def priors(scores: DataFrame, docs: DataFrame, conf: DataFrame, as_of: str, boost: float = RECUR_FUSION, queries: DataFrame | None = None) -> DataFrame:
     """Scores with the ambiguity-scaled recurrence prior and the age, resolution and confidence multiplier."""
     note = docs.select("stem", "date", "recurrence", "resolved", "confidence")
-    both = scores.join(note, "stem").join(small(conf.select("qid", "ambiguity")), "qid", "left")
+    both = scores.join(note, "stem").join(small(conf.select("qid", "ambiguity"), queries), "qid", "left")
     raised = F.col("score") + boost * F.log(F.col("recurrence").cast("double")) * F.coalesce("ambiguity", F.lit(1.0))
     return both.select("qid", "stem", (raised * numbers.salience_multiplier(numbers.age_days("date", as_of), "recurrence", "resolved", "confidence")).alias("score"))
 
@@ -128,24 +129,24 @@ def recency_fallback(docs: DataFrame, k: int) -> DataFrame:
 def prefilter(queries: DataFrame, docs: DataFrame, limit: int = PREFILTER) -> DataFrame:
     """(qid, stem): all candidates of a scope of at most `limit` notes, else the `limit` best by BM25, or by recurrence when nothing matches."""
     size = docs.groupBy("scope").agg(F.count("*").alias("n"))
-    q = queries.select("qid", "scope").join(F.broadcast(size), "scope")
-    whole = docs.select("scope", "stem").join(small(q.where(F.col("n") <= limit)), "scope").select("qid", "stem")
+    q = queries.select("qid", "scope").join(size, "scope")
+    whole = docs.select("scope", "stem").join(small(q.where(F.col("n") <= limit), queries), "scope").select("qid", "stem")
     large = queries.join(q.where(F.col("n") > limit).select("qid"), "qid", "left_semi")
     lexical = top(bm25(large, docs), ["qid"], [F.desc("lex"), "stem"], limit).select("qid", "stem")
     none = large.join(lexical.select("qid").distinct(), "qid", "left_anti").select("qid", "scope")
     often = top(docs, ["scope"], [F.desc("recurrence"), "stem"], limit).select("scope", "stem")
-    return whole.union(lexical).union(often.join(small(none), "scope").select("qid", "stem"))
+    return whole.union(lexical).union(often.join(small(none, queries), "scope").select("qid", "stem"))
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, k: int, as_of: str) -> DataFrame:
     """(qid, stem, score, rank, mode): the injection ranker; newest notes when a query has no signal."""
     sims = similarities(queries, docs)
     conf = confidence(sims)
-    sem = sims.join(small(conf.where("NOT low").select("qid")), "qid").where(F.col("sim") > SIM_FLOOR)
-    scored = priors(fuse(sem, bm25(queries, docs)), docs, conf, as_of)
+    sem = sims.join(small(conf.where("NOT low").select("qid"), queries), "qid").where(F.col("sim") > SIM_FLOOR)
+    scored = priors(fuse(sem, bm25(queries, docs)), docs, conf, as_of, queries=queries)
     hits = top(scored, ["qid"], [F.desc("score"), "stem"], k).select("qid", "stem", "score", "rank", F.lit("fused").alias("mode"))
     silent = queries.select("qid", "scope").join(hits.select("qid").distinct(), "qid", "left_anti")
-    recent = recency_fallback(docs, k).join(small(silent), "scope").select("qid", "stem", F.lit(None).cast("double").alias("score"), "rank", F.lit("recent").alias("mode"))
+    recent = recency_fallback(docs, k).join(small(silent, queries), "scope").select("qid", "stem", F.lit(None).cast("double").alias("score"), "rank", F.lit("recent").alias("mode"))
     return hits.unionByName(recent)
 
 
@@ -154,8 +155,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int, as_of: str) -> DataFrame
     embedded = docs.where("vec IS NOT NULL")
     sims = similarities(queries, embedded)
     conf = confidence(sims)
-    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), bm25(queries, embedded)), embedded, conf, as_of)
-    first = fused.join(small(conf.select("qid", "low")), "qid", "left").select("qid", "stem", "score", F.coalesce("low", F.lit(True)).alias("low"), F.lit(0).alias("tier"))
+    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), bm25(queries, embedded)), embedded, conf, as_of, queries=queries)
+    first = fused.join(small(conf.select("qid", "low"), queries), "qid", "left").select("qid", "stem", "score", F.coalesce("low", F.lit(True)).alias("low"), F.lit(0).alias("tier"))
     second = lex_overlap(queries, docs.where("vec IS NULL")).select("qid", "stem", "score", F.lit(True).alias("low"), F.lit(1).alias("tier"))
     return top(first.unionByName(second), ["qid"], ["tier", F.desc("score"), "stem"], k).select("qid", "stem", "score", "low", "rank")
 
