@@ -1,45 +1,18 @@
-"""Folders that driver and executors share, and tables written there.
-
-Everything a job keeps between steps goes to the folder that the cluster names
-in ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder
-is made and set. Tables are written by Spark's own writer, so a lost executor
-costs a task retry and nothing else.
-"""
+"""What the corpus operators share: tables in the shared folder, files by URI, task counts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not named:
-        named = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from pyspark.sql import SparkSession
 
+from lorekeep.shared import new_path, shared_dir, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts lineage, is computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "open_fs", "partitions", "shared_dir", "stored"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, for executors; a bare path is local."""
-    if "://" not in uri and uri.startswith("file:"):
+    if uri.startswith("file:") and "://" not in uri:
         uri = "file://" + uri[len("file:") :]
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
