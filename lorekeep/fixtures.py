@@ -86,7 +86,13 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spread(df) if name == "documents" else df
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Texts of fewer files than cores are dealt over all cores; larger inputs are read as they lie."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
     @cached_property
     def plain_notes(self) -> DataFrame:
