@@ -1,12 +1,16 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes of a text cuts it where five bits are
-zero, so borders depend on content alone and move with it: an insertion changes
-the chunks around it and no others. A chunk whose digest occurs in a document
+A gear rolling hash over the last 16 bytes of a text cuts it where it exceeds the
+hashes of the 24 bytes before and after, so borders depend on the bytes around
+them alone and move with them: an insertion changes the chunks around it and no
+others, and chunks of 25 bytes or more come without a minimum that would carry a
+difference on from cut to cut. A chunk whose digest occurs in a document
 with a smaller id is a repeat; adjacent repeats form a run. The text on both
 sides of a run is then compared with the text around the first occurrence, which
 gives the passage its true ends (and proves the digest match), and passages of
-`min_words` words or more are reported.
+`min_words` words or more are reported. Each end is compared with the first
+occurrence of the chunk next to it; where the two lie in different documents,
+`first_doc_id` is that of the start.
 
 Repeats inside one document are left alone. Defined cases: null and empty texts
 have no chunks; rows with a null id are not reported and no passage refers to
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import stored
 
-LEAST, MOST, BITS, STEP = 20, 256, 5, 1 << 20
+#: Bytes on either side that a cut's hash exceeds; longest chunk; bytes in one numpy step.
+WIDE, MOST, STEP = 24, 128, 1 << 20
 #: Bytes compared at most on either side of a run; longer than any chunk.
 AROUND = 512
 MIN_WORDS = 50
@@ -47,26 +52,43 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def peaks(h: np.ndarray, own: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `own` whose value exceeds the WIDE values on either side, and places where none of them exceeds it."""
+    padded = np.concatenate((np.zeros(WIDE, h.dtype), h, np.zeros(WIDE, h.dtype)))
+    top, size = padded.copy(), 1
+    while size < WIDE:  # greatest of the last `size` values, up to WIDE
+        step = min(size, WIDE - size)
+        top[step:] = np.maximum(top[step:], top[:-step])
+        size += step
+    at = np.arange(own.start, own.stop)
+    around = np.maximum(top[at + WIDE - 1], top[at + 2 * WIDE])
+    here = padded[at + WIDE]
+    return at[here > around], at[here >= around]
+
+
 def cuts(data: np.ndarray) -> list[int]:
-    """Chunk ends of a whole text, the last one included."""
-    marks: list[int] = []
+    """Chunk ends of a whole text, the last one included.
+
+    Text that repeats itself within WIDE bytes has no peak; where MOST bytes go by
+    without one, the last of the equal places is the cut, in step with the text.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(data), STEP):
-        low = max(0, at - 15)
-        h = gear(data[low : at + STEP])[at - low :]
-        marks.append(np.flatnonzero((h >> np.uint32(11)) & np.uint32((1 << BITS) - 1) == 0) + at + 1)
+        low, stop = max(0, at - WIDE - 15), min(len(data), at + STEP)
+        strict, equal = peaks(gear(data[low : stop + WIDE]), slice(at - low, stop - low))
+        found.append((strict + low + 1, equal + low + 1))
+    if not found:
+        return []
+    marks, ties = (np.concatenate(x) for x in zip(*found, strict=True))
     out, last = [], 0
-    for end in np.concatenate(marks).tolist() if marks else []:
+    for end in [*marks.tolist(), len(data)]:
         while end - last > MOST:
-            last += MOST
+            tie = int(ties[max(0, np.searchsorted(ties, last + MOST, "right") - 1)])
+            last = tie if last + WIDE < tie <= last + MOST else last + MOST
             out.append(last)
-        if end - last >= LEAST:
-            last = end
+        if end > last:
             out.append(end)
-    while len(data) - last > MOST:
-        last += MOST
-        out.append(last)
-    if last < len(data):
-        out.append(len(data))
+            last = end
     return out
 
 
