@@ -10,7 +10,8 @@ sides of a run is then compared with the text around the first occurrence, which
 gives the passage its true ends (and proves the digest match), and passages of
 `min_words` words or more are reported. Each end is compared with the first
 occurrence of the chunk next to it; where the two lie in different documents,
-`first_doc_id` is that of the start.
+`first_doc_id` is that of the start, and the passage need not occur whole in
+one of them.
 
 Repeats inside one document are left alone. Defined cases: null and empty texts
 have no chunks; rows with a null id are not reported and no passage refers to
