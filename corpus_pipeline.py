@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import dac, decontam, mixing, nbsvm, simhash
+from lorekeep.llm import dac, decontam, minhash, mixing, nbsvm
 from lorekeep.llm.shared import new_path
 
 
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    keep = simhash.near_duplicates(docs, shingle=5, radius=4, blocks=7).where("doc_id = component_id").select("doc_id")
+    """The document with the smallest id of each near-duplicate group: links of Jaccard 0.8 or more over five-word shingles."""
+    keep = minhash.near_duplicates(docs, shingle=5, least=0.8).where("doc_id = component_id").select("doc_id")
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 
 
@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
-    ("simhash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("mixing sources", mix),
     ("token files", tokens),
