@@ -78,13 +78,29 @@ def _plain(s: Column) -> Column:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    A sentence may hold a mark that cuts it ("Identifier: MIT", "v. 2.0"), so up
+    to three consecutive pieces are also looked up as one, the first of them whole
+    or by its last line, the last of them whole or by its first line.
+    """
     table = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    inner = lambda s: F.when(s.contains("\n"), F.concat(F.array(s), F.split(s, LINES))).otherwise(F.array(s))
-    units = F.flatten(F.transform(F.split(text, ENDS), inner))
     longest = 3 * max(map(len, sentences.values()))
-    short = F.filter(units, lambda s: F.length(s).between(5, longest))
-    return F.filter(F.transform(short, lambda s: F.element_at(table, _plain(s))), lambda x: x.isNotNull())
+    plain = lambda s: F.when(F.length(s) <= longest, _plain(s)).otherwise("")
+    lines = lambda s: F.when(s.contains("\n"), F.filter(F.transform(F.split(s, LINES), plain), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(F.split(text, ENDS), lambda s: F.struct(plain(s).alias("whole"), lines(s).alias("lines")))
+
+    def names(p: Column, x: Column, i: Column) -> Column:
+        y, z = F.get(p, i + 1), F.get(p, i + 2)
+        heads = [x["whole"], F.get(x["lines"], F.size(x["lines"]) - 1)]
+        ends = lambda last: [last["whole"], F.get(last["lines"], F.lit(0))]
+        tails = ends(y) + [F.concat(y["whole"], F.lit(" "), t) for t in ends(z)]
+        joined = F.array(*[F.concat(h, F.lit(" "), t) for h in heads for t in tails])
+        return F.transform(F.concat(F.array(x["whole"]), x["lines"], joined), lambda s: F.element_at(table, s))
+
+    # the pieces are bound to a variable, so that they are made once a text
+    found = F.transform(F.array(parts), lambda p: F.flatten(F.transform(p, lambda x, i: names(p, x, i))))
+    return F.filter(F.get(found, F.lit(0)), lambda x: x.isNotNull())
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, anchors: list[str] = ANCHORS) -> DataFrame:
