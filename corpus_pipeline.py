@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.llm import dac, decontam, minhash, mixing, nbsvm
-from lorekeep.llm.shared import new_path
+from lorekeep.llm.shared import new_path, stored
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,15 +22,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group: links of Jaccard 0.8 or more over five-word shingles."""
-    keep = minhash.near_duplicates(docs, shingle=5, least=0.8).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each near-duplicate group (links of Jaccard 0.8 or more over five-word shingles), that with the smallest id.
+
+    A null id comes last; rows of one id are told apart by their texts, and of rows equal in both any one is kept.
+    """
+    placed = stored(minhash.groups(docs, shingle=5, least=0.8), "groups")
+    rows = placed.groupBy("id", "h", "root").agg(F.count("*").alias("ties"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "ties")).alias("k"))
+    keep = stored(first.select(F.col("k.id").alias("_keep_id"), F.col("k.h").alias("_keep_h"), F.col("k.ties").alias("_keep_ties")), "keep")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_key() == F.col("_keep_h"))
+    kept = docs.join(keep, same)
+    if keep.where("_keep_ties > 1").isEmpty():
+        return kept.select(*docs.columns)
+    one, more = kept.where("_keep_ties = 1"), kept.where("_keep_ties > 1").dropDuplicates(["_keep_id", "_keep_h"])
+    return one.union(more).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents of which less than a twentieth is benchmark text; a row is judged by its text, whatever its id."""
+    texts = docs.select(text_key().alias("_text_key"), "text")
+    found = decontam.decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_text_key")
+    bad = found.where("contaminated").select("_text_key").distinct()
+    return docs.join(bad, text_key() == F.col("_text_key"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

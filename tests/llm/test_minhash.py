@@ -52,3 +52,18 @@ def test_stage_matches_all_pairs_of_the_table(spark):
     want = brute_roots([grams(r.text) for r in rows])
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
     assert got == {r.doc_id for i, r in enumerate(rows) if want[i] == i}
+
+
+def test_stages_take_null_and_repeated_ids(spark, words):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (1, b), (1, b), (1, b.upper()), (1, c), (None, d), (None, d), (2, d), (None, e), (None, e + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text.lower()[:60]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(i, t[:60]) for i, t in ((None, a), (1, b), (1, c), (2, d), (None, e))], key=str)
+    bad = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(2).collect()]
+    rows = [(None, bad[0]), (None, a), (3, bad[1]), (3, b), (4, c), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, a), (3, b), (4, c), (4, c)], key=str)
