@@ -9,7 +9,8 @@ separator before it.
 Defined cases: ids after the last separator form a document of their own; two
 separators in a row enclose an empty document; bytes at the end that do not make
 a whole id are ignored; an empty file has no document; a null text is written as
-an empty document.
+an empty document; a special token's text is ordinary text here, so no document
+holds a separator of its own; an id that does not fit the width raises.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def write_flat(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([separator], dtype).tobytes()
+        encode, most = encoder(path, plain_specials=True), np.iinfo(dtype).max
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         out, name, ordinal, size = None, "", 0, 0
@@ -42,11 +43,16 @@ def write_flat(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
             keys = batch.column(0).to_pylist()
             for a, b in slices(batch.column(2).to_pylist()):
                 names, ordinals = [], []
-                for ids in encode([t or "" for t in batch.column(1)[a:b].to_pylist()]):
+                ids, counts = encode(batch.column(1).slice(a, b - a))
+                if max(separator, int(ids.max(initial=0))) > most:
+                    raise ValueError(f"an id over {most} does not fit {dtype}")
+                stops = np.cumsum(counts)
+                ids, stops = np.insert(ids, stops, separator).astype(dtype), (stops + np.arange(1, len(stops) + 1)).tolist()
+                for begin, stop in zip([0, *stops], stops, strict=False):
                     if out is None:
                         name, ordinal, size = f"{uuid.uuid4().hex}.ids", 0, 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    data = np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end
+                    data = ids[begin:stop].tobytes()
                     out.write(data)
                     names.append(f"{folder}/{name}")
                     ordinals.append(ordinal)

@@ -5,6 +5,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,16 +15,41 @@ from lorekeep.llm.shared import new_path
 
 @pytest.fixture(scope="module")
 def library():
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def plain_library():
     t = Tokenizer.from_file(tokens.vocabulary_path())
     t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_parts_give_the_ids_of_whole_texts(library, odd_rows):
+def by_text(encode, texts):
+    ids, counts = encode(pa.array(texts))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_pieces_give_the_ids_of_whole_texts(library, plain_library, odd_rows):
     texts = [t or "" for _, t in odd_rows] + [" a", "a ", "\na", "a\n", "a\n\nb", "a \nb", " ", "\n", "a  b", "it's <|endoftext|> x", "　 a b", "a\tb c\x0b d", "x.\r\ny z w"]
-    encode = tokens.encoder(tokens.vocabulary_path())
-    for _ in range(2):  # from the library, then from the cache
-        assert encode(texts) == [array("I", library(t)).tobytes() for t in texts]
+    rng = random.Random(1)
+    signs = ["a", "b ", " ", "\n", "  ", "\t", "'s", "1", "é", "\xa0", "\x85", "\x0b", "\0", "<|endoftext|>", "\r\n", ".", "the", " word", "\x1c"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    for plain, want in ((False, library), (True, plain_library)):
+        encode = tokens.encoder.__wrapped__(tokens.vocabulary_path(), plain)
+        for _ in range(2):  # from the library, then from the cache
+            assert by_text(encode, texts) == [want(t) for t in texts]
+    assert by_text(tokens.encoder(tokens.vocabulary_path()), ["a <|endoftext|> b", None]) == [[64, 220, 50256, 275], []]
+
+
+def test_cache_drops_the_older_generation(monkeypatch, library, words):
+    monkeypatch.setattr(tokens, "CACHED_CHARS", 500)
+    encode = tokens.encoder.__wrapped__(tokens.vocabulary_path())
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words[:400]) for _ in range(60)) for _ in range(3)]
+        assert by_text(encode, texts) == [library(t) for t in texts]
 
 
 def test_codes_round_trip_and_random_access():
@@ -32,7 +58,7 @@ def test_codes_round_trip_and_random_access():
         codes = dac.Codes.encode(ids)
         assert np.array_equal(codes.decode(), ids)
         assert all(codes[int(i)] == ids[i] for i in rng.integers(0, max(1, len(ids)), 200) if len(ids))
-    data = dac.dump([3, None], [2, 1], np.array([7, 300, 2], np.uint32))
+    data = b"".join(dac.dump([3, None], [2, 1], np.array([7, 300, 2], np.uint32)))
     ids, sizes, codes = dac.load(data)
     assert ids == [3, None] and sizes.tolist() == [2, 1] and codes.decode().tolist() == [7, 300, 2]
     with pytest.raises(ValueError):
@@ -46,12 +72,19 @@ def test_token_files_hold_every_document_in_order(spark, odd, odd_rows, none, li
     assert keys == sorted((i for i, _ in odd_rows), key=lambda i: (i is not None, i or 0))
     want = sorted((i is not None, i or 0, len(x := [*library(t), 2]), zlib.crc32(array("I", x).tobytes())) for i, t in odd_rows)
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
-    at = 0
+    text_of = {(len(x), zlib.crc32(array("I", x).tobytes())): x for _, t in odd_rows for x in [[*library(t), 2]]}
+    ids_of, at = {}, 0
     for r in got:
         assert r.start == at
+        ids_of[at] = text_of[r.n_tokens, r.ids_crc32]
         at += r.n_tokens
-    places = spark.createDataFrame([(0,), (at - 1,), (at // 2,)], "position long")
-    assert {r.position for r in dac.token_at(spark, manifest, places).collect()} == {0, at - 1, at // 2}
+    every = [x for r in got for x in ids_of[r.start]]
+    asked = [0, at - 1, *random.Random(1).sample(range(at), 300)]
+    places = spark.createDataFrame([(i,) for i in [*asked, at, at + 10**9]], "position long")
+    for span in (50, dac.FILE_TOKENS):
+        found = dac.token_at(manifest, places, span)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+        assert sorted((r.position, r.token) for r in found.collect()) == sorted((i, every[i]) for i in asked)
     assert dac.encode_table(none).count() == 0
 
 
@@ -72,10 +105,12 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
         assert sorted(got) == sorted(want), block
 
 
-def test_document_counts(odd, odd_rows, none, library):
+def test_document_counts(odd, odd_rows, none, plain_library):
     got = sorted((str(r.doc_id), r.n_tokens) for r in separator_scan.document_counts(odd).collect())
-    assert got == sorted((str(i), len(library(t))) for i, t in odd_rows)
+    assert got == sorted((str(i), len(plain_library(t))) for i, t in odd_rows)
     assert separator_scan.document_counts(none).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        separator_scan.document_counts(odd, dtype="<u1", separator=255)
 
 
 def archive(n, packed=True):
