@@ -8,9 +8,9 @@ dual coordinate descent. A logistic curve fitted on rows that the model has not
 seen turns margins into scores.
 
 The model is fitted on at most `sample` labelled rows (those with the smallest
-hash of their id; documented bound), so model and sample are of fixed size; the
-rows are found by a broadcast of the sampled ids and featurised in tasks. Every
-row of the table is scored from its whole text.
+hash of their id; documented bound), so model and sample are of fixed size, at
+most 8 KB a row; the rows are found by a broadcast of the sampled ids and
+featurised in tasks. Every row of the table is scored from its whole text.
 
 Defined cases: a null text counts as empty and is scored from the bias alone; a
 label other than 0 or 1 is ignored; of contradicting labels of one id the
@@ -35,32 +35,47 @@ STEP = 1 << 20
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct feature numbers: byte 1- to 3-grams, and 2-grams of word shapes."""
+    """Sorted distinct feature numbers: byte 1- to 3-grams, and 4- and 6-grams of word shapes."""
     seen = np.zeros(1 << bits, bool)
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     shift = np.uint32(32 - bits)
-    for at in range(0, len(data), STEP):
-        b = data[at : at + STEP + 16].astype(np.uint32)
-        for n, seed in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35)):
-            if len(b) < n:
-                break
-            h = np.full(len(b) - n + 1, seed, np.uint32)
-            for i in range(n):
-                h = (h ^ b[i : len(b) - n + 1 + i]) * np.uint32(0x01000193)
-            seen[(h * np.uint32(0x9E3779B1)) >> shift] = True
-        # shapes: lower, upper, digit, space, other ASCII, beyond ASCII
-        kind = SHAPES[b]
-        run = kind[np.concatenate(([True], kind[1:] != kind[:-1]))] if len(kind) else kind
-        for n, seed in ((4, 0x27D4EB2F), (6, 0x165667B1)):
-            if len(run) < n:
-                break
-            h = np.full(len(run) - n + 1, seed, np.uint32)
+
+    def mark(values: np.ndarray, grams: tuple[tuple[int, int], ...]) -> None:
+        for n, seed in grams:
+            if len(values) < n:
+                continue
+            h = np.full(len(values) - n + 1, seed, np.uint32)
             for i in range(n):
-                h = (h ^ run[i : len(run) - n + 1 + i]) * np.uint32(0x01000193)
+                h = (h ^ values[i : len(values) - n + 1 + i]) * np.uint32(0x01000193)
             seen[(h * np.uint32(0x9E3779B1)) >> shift] = True
+
+    tail = np.zeros(0, np.uint32)
+    for at in range(0, len(data), STEP):
+        mark(data[at : at + STEP + 2].astype(np.uint32), ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35)))
+        # shapes: lower, upper, digit, space, other ASCII, beyond ASCII; a run of one is one, across steps too
+        kind = SHAPES[data[at : at + STEP]]
+        run = kind[np.concatenate((tail[-1:] != kind[:1] if len(tail) else [True], kind[1:] != kind[:-1]))]
+        run = np.concatenate((tail, run))
+        mark(run, ((4, 0x27D4EB2F), (6, 0x165667B1)))
+        tail = run[-5:]
     return np.flatnonzero(seen).astype(np.uint32)
 
 
+def packed(x: np.ndarray, bits: int = BITS) -> bytes:
+    """A set of features as numbers or as a bitmap, whichever is shorter: at most 2 ** bits / 8 bytes."""
+    if 4 * len(x) < 1 << bits >> 3:
+        return x.astype("<u4").tobytes()
+    held = np.zeros(1 << bits, bool)
+    held[x] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def unpacked(raw: bytes, bits: int = BITS) -> np.ndarray:
+    if len(raw) < 1 << bits >> 3:
+        return np.frombuffer(raw, "<u4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))
+
+
 def _shapes() -> np.ndarray:
     kind = np.full(256, 5, np.uint32)
     kind[:128] = 4
@@ -98,26 +113,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratio(rows: list[bytes], y: np.ndarray, bits: int = BITS, alpha: float = 1.0) -> np.ndarray:
     counts = np.full((2, 1 << bits), alpha)
     for x, label in zip(rows, y, strict=True):
-        counts[int(label), x] += 1
+        counts[int(label), unpacked(x, bits)] += 1
     shares = counts / counts.sum(axis=1, keepdims=True)
     return np.log(shares[1] / shares[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised hinge-loss model; unit vectors plus a constant feature of one."""
-    w, bias = np.zeros(size), 0.0
+def dual_coordinate_descent(rows: list[bytes], r: np.ndarray, y: np.ndarray, bits: int = BITS, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and duality gap (a share of the primal value) of the L2-regularised hinge-loss model.
+
+    A row is its indicators times `r`, at unit length, and a constant feature of one.
+    """
+    w, bias = np.zeros(1 << bits), 0.0
     signs, a = np.where(y > 0, 1.0, -1.0), np.zeros(len(y))
     # the rarer class counts as much as the other
     share = np.array([(y == 0).sum(), (y == 1).sum()], float)
     costs = cost * (len(y) / (2 * share))[y.astype(int)]
+
+    def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = unpacked(rows[i], bits)
+        v = r[x]
+        return x, v / (np.linalg.norm(v) or 1.0)
+
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for i in order.permutation(len(y)):
-            x, v = rows[i], values[i]
+            x, v = vector(i)
             gradient = signs[i] * (w[x] @ v + bias) - 1
             new = min(max(a[i] - gradient / 2.0, 0.0), costs[i])  # |x|^2 + 1 = 2
             if (step := new - a[i]) != 0:
@@ -127,7 +151,10 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
                 worst = max(worst, abs(step))
         if worst < 1e-3:
             break
-    return w, bias
+    norm = w @ w + bias * bias
+    losses = [max(0.0, 1 - signs[i] * (w[x] @ v + bias)) for i in range(len(y)) for x, v in (vector(i),)]
+    primal = norm / 2 + float(costs @ losses)
+    return w, bias, (primal - (a.sum() - norm / 2)) / primal
 
 
 def _logistic(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -145,8 +172,8 @@ def _logistic(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[flo
     return float(b[0]), float(b[1])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
-    """A model from featurised rows and labels; every fifth row only fits the logistic curve."""
+def fit(rows: list[bytes], y: np.ndarray, bits: int = BITS) -> Model:
+    """A model from packed features and labels; every fifth row only fits the logistic curve."""
     none = np.zeros(1 << bits)
     if not len(y) or y.min() == y.max():
         return Model(none, 0.0, 0.0, 0.0, 0.5 if not len(y) else float(y[0]), none)
@@ -154,15 +181,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     if len(set(y[keep])) < 2 or len(set(y[~keep])) < 2:
         keep[:] = True
     train = np.flatnonzero(keep)
-    r = log_count_ratio([rows[i] for i in train], y[train], bits)
-    values = []
-    for i in train:
-        v = r[rows[i]]
-        values.append(v / (np.linalg.norm(v) or 1.0))
-    w, bias = dual_coordinate_descent([rows[i] for i in train], values, y[train], 1 << bits)
+    chosen = [rows[i] for i in train]
+    r = log_count_ratio(chosen, y[train], bits)
+    w, bias, _ = dual_coordinate_descent(chosen, r, y[train], bits)
     model = Model(w * r, bias, 1.0, 0.0, None, r)
     rest = np.flatnonzero(~keep) if not keep.all() else train
-    model.slope, model.offset = _logistic(np.array([model.margin(rows[i]) for i in rest]), y[rest])
+    model.slope, model.offset = _logistic(np.array([model.margin(unpacked(rows[i], bits)) for i in rest]), y[rest])
     return model
 
 
@@ -181,13 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                x = [features(t.as_py()).astype("<u4").tobytes() for t in part.column(1)]
+                x = [packed(features(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary()), part.column(2)], names=["id", "x", "y"])
 
     # the join's small side has `sample` rows at most; repeated document ids add their rows
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.col("_id").cast("string").alias("id"), F.col("_text").alias("text"), F.col("_y").alias("y"))
     got = picked.mapInArrow(run, "id string, x binary, y int").orderBy(F.xxhash64("id"), "id", "x").limit(sample).toPandas()
-    return fit([np.frombuffer(x, "<u4") for x in got["x"]], got["y"].to_numpy(np.int64))
+    return fit(list(got["x"]), got["y"].to_numpy(np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
