@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,6 +250,19 @@ def token_at(manifest: DataFrame, positions: DataFrame, span: int = FILE_TOKENS)
     return found.sortWithinPartitions("path").mapInArrow(fetch, "position long, token long")
 
 
+def placed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """Id and text of the rows of files with `_at`, their place: (length of the name, name, row number); None if `df` is not read from Parquet files.
+
+    Files that Spark writes are named by their partition, so this is the order in which a sorted table was written.
+    """
+    try:
+        meta = df.select(id_col, text_col, F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return None
+    number = F.split("name", "-")[1]
+    return meta.select(id_col, text_col, F.struct(F.length(number).alias("long"), "name", "row").alias("_at"))
+
+
 def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, order: list[Column] | None = None) -> DataFrame:
     """Write the files in the shared folder and read every document back."""
     return read(write(df, new_path(df.sparkSession, "dac"), id_col, text_col, vocabulary, end_id, order))

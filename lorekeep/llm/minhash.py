@@ -1,7 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by the exact Jaccard similarity of word shingles, for the pipeline's SimHash stage.
 
-Texts with equal sets of shingles are one node. BANDS keys of ROWS minimum
-hashes each name the buckets of a node; a pair of similarity 0.8 shares a bucket
+Texts with equal sets of shingles are one node. The first candidates are the pairs
+that SimHash (`simhash.links`, pigeonhole blocks) finds within RADIUS bits. Of
+pairs at a similarity of 0.8 it finds few (ten bits differ in the mean), and keys
+for ten bits would be too many, so minimum hashes complete it: BANDS keys of ROWS
+of them each name the buckets of a node; a pair of similarity 0.8 shares a bucket
 with probability 0.9998. A link is two nodes of a bucket whose sets have a
 Jaccard similarity of `least` or more, measured on the sets themselves (as 64-bit
 hashes) in a join. First every node is compared with one centre of each of its
@@ -24,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm import simhash
 from lorekeep.llm.components import components
 from lorekeep.llm.shared import stored
 
 BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
+#: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
+RADIUS, BLOCKS = 4, 7
 #: Candidate texts up to which their list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 #: Shingles in one numpy step, and in one batch of sets.
@@ -68,15 +74,16 @@ def _prints(size: int):
         for batch in batches:
             nodes, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
             keys = np.zeros((batch.num_rows, BANDS), np.uint64)
+            prints = np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column(2)):
                 held = shingles(text.as_py(), size)
-                nodes[i], sizes[i] = node_of(held), len(held)
+                nodes[i], sizes[i], prints[i] = node_of(held), len(held), simhash.majority(held)
                 if len(held):
                     keys[i] = bands(held)
             edge = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys[sizes > 0].ravel().view(np.int64)))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "fp", "keys"])
 
     return run
 
@@ -115,10 +122,12 @@ def _close(a: str, b: str, least: float):
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
-def links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, root) of every linked node, from bucket rows (key, node, n) and the sets (node, held) of their nodes."""
-    found = None
-    root = None
+def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> DataFrame:
+    """(node, root) of every linked node, from bucket rows (key, node, n), the sets (node, held) of their nodes, and the candidates (u, v)."""
+    found = root = None
+    new = stored(_verified(near, sets, least), "links")
+    if not new.isEmpty():
+        found, root = new, stored(components(new), "roots")
     for star in range(STARS + 1):
         placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = stored(placed.select("key", "node", "n", "root"), "placed")
@@ -142,17 +151,20 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, h, root) of every row: its id, the XXH64 of its text, its component."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, keys array<long>"), "prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>"), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     buckets = nodes.select("node", "h", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
-    asked = stored(buckets.select("h").distinct(), "asked")
+    full = nodes.where("n > 0").select("node", "fp")
+    near = stored(simhash.links(full, RADIUS, BLOCKS).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near")
+    ends = near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "h"), "node").select("h")
+    asked = stored(buckets.select("h").union(ends).distinct(), "asked")
     if asked.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     texts = rows.join(asked, "h", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, held array<long>").dropDuplicates(["node"]), "sets")
-    root = links(buckets.select("key", "node", "n"), sets, least)
+    root = links(buckets.select("key", "node", "n"), sets, least, near)
     return prints.join(root, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 

@@ -239,4 +239,6 @@ def filter_rows(docs: DataFrame, model: Model, text_col: str = "text", threshold
             keep = [shared.value.score(t.as_py()) >= threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by number: a name may hold a dot
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -49,12 +49,16 @@ def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     ends = (ends[shingle - 1 :] - 1).tolist()
-    n = len(starts)
+    hashes = (hash64(joined[s:e], seed) for s, e in zip(starts, ends, strict=True))
+    return majority(np.fromiter(hashes, np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, STEP):
-        hashes = np.fromiter([hash64(joined[s:e], seed) for s, e in zip(starts[at : at + STEP], ends[at : at + STEP], strict=True)], np.uint64, min(STEP, n - at))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
+    for at in range(0, len(hashes), STEP):
+        counts += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(bits.view(np.uint64)[0])
 
 
