@@ -4,19 +4,22 @@ A gear rolling hash over the last 16 bytes of a text cuts it where it exceeds th
 hashes of the 24 bytes before and after, so borders depend on the bytes around
 them alone and move with them: an insertion changes the chunks around it and no
 others, and chunks of 25 bytes or more come without a minimum that would carry a
-difference on from cut to cut. A chunk whose digest occurs in a document
-with a smaller id is a repeat; adjacent repeats form a run. The text on both
-sides of a run is then compared with the text around the first occurrence, which
-gives the passage its true ends (and proves the digest match), and passages of
-`min_words` words or more are reported. Each end is compared with the first
-occurrence of the chunk next to it; where the two lie in different documents,
-`first_doc_id` is that of the start, and the passage need not occur whole in
-one of them.
-
-Repeats inside one document are left alone. Defined cases: null and empty texts
-have no chunks; rows with a null id are not reported and no passage refers to
-them; rows that repeat an id are one document; an empty table gives an empty
-result; other columns of any name are ignored.
+difference on from cut to cut. Text that repeats itself within that reach is cut at
+equal hashes, in step with the text.
+
+A chunk whose 64-bit digest occurs in a document with a smaller id is a repeat.
+Adjacent repeats form a run. A passage cannot hold two whole chunks next to its run
+that are no repeats, so runs that are too short with two neighbours on either side
+are done with. In the others, adjacent chunks that first occur in one document at one
+distance form a chain; the texts on both sides of a chain are compared with those
+around its first occurrence, byte by byte up to AROUND, which gives the passage its
+true ends in that one document. Passages of `min_words` words or more are reported.
+Inside a chain equality rests on the digests of its chunks in a row.
+
+`within` also finds passages that an earlier part of the same document holds.
+Defined cases: null and empty texts have no chunks; rows with a null id are not
+reported and no passage refers to them; rows that repeat an id are one document;
+an empty table gives an empty result; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,18 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import stored
 
 #: Bytes on either side that a cut's hash exceeds; longest chunk; bytes in one numpy step.
 WIDE, MOST, STEP = 24, 128, 1 << 20
-#: Bytes compared at most on either side of a run; longer than any chunk.
-AROUND = 512
+#: Bytes compared at most on either side of a chain; more than two chunks.
+AROUND = 320
 MIN_WORDS = 50
-#: Words of a run that is worth comparing.
-RUN_WORDS = 6
 #: Places up to which the list of texts to look up is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 GEAR = np.frombuffer(np.random.default_rng(20240101).bytes(1024), "<u4")
@@ -70,8 +71,8 @@ def peaks(h: np.ndarray, own: slice) -> tuple[np.ndarray, np.ndarray]:
 def cuts(data: np.ndarray) -> list[int]:
     """Chunk ends of a whole text, the last one included.
 
-    Text that repeats itself within WIDE bytes has no peak; where MOST bytes go by
-    without one, the last of the equal places is the cut, in step with the text.
+    Between two peaks the first equal place more than WIDE bytes on is a cut, again and again:
+    text that repeats itself is cut in whole periods. No chunk is over MOST bytes.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(data), STEP):
@@ -80,12 +81,21 @@ def cuts(data: np.ndarray) -> list[int]:
         found.append((strict + low + 1, equal + low + 1))
     if not found:
         return []
-    marks, ties = (np.concatenate(x) for x in zip(*found, strict=True))
+    marks, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+    ties = np.setdiff1d(equal, marks, assume_unique=True)
     out, last = [], 0
     for end in [*marks.tolist(), len(data)]:
+        if end - last > WIDE and len(ties):
+            k = np.searchsorted(ties, last + WIDE, "right")
+            while k < len(ties) and ties[k] < end:
+                while ties[k] - last > MOST:
+                    last += MOST
+                    out.append(last)
+                last = int(ties[k])
+                out.append(last)
+                k = np.searchsorted(ties, last + WIDE, "right")
         while end - last > MOST:
-            tie = int(ties[max(0, np.searchsorted(ties, last + MOST, "right") - 1)])
-            last = tie if last + WIDE < tie <= last + MOST else last + MOST
+            last += MOST
             out.append(last)
         if end > last:
             out.append(end)
@@ -98,7 +108,13 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return ~space & np.concatenate(([True], space[:-1]))
 
 
-CHUNK = "digest long, doc_id long, start int, size int, words int"
+#: `info` packs what is known of a chunk: its size, its words, those of the two chunks before it and of the two after it.
+CHUNK = "digest long, doc_id long, start int, info int"
+SIZE, WORDS, BEFORE, AFTER = ((0, 255), (8, 127), (15, 255), (23, 255))
+
+
+def _info(part: tuple[int, int], info: str = "info") -> Column:
+    return F.shiftright(info, part[0]).bitwiseAND(part[1])
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +124,9 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
+            columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "size", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "info"])
 
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
@@ -122,7 +138,10 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.concatenate(([0], stop[:-1]))
             hashes = np.fromiter([digest(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)], np.uint64, len(ends)).view(np.int64)
             words = np.add.reduceat(word_starts(data), start, dtype=np.int32)
-            held.append((hashes, np.full(len(ends), key, np.int64), start.astype(np.int32), (stop - start).astype(np.int32), words))
+            edge = np.concatenate((np.zeros(2, np.int32), words, np.zeros(2, np.int32)))
+            before, after = edge[:-4] + edge[1:-3], edge[3:-1] + edge[4:]
+            info = (stop - start).astype(np.int32) | words << WORDS[0] | before << BEFORE[0] | after << AFTER[0]
+            held.append((hashes, np.full(len(ends), key, np.int64), start.astype(np.int32), info))
             rows += len(ends)
             if rows >= 50_000:
                 yield flush()
@@ -132,30 +151,30 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc_id, start, size, words) of every chunk of every text with an id."""
+    """(digest, doc_id, start, info) of every chunk of every text with an id."""
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_chunk, CHUNK)
 
 
-def runs(table: DataFrame) -> DataFrame:
-    """Runs of adjacent chunks that occur in a document with a smaller id, with the first and last chunk's earlier place."""
-    first = table.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").select("digest", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"))
-    repeats = table.join(first, "digest").where("doc_id > f_doc")
+def chains(table: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """Chains (doc_id, chain, start, stop, words, f_doc, f_start) in the runs of repeats that may hold a passage, with their first occurrence."""
+    place = F.min(F.struct("doc_id", "start")).alias("f")
+    first = table.groupBy("digest").agg(place, F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1" if within else "f.doc_id < last")
+    first = first.select("digest", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start"))
+    repeats = table.join(first, "digest").where("doc_id > f_doc OR doc_id = f_doc AND start > f_start" if within else "doc_id > f_doc")
+    repeats = repeats.select("doc_id", "start", (F.col("start") + _info(SIZE)).alias("stop"), "info", "f_doc", "f_start")
     w = Window.partitionBy("doc_id").orderBy("start")
-    stop = F.col("start") + F.col("size")
-    repeats = repeats.withColumn("stop", stop)
-    repeats = repeats.withColumn("run", F.sum(F.when(F.lag("stop").over(w) == F.col("start"), 0).otherwise(1)).over(w))
-    grouped = repeats.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"),
-        F.max("stop").alias("stop"),
-        F.sum("words").alias("words"),
-        F.min_by(F.struct("f_doc", "f_start"), "start").alias("l"),
-        F.max_by(F.struct("f_doc", (F.col("f_start") + F.col("size")).alias("f_stop")), "start").alias("r"),
-    )
-    return grouped.where(F.col("words") >= RUN_WORDS).select("doc_id", "run", "start", "stop", "words", F.col("l.f_doc").alias("l_doc"), F.col("l.f_start").alias("l_at"), F.col("r.f_doc").alias("r_doc"), F.col("r.f_stop").alias("r_at"))
+    far = F.col("f_start") - F.col("start")
+    near = F.lag("stop").over(w) == F.col("start")
+    same = near & (F.lag("f_doc").over(w) == F.col("f_doc")) & (F.lag(far).over(w) == far)
+    repeats = repeats.withColumns({"run": F.sum(F.when(near, 0).otherwise(1)).over(w), "chain": F.sum(F.when(same, 0).otherwise(1)).over(w)})
+    grouped = repeats.groupBy("doc_id", "run", "chain").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(_info(WORDS)).alias("words"), F.min("f_doc").alias("f_doc"), F.min("f_start").alias("f_start"), F.min_by(_info(BEFORE), "start").alias("before"), F.max_by(_info(AFTER), "start").alias("after"))
+    r = Window.partitionBy("doc_id", "run")
+    most = F.sum("words").over(r) + F.min_by("before", "start").over(r) + F.max_by("after", "start").over(r)
+    return grouped.withColumn("most", most).where(F.col("most") >= min_words).select("doc_id", "chain", "start", "stop", "words", "f_doc", "f_start")
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes and word starts that two sides share, counted from the run outwards."""
+    """Bytes and word starts that two sides share, counted from the chain outwards."""
     for batch in batches:
         sizes, words = [], []
         for left, own, other in zip(batch.column("left").to_pylist(), batch.column("own"), batch.column("other"), strict=True):
@@ -168,14 +187,16 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = starts[len(a) - n :] if left else word_starts(np.concatenate((np.frombuffer(b"x", np.uint8), a[:n])))[1:]
             sizes.append(n)
             words.append(int(inner.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("run"), batch.column("left"), pa.array(sizes, pa.int32()), pa.array(words, pa.int32())], names=["doc_id", "run", "left", "more", "more_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chain"), batch.column("left"), pa.array(sizes, pa.int32()), pa.array(words, pa.int32())], names=["doc_id", "chain", "left", "more", "more_words"])
 
 
-def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, stop, n_words, first_doc_id): byte spans that repeat a document with a smaller id."""
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """(doc_id, start, stop, n_words, first_doc_id): byte spans that stand whole in one document with a smaller id (`within`: or earlier in the same)."""
     table = stored(chunks(df, id_col, text_col), "chunks")
-    found = stored(runs(table), "runs")
-    sides = found.select("doc_id", "run", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("at"), F.col("l_doc").alias("o_doc"), F.col("l_at").alias("o_at")), F.struct(F.lit(False).alias("left"), F.col("stop").alias("at"), F.col("r_doc").alias("o_doc"), F.col("r_at").alias("o_at")))).alias("s")).select("doc_id", "run", "s.*")
+    found = stored(chains(table, min_words, within), "chains")
+    end = lambda left, at, o_at: F.struct(F.lit(left).alias("left"), at.alias("at"), o_at.alias("o_at"))
+    ends = F.array(end(True, F.col("start"), F.col("f_start")), end(False, F.col("stop"), F.col("f_start") + F.col("stop") - F.col("start")))
+    sides = found.select("doc_id", "chain", F.col("f_doc").alias("o_doc"), F.explode(ends).alias("s")).select("doc_id", "chain", "o_doc", "s.*")
     places = sides.select("doc_id", "at", "left").union(sides.select("o_doc", "o_at", "left")).distinct()
     places = stored(places, "places")
     if places.count() <= BROADCAST_ROWS:
@@ -183,10 +204,15 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     low = F.greatest(F.col("at") - AROUND, F.lit(0))
     snip = F.when(F.col("left"), F.substring("raw", low + 1, F.col("at") - low)).otherwise(F.substring("raw", F.col("at") + 1, F.lit(AROUND)))
-    snips = stored(raw.join(places, "doc_id").select("doc_id", "at", "left", snip.alias("snip")).dropDuplicates(["doc_id", "at", "left"]), "snips")
-    pairs = sides.join(snips.withColumnRenamed("snip", "own"), ["doc_id", "at", "left"])
-    pairs = pairs.join(snips.select(F.col("doc_id").alias("o_doc"), F.col("at").alias("o_at"), "left", F.col("snip").alias("other")), ["o_doc", "o_at", "left"])
-    more = pairs.select("doc_id", "run", "left", "own", "other").mapInArrow(_common, "doc_id long, run long, left boolean, more int, more_words int")
-    more = more.groupBy("doc_id", "run").agg(F.sum(F.when(F.col("left"), F.col("more")).otherwise(0)).alias("before"), F.sum(F.when(F.col("left"), 0).otherwise(F.col("more"))).alias("after"), F.sum("more_words").alias("more_words"))
-    whole = found.join(more, ["doc_id", "run"]).withColumn("n_words", F.col("words") + F.col("more_words"))
-    return whole.where(F.col("n_words") >= min_words).select(F.col("doc_id").alias(id_col), (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("after")).alias("stop"), "n_words", F.col("l_doc").alias("first_doc_id"))
+    snips = stored(raw.join(places, "doc_id").select("doc_id", "at", "left", snip.alias("snip")), "snips")
+    other = snips.select(F.col("doc_id").alias("o_doc"), F.col("at").alias("o_at"), "left", F.col("snip").alias("other"))
+    pairs = sides.join(other, ["o_doc", "o_at", "left"]).join(snips.withColumnRenamed("snip", "own"), ["doc_id", "at", "left"])
+    more = pairs.select("doc_id", "chain", "left", "own", "other").mapInArrow(_common, "doc_id long, chain long, left boolean, more int, more_words int")
+    # rows that repeat an id have several texts at a place: the longest agreement holds
+    more = more.groupBy("doc_id", "chain", "left").agg(F.max(F.struct("more", "more_words")).alias("m"))
+    side = lambda left: F.sum(F.when(F.col("left") == left, F.col("m.more")).otherwise(0))
+    more = more.groupBy("doc_id", "chain").agg(side(True).alias("before"), side(False).alias("after"), F.sum("m.more_words").alias("more_words"))
+    whole = found.join(more, ["doc_id", "chain"]).withColumn("n_words", F.col("words") + F.col("more_words"))
+    span = whole.where(F.col("n_words") >= min_words).select("doc_id", (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("after")).alias("stop"), "n_words", "f_doc")
+    # chains of one passage reach the same ends; rows that repeat an id repeat theirs
+    return span.groupBy("doc_id", "start", "stop").agg(F.max("n_words").alias("n_words"), F.min("f_doc").alias("first_doc_id")).select(F.col("doc_id").alias(id_col), "start", "stop", "n_words", "first_doc_id")
