@@ -1,13 +1,18 @@
 """WARC archives: a writer that turns repeats into revisits, and a salvage reader.
 
 The writer puts one gzip member per record into files of bounded size. The
-reader checks every record (member checksum, version line, headers, length,
-block digest). After a failed check it searches for the next member that
-inflates to a version line, or the next version line of a plain archive, goes on
-from there, and logs the bytes between as a quarantined gap.
+reader takes any number of records in a member, folded headers, and digests in
+base 32 or hexadecimal. It checks every record (member checksum, version line,
+headers, length, block digest). After a failed check it searches for the next
+member that inflates to a version line, or the next version line of a plain
+archive, goes on from there, and logs the bytes between as a quarantined gap. A
+payload digest is optional in the format, so one that differs or is of no known form
+is a flaw of a record that is kept. A member that inflates to over MOST bytes is a
+gap, so that no archive fills a task's memory.
 
 Files are read in a moving window, one file a task, so memory follows the
-largest record. Defined cases: a null payload is empty; a null url has no target
+largest member. Of several records in a member the first has its length, the others
+none. Defined cases: a null payload is empty; a null url has no target
 header; a null page id is written without one, and revisits any equal payload that
 has an id; rows that repeat the largest page id of equal payloads are all
 responses; an empty table writes nothing; an empty archive has no records and no
@@ -30,10 +35,12 @@ from pyspark.sql import functions as F
 from lorekeep.llm.shared import new_path, open_fs, partitions, stored
 
 FILE_BYTES, REVISIT_BYTES, WINDOW, FILES_A_TASK = 32 << 20, 1000, 4 << 20, 4
+#: Bytes that a member may inflate to.
+MOST = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[01]\.\d{1,2}\r\n")
-RECORD = "path string, offset long, length long, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, gap string"
+RECORD = "path string, offset long, length long, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, flaw string, gap string"
 
 
 def _header(fields: list[tuple[str, object]], version: str = "WARC/1.1") -> bytes:
@@ -104,13 +111,17 @@ class Window:
 
 def _member(w: Window, at: int) -> tuple[bytes, int]:
     """The inflated member at a position and its end; raises on damage."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, held = zlib.decompressobj(31), [], at, 0
     while not z.eof:
-        part = w.get(pos, 1 << 20)
+        if not (part := z.unconsumed_tail):
+            part = w.get(pos, 1 << 20)
+            pos += len(part)
         if not part:
             raise ValueError("member is cut off")
-        out.append(z.decompress(part))
-        pos += len(part)
+        out.append(z.decompress(part, 16 << 20))
+        held += len(out[-1])
+        if held > MOST:
+            raise ValueError(f"member inflates to over {MOST} bytes")
     return b"".join(out), pos - len(z.unused_data)
 
 
@@ -130,34 +141,73 @@ def _plain(w: Window, at: int) -> tuple[bytes, int]:
     return w.get(at, end - at), end
 
 
-def parse(data: bytes) -> dict:
-    """Type, ids, url and payload of one whole record; raises when a check fails."""
-    if not VERSION.match(data):
-        raise ValueError("no version line")
-    head, found, rest = data.partition(b"\r\n\r\n")
-    if not found:
-        raise ValueError("headers have no end")
-    fields = {}
-    for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]:
+def _sha1(said: str) -> str | None:
+    """A labelled SHA-1 in base 32 or hexadecimal as bare lower-case hex; None for other algorithms; raises for what is neither."""
+    kind, _, value = said.partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    raw = base64.b32decode(value.upper())
+    if len(raw) != 20:
+        raise ValueError("not a SHA-1")
+    return raw.hex()
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Headers by lower-case name; a line that begins with white space goes on with the one before it."""
+    fields: dict[str, str] = {}
+    key = ""
+    for line in head.decode("utf-8", "surrogateescape").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and key:
+            fields[key] = f"{fields[key]} {line.strip()}".strip()
+            continue
         key, colon, value = line.partition(":")
         if not colon:
             raise ValueError("header without a colon")
-        fields[key.strip().lower()] = value.strip()
-    length = int(fields.get("content-length", "-1"))
-    if length < 0 or rest[length:] != b"\r\n\r\n":
+        key = key.strip().lower()
+        fields[key] = value.strip()
+    return fields
+
+
+def parse(data: bytes, begin: int = 0) -> tuple[dict, int]:
+    """Type, ids, url and payload of the record at a position, and its end; raises when a check fails."""
+    if not VERSION.match(data, begin):
+        raise ValueError("no version line")
+    cut = data.find(b"\r\n\r\n", begin)
+    if cut < 0:
+        raise ValueError("headers have no end")
+    fields = _fields(data[begin:cut])
+    length = int(fields.get("content-length") or -1)
+    end = cut + 4 + length
+    if length < 0 or data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("length differs")
-    block = rest[:length]
-    if (said := fields.get("warc-block-digest", "").partition(":"))[0] == "sha1" and said[2] != _digest(block)[5:]:
+    block = data[cut + 4 : end]
+    if (said := _sha1(fields.get("warc-block-digest", ""))) and said != hashlib.sha1(block).hexdigest():
         raise ValueError("block digest differs")
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     kind = fields.get("warc-type", "")
     size = int(m[1]) if kind == "revisit" and (m := re.search(rb"\r\nContent-Length:[ \t]*(\d+)", http, re.I)) else len(payload)
-    digest = fields.get("warc-payload-digest", "")
-    bare = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else hashlib.sha1(payload).hexdigest()
-    if kind != "revisit" and bare != hashlib.sha1(payload).hexdigest():
-        raise ValueError("payload digest differs")
-    number = lambda k: int(fields[k]) if k in fields else None
-    return {"record_type": kind, "page_id": number("x-page-id"), "refers_to": number("x-refers-to-page-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": bare, "payload": payload}
+    own, flaw = hashlib.sha1(payload).hexdigest(), None
+    try:
+        digest = _sha1(fields.get("warc-payload-digest", "")) or own
+        if kind != "revisit" and digest != own:
+            digest, flaw = own, "payload digest differs"
+    except ValueError:
+        digest, flaw = own, "payload digest of no known form"
+    number = lambda k: int(fields[k]) if re.fullmatch(r"-?\d{1,18}", fields.get(k, "")) else None
+    url = fields.get("warc-target-uri")
+    url = url if url is None else url.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return {"record_type": kind, "page_id": number("x-page-id"), "refers_to": number("x-refers-to-page-id"), "url": url, "payload_bytes": size, "payload_digest": digest, "payload": payload, "flaw": flaw}, end + 4
+
+
+def records(data: bytes) -> list[dict]:
+    """All records of an inflated member or of one plain record; raises when a check of any fails."""
+    found, at = [], 0
+    while at < len(data) or not found:
+        fields, at = parse(data, at)
+        found.append(fields)
+    return found
 
 
 def salvage(file, size: int) -> Iterator[dict]:
@@ -168,7 +218,7 @@ def salvage(file, size: int) -> Iterator[dict]:
         packed = w.get(at, 3) == GZIP
         try:
             data, end = _member(w, at) if packed else _plain(w, at)
-            fields = parse(data)
+            found = records(data)
         except (ValueError, zlib.error) as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -178,7 +228,8 @@ def salvage(file, size: int) -> Iterator[dict]:
         if bad is not None:
             yield {"offset": bad, "length": at - bad, "gap": why}
             bad = None
-        yield {"offset": at, "length": end - at} | fields
+        for i, fields in enumerate(found):
+            yield {"offset": at, "length": 0 if i else end - at} | fields
         at = end
     if bad is not None:
         yield {"offset": bad, "length": size - bad, "gap": why}
@@ -226,7 +277,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     same = rows.where("key IS NOT NULL").groupBy(F.col("key").alias("k")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     # narrow and read twice by the plan: which keys repeat is a small part of the pages
     same = stored(same, "repeats")
-    rows = rows.join(same, F.col("key") == F.col("k"), "left").select("page_id", "url", "payload", "k", "keep")
+    # a payload without a key meets nothing, in a partition of its own choosing
+    at = F.coalesce("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"), F.lit(" ").cast("binary"), "payload"))))
+    rows = rows.join(same, at == F.col("k"), "left").select("page_id", "url", "payload", "k", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)

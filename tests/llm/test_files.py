@@ -150,6 +150,46 @@ def test_salvage_recovers_what_follows_damage(packed):
     assert list(warc.salvage(Bytes(b""), 0)) == []
 
 
+def salvaged(data):
+    return list(warc.salvage(Bytes(data), len(data)))
+
+
+def test_valid_archives_of_other_writers_have_no_gap():
+    parts, pages = archive(3, packed=False)
+    both = salvaged(warc._gzip(parts[0] + parts[1]) + warc._gzip(parts[2]))
+    assert [r.get("payload") for r in both] == pages and not any("gap" in r for r in both) and both[1]["length"] == 0 and both[1]["offset"] == 0
+    sha = hashlib.sha1(pages[1]).hexdigest()
+    said = warc._digest(pages[1]).encode()
+    block = [x for x in parts[1].split(b"\r\n") if x.startswith(b"WARC-Block-Digest")][0]
+    for change in (
+        lambda d: d.replace(said, f"sha1:{sha}".encode()),
+        lambda d: d.replace(said, f"sha1:{sha.upper()}".encode()),
+        lambda d: d.replace(said, said.lower()),
+        lambda d: d.replace(said, b"md5:abc"),
+        lambda d: d.replace(b"WARC-Target-URI: http://a/1", b"WARC-Target-URI: http://a/1\r\n and\r\n\tmore"),
+        lambda d: d.replace(block, b"WARC-Block-Digest: sha256:00"),
+        lambda d: d.replace(b"X-Page-Id: 1", b"X-Page-Id: 1"),
+    ):
+        for data in (change(parts[1]), warc._gzip(change(parts[1]))):
+            (r,) = salvaged(data)
+            assert r["payload"] == pages[1] and r["payload_digest"] == sha and r["flaw"] is None
+    assert salvaged(parts[1].replace(b"WARC-Target-URI: http://a/1", b"WARC-Target-URI: http://a/1\r\n and"))[0]["url"] == "http://a/1 and"
+    assert salvaged(parts[1].replace(b"X-Page-Id: 1", b"X-Page-Id: own"))[0]["page_id"] is None
+    for wrong in (b"sha1:" + b"A" * 32, b"sha1:???"):
+        (r,) = salvaged(parts[1].replace(said, wrong))
+        assert r["flaw"] and r["payload"] == pages[1] and r["payload_digest"] == sha
+
+
+def test_bombs_and_wrong_blocks_are_gaps(monkeypatch):
+    parts, pages = archive(2)
+    monkeypatch.setattr(warc, "MOST", 1 << 20)
+    got = salvaged(parts[0] + warc._gzip(b"WARC/1.1\r\n" + b"0" * (40 << 20)) + parts[1])
+    assert [r.get("payload") for r in got] == [pages[0], None, pages[1]] and "inflates" in got[1]["gap"]
+    plain, _ = archive(2, packed=False)
+    got = salvaged(plain[0].replace(b"WARC/1.1\r\nx", b"").replace(b"<p>0", b"<p>9") + plain[1])
+    assert ["gap" in r for r in got] == [True, False] and "block digest" in got[0]["gap"]
+
+
 def test_archives_round_trip_with_revisits(spark):
     same = "y" * 1500
     rows = [(1, "u", same), (2, None, same), (3, "u\r\nx", "small"), (4, "u", "small"), (5, "", None), (None, "u", same), (6, "u", "é" * 900), (2, "u", same)]
@@ -160,3 +200,6 @@ def test_archives_round_trip_with_revisits(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
     assert warc.archive(pages.limit(0)).count() == 0
+    # one id with unequal payloads: each is judged by its own
+    twice = spark.createDataFrame([(1, "u", same), (1, "u", same + "z"), (2, "u", same + "z")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(twice).collect()) == [(1, 1500, "response", None), (1, 1501, "revisit", 2), (2, 1501, "response", None)]
