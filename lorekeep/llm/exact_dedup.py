@@ -5,7 +5,9 @@ one space. Each text becomes the SHA-256 digest of that form. A `CuckooIndex`
 decides whether a digest is live: a miss in the filter proves it new, a hit is
 verified against the entries stored in the digest's bucket, and an insertion
 that finds no free slot rebuilds filter and buckets at twice the size from the
-stored keys. Deletion removes the fingerprint with the last live copy.
+stored keys. Deletion removes the fingerprint with the last live copy; where the
+copy that was kept goes and others live on, the index is told which of them is
+kept now from the live rows of that digest.
 
 The index is distributed by digest. Each task first folds its own rows through
 an index (so a text that makes up a third of the corpus leaves each task as one
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from lorekeep.llm.shared import partitions, stored
 
 SLOTS, KICKS, FLUSH, PER_TASK = 4, 200, 400_000, 400_000
+#: Repeated texts up to which their entries are broadcast; more are shuffled.
+BROADCAST_ROWS = 400_000
 WHITE = r"[\x20\x09-\x0D]+"
+#: An entry whose kept copy was deleted has a null `no_id`.
 ENTRY = "digest binary, no_id boolean, keep_id long, keep_row long, live long"
 
 
@@ -104,18 +109,20 @@ class CuckooIndex:
     def insert(self, digest: bytes, rank: tuple, copies: int = 1) -> bool:
         """Add copies of a digest; True when it was not live before. The smallest rank is kept."""
         if (entry := self.find(digest)) is not None:
-            entry[1] = min(entry[1], rank)
+            entry[1] = entry[1] and min(entry[1], rank)
             entry[2] += copies
             return False
         if not self._insert_new([digest, rank, copies]):
             self._grow()
         return True
 
-    def delete(self, digest: bytes, copies: int = 1) -> bool:
-        """Remove copies of a live digest; False when it is not live."""
+    def delete(self, digest: bytes, copies: int = 1, rank: tuple | None = None) -> bool:
+        """Remove copies of a live digest; False when it is not live. If `rank` is the one kept, none is from then on."""
         if (entry := self.find(digest)) is None:
             return False
         entry[2] -= copies
+        if rank == entry[1]:
+            entry[1] = None
         if entry[2] <= 0:
             fingerprint, first, other = self._places(digest)
             self.content[first].remove(entry)
@@ -140,9 +147,9 @@ def _batches(entries: Iterable[list], size: int = 20_000) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([e[0] for e in part], pa.binary()),
-                pa.array([e[1][0] for e in part], pa.bool_()),
-                pa.array([None if e[1][0] else e[1][1] for e in part], pa.int64()),
-                pa.array([e[1][2] for e in part], pa.int64()),
+                pa.array([e[1] and e[1][0] for e in part], pa.bool_()),
+                pa.array([None if not e[1] or e[1][0] else e[1][1] for e in part], pa.int64()),
+                pa.array([e[1] and e[1][2] for e in part], pa.int64()),
                 pa.array([e[2] for e in part], pa.int64()),
             ],
             names=["digest", "no_id", "keep_id", "keep_row", "live"],
@@ -159,7 +166,7 @@ def _fold(flush: int | None):
                 if live > 0:
                     index.insert(digest, _rank(no_id, key, row), live)
                 else:
-                    index.delete(digest, -live)
+                    index.delete(digest, -live, _rank(no_id, key, row))
             if flush and index.size >= flush:
                 yield from _batches(index.entries())
                 index = CuckooIndex()
@@ -181,25 +188,32 @@ def build_index(entries: DataFrame, rows: int) -> DataFrame:
     return entries.mapInArrow(_fold(FLUSH), ENTRY).repartition(n, "digest").mapInArrow(_fold(None), ENTRY)
 
 
-def change_index(index: DataFrame, insert: DataFrame, delete: DataFrame, rows: int) -> DataFrame:
+def change_index(index: DataFrame, insert: DataFrame, delete: DataFrame, live: DataFrame, rows: int) -> DataFrame:
     """`index` after insertions and then deletions (both in the form of `digests`); a digest goes with its last live copy.
 
-    A deletion of a digest that is not live has no effect.
+    `live` are the rows that live on, insertions included; they are read for digests whose kept row was
+    deleted. Row numbers tell rows apart, so those of `index`, `insert` and `live` must come from one
+    numbering. A deletion of a digest that is not live has no effect.
     """
     n = partitions(index.sparkSession, rows, PER_TASK)
     added = index.unionByName(insert).withColumn("_late", F.lit(False))
     both = added.unionByName(delete.withColumn("live", -F.col("live")).withColumn("_late", F.lit(True)))
-    return both.repartition(n, "digest").sortWithinPartitions("_late").drop("_late").mapInArrow(_fold(None), ENTRY)
+    changed = stored(both.repartition(n, "digest").sortWithinPartitions("_late").drop("_late").mapInArrow(_fold(None), ENTRY), "index")
+    lost = changed.where("no_id IS NULL").select("digest", F.col("live").alias("n"))
+    least = live.join(lost, "digest").groupBy("digest", "n").agg(F.min(F.struct("no_id", "keep_id", "keep_row")).alias("k"))
+    return changed.where("no_id IS NOT NULL").union(least.select("digest", "k.no_id", "k.keep_id", "k.keep_row", F.col("n").alias("live")))
 
 
 def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `df`: id, keep_id, group_size, kept, text_sha256."""
     keys = stored(digests(df, id_col, text_col), "digests")
-    index = build_index(keys, keys.count()).select("digest", F.col("keep_id").alias("_keep"), F.col("keep_row").alias("_row"), F.col("live").alias("group_size"))
-    return keys.join(index, "digest").select(
+    # only repeated texts have anything to look up
+    repeats = stored(build_index(keys, keys.count()).where("live > 1").select("digest", F.col("keep_id").alias("_keep"), F.col("keep_row").alias("_row"), F.col("live").alias("_live")), "repeats")
+    repeats = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
+    return keys.join(repeats, "digest", "left").select(
         F.col("keep_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        "group_size",
-        (F.col("keep_row") == F.col("_row")).alias("kept"),
+        F.when(F.col("_row").isNull(), F.col("keep_id")).otherwise(F.col("_keep")).alias("keep_id"),
+        F.coalesce("_live", F.lit(1).cast("long")).alias("group_size"),
+        (F.coalesce("_row", "keep_row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -38,11 +38,16 @@ def test_exact_dedup_matches_brute_force(odd, odd_rows, none):
 
 
 def test_index_follows_changes(spark, odd):
-    entries = exact_dedup.digests(odd)
+    entries = spark.createDataFrame(exact_dedup.digests(odd).collect(), exact_dedup.ENTRY)
     index = exact_dedup.build_index(entries, 14)
-    left = exact_dedup.change_index(index, entries.where("keep_id = 10"), entries.where("keep_id IN (10, 7)"), 14)
-    live = {r.keep_id: r.live for r in left.collect()}
-    assert live[10] == 1 and 7 not in live
+    # a second copy of 10 comes, then both rows named 10 and the long one go; of the copies of 1 the kept one goes
+    more = entries.where("keep_id = 10").withColumn("keep_row", exact_dedup.F.col("keep_row") + 1_000_000)
+    gone = entries.where("keep_id IN (10, 7, 1)")
+    live = entries.join(gone, ["digest", "keep_row"], "left_anti").select(*entries.columns).union(more)
+    left = {r.keep_id: r.live for r in exact_dedup.change_index(index, more, gone, live, 14).collect()}
+    assert left[10] == 1 and 7 not in left and 1 not in left and left[2] == 4
+    again = exact_dedup.build_index(live, 14)
+    assert sorted(map(str, again.collect())) == sorted(map(str, exact_dedup.change_index(index, more, gone, live, 14).collect()))
 
 
 def brute_print(t, shingle):
