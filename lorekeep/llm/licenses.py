@@ -1,14 +1,16 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (and the lines inside them), each is normalised and
-looked up in a table of known licence sentences. The identifiers found, in
-order, are matched against ordered rules: a rule holds when its identifiers occur
-in its order. The table of sentences is fixed and small, so it is an in-plan
-literal; texts are never shuffled.
+A text is cut into sentences (and the lines inside them), each is normalised (the
+lead of a notice, as "this work is licensed under the", to one word) and looked up
+in a table of known licence sentences. The identifiers found, in order, are matched
+against ordered rules: a rule holds when its identifiers occur in its order. The
+tables (`license_table`) are fixed and small, so they are in-plan literals; texts
+are never shuffled.
 
-Defined cases: a null or empty text has no licence; repeated sentences count
-each time; rows are judged one by one, so repeated ids give repeated rows; a null
-id is kept; other columns of any name are ignored.
+Defined cases: a null or empty text has no licence; a sentence that is one line
+counts once, repeated sentences count each time; decoration and white space between
+words have no effect at any length; rows are judged one by one, so repeated ids give
+repeated rows; a null id is kept; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -16,59 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices, normalised.
-SENTENCES = {
-    "mit-notice": "released under the mit license",
-    "mit-notice-2": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-condition": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-notice": "licensed under the apache license version 2 0",
-    "apache-header": "licensed under the apache license version 2 0 the license",
-    "apache-comply": "you may not use this file except in compliance with the license",
-    "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by-nc-notice": "licensed under cc by nc 4 0",
-    "cc-by-notice": "licensed under cc by 4 0",
-    "cc-by-sa-notice": "licensed under cc by sa 4 0",
-    "cc0-notice": "released under cc0 1 0",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
-    "reserved": "all rights reserved",
-}
-#: (licence, identifiers in order); a licence may have several rules.
-RULES = [
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-notice-2"]),
-    ("MIT", ["spdx-mit"]),
-    ("MIT", ["mit-grant", "mit-condition"]),
-    ("Apache-2.0", ["apache-notice"]),
-    ("Apache-2.0", ["spdx-apache"]),
-    ("Apache-2.0", ["apache-header", "apache-comply"]),
-    ("GPL-3.0", ["gpl3-notice"]),
-    ("GPL-3.0", ["spdx-gpl3"]),
-    ("GPL-3.0", ["gpl3-grant", "gpl-warranty"]),
-    ("GPL-2.0", ["gpl2-grant", "gpl-warranty"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
-    ("MPL-2.0", ["mpl2-notice"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
-    ("CC-BY-4.0", ["cc-by-notice"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
-    ("CC0-1.0", ["cc0-notice"]),
-    ("proprietary", ["reserved"]),
-]
-#: Words one of which is in every sentence above; a text without any is not cut.
-ANCHORS = ["licens", "copyright", "permission", "software", "permitted", "released", "rights", "program"]
+from lorekeep.llm.license_table import LEAD, RULES, SENTENCES
+
+#: Words one of which is in every known sentence as it is written; a text without any is not cut.
+ANCHORS = ["licens", "licenc", "copyright", "permission", "software", "permitted", "rights", "program", "source code", "public domain", "warranty", "under "]
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|[\x20\x09\x0B\x0C]*\n[\x20\x09\x0B\x0C\x0D]*\n\s*"
 LINES = r"[\r\n]+"
 
@@ -84,19 +37,25 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     to three consecutive pieces are also looked up as one, the first of them whole
     or by its last line, the last of them whole or by its first line.
     """
-    table = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    longest = 3 * max(map(len, sentences.values()))
-    plain = lambda s: F.when(F.length(s) <= longest, _plain(s)).otherwise("")
-    lines = lambda s: F.when(s.contains("\n"), F.filter(F.transform(F.split(s, LINES), plain), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-    parts = F.transform(F.split(text, ENDS), lambda s: F.struct(plain(s).alias("whole"), lines(s).alias("lines")))
+    table = F.create_map(*[F.lit(x) for s, name in sentences.items() for x in (s, name)])
+    # no known sentence is longer with its lead
+    longest = max(map(len, sentences)) + 80
+    lines = lambda s: F.filter(F.transform(F.split(s, LINES), _plain), lambda x: x != "")
+    several = lambda s: F.when(s.contains("\n") | s.contains("\r"), lines(s)).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.transform(F.split(text, ENDS), lambda s: F.struct(_plain(s).alias("whole"), several(s).alias("lines"))), lambda x: x["whole"] != "")
 
     def names(p: Column, x: Column, i: Column) -> Column:
         y, z = F.get(p, i + 1), F.get(p, i + 2)
-        heads = [x["whole"], F.get(x["lines"], F.size(x["lines"]) - 1)]
-        ends = lambda last: [last["whole"], F.get(last["lines"], F.lit(0))]
-        tails = ends(y) + [F.concat(y["whole"], F.lit(" "), t) for t in ends(z)]
-        joined = F.array(*[F.concat(h, F.lit(" "), t) for h in heads for t in tails])
-        return F.transform(F.concat(F.array(x["whole"]), x["lines"], joined), lambda s: F.element_at(table, s))
+        # a piece of one line is that line
+        own = F.when(F.size(x["lines"]) > 1, x["lines"]).otherwise(F.array().cast("array<string>"))
+        heads = [x["whole"], F.get(own, F.size(own) - 1)]
+        ends = lambda last: [last["whole"], F.when(F.size(last["lines"]) > 1, F.get(last["lines"], F.lit(0)))]
+        short = lambda s: F.when(F.length(s) <= longest, s)
+        middle = short(y["whole"])
+        tails = [short(t) for t in ends(y)] + [F.concat(middle, F.lit(" "), short(t)) for t in ends(z)]
+        joined = F.array(*[F.concat(short(h), F.lit(" "), t) for h in heads for t in tails])
+        found = F.filter(F.concat(F.array(x["whole"]), own, joined), lambda s: F.length(s) <= longest)
+        return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, LEAD, "under ")))
 
     # the pieces are bound to a variable, so that they are made once a text
     found = F.transform(F.array(parts), lambda p: F.flatten(F.transform(p, lambda x, i: names(p, x, i))))
@@ -105,8 +64,6 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, anchors: list[str] = ANCHORS) -> DataFrame:
     """One row per row of `df`: id, licenses (sorted, comma-joined), n_sentences, sentence_ids (comma-joined, in order)."""
-    if lost := [s for s in sentences.values() if not any(a in s for a in anchors)]:
-        raise ValueError(f"no anchor is in {lost[0]!r}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     near = F.lower(text).rlike("|".join(anchors))
     ids = F.when(near, sentence_ids(text, sentences)).otherwise(F.array().cast("array<string>"))

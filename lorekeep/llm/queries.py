@@ -91,14 +91,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> keep THEN 'r
 
 
 def _license_sql() -> str:
-    names = ", ".join(f"('{s}', '{name}')" for name, s in licenses.SENTENCES.items())
+    known = ", ".join(f"('{s}', '{name}')" for s, name in licenses.SENTENCES.items())
     held = ", ".join(f"CASE WHEN regexp_matches(line, ',{',(.*,)?'.join(ids)},') THEN '{name}' END" for name, ids in licenses.RULES)
+    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    ends = ["y", "yf", "y || ' ' || z", "y || ' ' || zf"]
+    joined = ", ".join(f"{h} || ' ' || {e}" for h in ("w", "l") for e in ends)
     return rf"""
-WITH k(s, name) AS (VALUES {names}),
-u AS (SELECT doc_id, i, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?;:]+[\x20\x09-\x0D]+|[\x20\x09\x0B\x0C]*\n[\x20\x09\x0B\x0C\x0D]*\n\s*')) AS s, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.!?;:]+[\x20\x09-\x0D]+|[\x20\x09\x0B\x0C]*\n[\x20\x09\x0B\x0C\x0D]*\n\s*'), 1) AS a FROM (SELECT doc_id, text, 0 AS i FROM documents)),
-v AS (SELECT doc_id, a, 0 AS b, s FROM u UNION ALL
-      SELECT doc_id, a, generate_subscripts(regexp_split_to_array(s, '[\r\n]+'), 1) AS b, unnest(regexp_split_to_array(s, '[\r\n]+')) AS s FROM u WHERE contains(s, chr(10))),
-f AS (SELECT doc_id, a, b, name FROM v JOIN k ON trim(regexp_replace(lower(v.s), '[^a-z0-9]+', ' ', 'g')) = k.s),
+WITH k(s, name) AS (VALUES {known}),
+u AS (SELECT doc_id, generate_subscripts(x, 1) AS a, unnest(x) AS s FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{licenses.ENDS}') AS x FROM documents)),
+p AS (SELECT doc_id, a, {norm.format('s')} AS w, list_filter(list_transform(regexp_split_to_array(s, '[
+]+'), lambda x: {norm.format('x')}), lambda x: x <> '') AS n FROM u),
+m AS (SELECT doc_id, a, w, CASE WHEN len(n) > 1 THEN n ELSE [] END AS n FROM p WHERE w <> ''),
+j AS (SELECT *, n[len(n)] AS l, lead(w) OVER d AS y, lead(n[1]) OVER d AS yf, lead(w, 2) OVER d AS z, lead(n[1], 2) OVER d AS zf FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY a)),
+v AS (SELECT doc_id, a, generate_subscripts(c, 1) AS b, unnest(c) AS s FROM (SELECT doc_id, a, list_concat([w], n, [{joined}]) AS c FROM j)),
+f AS (SELECT doc_id, a, b, name FROM v JOIN k ON regexp_replace(v.s, '{licenses.LEAD}', 'under ') = k.s),
 n AS (SELECT doc_id, count(*) AS n_sentences, string_agg(name, ',' ORDER BY a, b) AS ids FROM f GROUP BY doc_id),
 l AS (SELECT *, ',' || ids || ',' AS line FROM n)
 SELECT d.doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))), ','), '') AS licenses,

@@ -1,47 +1,56 @@
-"""Every known sentence in the punctuation of its licence text."""
+"""Every known sentence as its licence writes it, and texts beyond any limit."""
 
+import re
+
+from lorekeep.llm import license_table as table
 from lorekeep.llm import licenses
 
-CANONICAL = {
-    "mit-notice": "Released under the MIT License.",
-    "mit-notice-2": "Licensed under the MIT License.",
-    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
-    "apache-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-header": 'Licensed under the Apache License, Version 2.0 (the "License");',
-    "apache-comply": "you may not use this file except in compliance with the License.",
-    "apache-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "gpl3-notice": "This work is licensed under the GNU General Public License version 3.",
-    "gpl3-grant": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
-    "gpl2-grant": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
-    "gpl-warranty": "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-notice": "Licensed under CC BY 4.0.",
-    "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
-    "cc0-notice": "Released under CC0 1.0.",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-or-later",
-    "reserved": "All rights reserved.",
-}
+TEXTS = [(name, s) for name, all_ in table.TEXTS.items() for s in all_]
+
+
+def scan(spark, rows):
+    return licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
 
 
 def test_every_sentence_is_found_in_its_usual_form(spark):
-    assert set(CANONICAL) == set(licenses.SENTENCES)
-    rows = [(n, f"{t}{end}") for n, t in CANONICAL.items() for end in ("", "\n\nOther words follow. And more.", "\nprint(1)\n" if n.startswith("spdx") else " Next")]
-    rows += [(n, f"# first line\n# {t}\nimport os\n") for n, t in CANONICAL.items() if n.startswith("spdx")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert [(r.doc_id, r.sentence_ids) for r in got] == [(n, n) for n, _ in rows]
-
-
-def test_headers_give_their_licence(spark):
-    c = CANONICAL
-    rows = [("GPL-3.0", f"{c['gpl3-grant']}\n\n{c['gpl-warranty']}"), ("GPL-2.0", f"{c['gpl2-grant']}\n\n{c['gpl-warranty']}"), ("MPL-2.0", c["mpl2-notice"]), ("Apache-2.0", f"{c['apache-header']}\n{c['apache-comply']}"), ("", "SPDX-License-Identifier: none. MIT")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert [(r.doc_id, r.licenses) for r in got] == [(n, n) for n, _ in rows]
+    ends = ("", ".", ".\n\nOther words follow. And more.", ". Next", ":\n")
+    rows = [(n, f"{s}{end}") for n, s in TEXTS for end in ends]
+    # in lines, as headers are set, with comment marks
+    rows += [(n, "\n".join(f"// {x}" for x in re.findall(r".{1,60}(?:\s|$)", s)) + ".\nint main;\n") for n, s in TEXTS]
+    got = scan(spark, rows)
+    assert all(any(a in s.lower() for a in licenses.ANCHORS) for _, s in TEXTS)
+    # a line of a wrapped sentence may be a notice of its own
+    assert [(r.doc_id, r.sentence_ids) for r in got if r.doc_id not in r.sentence_ids.split(",") or r.sentence_ids.count(r.doc_id) > 1] == []
+
+
+def test_every_name_is_found_in_notices_and_tags(spark):
+    assert len(table.NAMES) >= 70
+    rows = []
+    for licence, names in table.NAMES.items():
+        for name in names:
+            the = "" if name.startswith("The ") else "the "
+            rows += [(licence, f"This project is licensed under {the}{name}."), (licence, f"Some words.\nReleased under {the}{name}.\nMore words"), (licence, f"License: {name}\n"), (licence, f"It is distributed under the terms of {the}{name}. Then text")]
+        rows += [(licence, f"# SPDX-License-Identifier: {licence}\nimport os\n"), (licence, f"SPDX-License-Identifier: {licence}")]
+    got = scan(spark, rows)
+    assert [(r.doc_id, r.licenses, r.sentence_ids) for r in got if (r.licenses, r.sentence_ids, r.n_sentences) != (r.doc_id, r.doc_id, 1)] == []
+
+
+def test_rules_need_their_order(spark):
+    one = {n: all_[0] for n, all_ in table.TEXTS.items()}
+    rows = [(licence, ". ".join(one[i] for i in ids) + ".") for licence, ids in table.ORDERED]
+    got = scan(spark, rows)
+    assert all(r.doc_id in r.licenses.split(",") for r in got)
+    back = [(licence, ". ".join(one[i] for i in reversed(ids)) + ".") for licence, ids in table.ORDERED if len(ids) > 1]
+    assert all(r.doc_id not in r.licenses.split(",") for r in scan(spark, back))
+
+
+def test_decoration_of_any_length_changes_nothing(spark):
+    grant, condition = table.TEXTS["mit-grant"][0], table.TEXTS["mit-condition"][0]
+    stars = "*" * 3000
+    rows = [("MIT", f"{stars}\n" + grant.replace(" ", "  ***  " * 9) + f":\n{stars}\n" + condition.replace(" ", " " * 50) + f".{stars}"), ("MIT", "\n".join(f" * {x}" for x in grant.split()) + f":\n *\n * {condition}."), ("", "x" * 50_000 + " software. " + "y " * 50_000)]
+    assert [(r.doc_id, r.licenses) for r in scan(spark, rows)] == [(n, n) for n, _ in rows]
+
+
+def test_a_line_that_is_its_sentence_counts_once(spark):
+    rows = [("1", "Released under the MIT License\n"), ("2", "Released under the MIT License\nReleased under the MIT License"), ("3", "\nAll rights reserved\n\nAll rights reserved.")]
+    assert [(r.doc_id, str(r.n_sentences)) for r in scan(spark, rows)] == [("1", "1"), ("2", "2"), ("3", "2")]
