@@ -5,12 +5,14 @@ that SimHash (`simhash.links`, pigeonhole blocks) finds within RADIUS bits. Of
 pairs at a similarity of 0.8 it finds few (ten bits differ in the mean), and keys
 for ten bits would be too many, so minimum hashes complete it: BANDS keys of ROWS
 of them each name the buckets of a node; a pair of similarity 0.8 shares a bucket
-with probability 0.9998. A link is two nodes of a bucket whose sets have a
-Jaccard similarity of `least` or more, measured on the sets themselves (as 64-bit
-hashes) in a join. First every node is compared with one centre of each of its
-buckets, for STARS choices of the centre; then with every node of its buckets that
-is still in another component. So all pairs of a bucket are either measured or
-already connected, and a large group of copies costs a few comparisons a node.
+with probability 0.9998. Inside a bucket the minimum hashes themselves (a sketch of 16
+bits each) are compared with numpy: first every node with one centre of its bucket,
+for STARS choices of the centre, then all nodes that are still in different
+components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
+SLACK (three deviations: 0.9987 of the pairs at the limit) leave a task, and a link is
+such a pair whose sets have a Jaccard similarity of `least` or more, measured on the
+sets themselves (as 64-bit hashes) in a join. So all pairs of a bucket are either
+compared or already connected, and a large group of copies gives a few rows a node.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null texts
 and texts without words are one node, linked to no other; ids may be null or
@@ -34,6 +36,8 @@ from lorekeep.llm.shared import stored
 BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
 #: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
 RADIUS, BLOCKS = 4, 7
+#: What a sketch may lack of a similarity; nodes of a bucket in a tile.
+SLACK, TILE = 0.15, 4096
 #: Candidate texts up to which their list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 #: Shingles in one numpy step, and in one batch of sets.
@@ -59,14 +63,14 @@ def node_of(held: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(held.tobytes())
 
 
-def bands(held: np.ndarray) -> list[int]:
-    """The key of each band; no shingles, no keys."""
+def bands(held: np.ndarray) -> tuple[list[int], bytes]:
+    """The key of each band and the sketch; no shingles, no keys."""
     if not len(held):
-        return []
+        return [], b""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(held), STEP):
         least = np.minimum(least, ((held[at : at + STEP] ^ ADD) * FACTOR).min(axis=1))
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], (least >> np.uint64(24)).astype(np.uint16).tobytes()
 
 
 def _prints(size: int):
@@ -75,15 +79,16 @@ def _prints(size: int):
             nodes, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
             keys = np.zeros((batch.num_rows, BANDS), np.uint64)
             prints = np.zeros(batch.num_rows, np.uint64)
+            sketches = [b""] * batch.num_rows
             for i, text in enumerate(batch.column(2)):
                 held = shingles(text.as_py(), size)
                 nodes[i], sizes[i], prints[i] = node_of(held), len(held), simhash.majority(held)
                 if len(held):
-                    keys[i] = bands(held)
+                    keys[i], sketches[i] = bands(held)
             edge = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys[sizes > 0].ravel().view(np.int64)))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "fp", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "n", "fp", "keys", "sketch"])
 
     return run
 
@@ -117,28 +122,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= least * (F.size("held_u") + F.size("held_v") - shared) - 1e-9).select("u", "v")
 
 
-def _close(a: str, b: str, least: float):
-    """Sizes that allow a similarity of `least`."""
-    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+def _compare(star: int | None, least: float):
+    """Rows (key, tile, node, n, root, sketch) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), or all."""
+
+    def group(columns: list) -> Iterator[pa.RecordBatch]:
+        node, n, root = (c.to_numpy() for c in columns[2:5])
+        if len(node) < 2 or (root == root[0]).all():
+            return
+        sketch = np.frombuffer(b"".join(columns[5].to_pylist()), np.uint16).reshape(len(node), -1)
+        agree = int(np.ceil((least - SLACK) * sketch.shape[1]))
+        order = range(len(node) - 1)
+        if star is not None:
+            order = [int(np.argmin((node.view(np.uint64) ^ ADD[star]) * FACTOR[star]))]
+        for i in order:
+            at = np.flatnonzero(root != root[i])
+            at = at if star is not None else at[at > i]
+            low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
+            at = at[low >= least * high - 1e-9]
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= agree]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[at], node[i])), pa.array(np.minimum(node[at], node[i]))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            key, tile = (rows.column(c).to_numpy() for c in (0, 1))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
+            for a, b in zip([0, *edge[:-1]], edge, strict=True) if len(edge) else ():
+                yield from group([c.combine_chunks() for c in rows.slice(a, b - a).columns])
+            rest = rows.slice(edge[-1]) if len(edge) else rows
+        if rest is not None:
+            yield from group([c.combine_chunks() for c in rest.columns])
+
+    return run
 
 
 def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, from bucket rows (key, node, n), the sets (node, held) of their nodes, and the candidates (u, v)."""
+    """(node, root) of every linked node, from bucket rows (key, node, n, sketch), the sets (node, held) of their nodes, and the candidates (u, v)."""
     found = root = None
     new = stored(_verified(near, sets, least), "links")
     if not new.isEmpty():
         found, root = new, stored(components(new), "roots")
-    for star in range(STARS + 1):
+    for star in [*range(STARS), None]:
         placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = stored(placed.select("key", "node", "n", "root"), "placed")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(star))).alias("c")).where("low <> high")
-        if star < STARS:
-            pairs = placed.join(mixed.select("key", "c"), "key").where(F.col("root") != F.col("c.root")).select("node", "n", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"))
-        else:
-            left = placed.join(mixed.select("key"), "key", "left_semi")
-            other = placed.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-            pairs = left.join(other, "key").where("root <> other_root AND node < other").select("node", "n", "other", "other_n")
-        pairs = pairs.where(_close("n", "other_n", least)).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        placed = stored(placed.join(mixed, "key", "left_semi").select("key", "node", "n", "root", "sketch"), "placed")
+        dealt = simhash.tiled(placed, ["key"], "node", TILE).select("key", "tile", "node", "n", "root", "sketch")
+        pairs = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(star, least), "u long, v long")
         new = stored(_verified(pairs, sets, least), "links")
         if new.isEmpty():
             continue
@@ -151,9 +183,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, h, root) of every row: its id, the XXH64 of its text, its component."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>"), "prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    buckets = nodes.select("node", "h", "n", F.explode("keys").alias("key"))
+    prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>, sketch binary"), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    buckets = nodes.select("node", "h", "n", "sketch", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
     full = nodes.where("n > 0").select("node", "fp")
@@ -164,7 +196,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         asked = F.broadcast(asked)
     texts = rows.join(asked, "h", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, held array<long>").dropDuplicates(["node"]), "sets")
-    root = links(buckets.select("key", "node", "n"), sets, least, near)
+    root = links(buckets.select("key", "node", "n", "sketch"), sets, least, near)
     return prints.join(root, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 

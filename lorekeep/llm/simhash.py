@@ -142,6 +142,21 @@ def _join(radius: int):
     return run
 
 
+def tiled(rows: DataFrame, key: list[str], spread: str, tile: int) -> DataFrame:
+    """`rows` with a column `tile`, so that any two rows of a key meet in some tile and none has over about 2 * `tile` rows.
+
+    A key of up to `tile` rows is one tile; rows of a larger one are dealt by a hash of `spread`, and every two parts are a tile.
+    """
+    crowded = rows.groupBy(*key).count().where(F.col("count") > tile).select(*key, F.ceil(F.col("count") / tile).cast("int").alias("parts"))
+    crowded = stored(crowded, "crowded")
+    if crowded.isEmpty():
+        return rows.withColumn("tile", F.lit(0))
+    own = F.pmod(F.xxhash64(spread), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = rows.join(crowded, key, "left").withColumn("other", other).withColumn("own", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(own))
+    return tiles.select(*rows.columns, (F.least("own", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("own", "other")).alias("tile"))
+
+
 def links(nodes: DataFrame, radius: int = 3, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(u, v): a spanning forest, per key, of all pairs of (node, fp) rows within `radius` bits.
 
@@ -151,15 +166,7 @@ def links(nodes: DataFrame, radius: int = 3, blocks: int | None = None, tile: in
     blocks = blocks or radius + 2
     masks = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in _keys(blocks, radius)])
     rows = nodes.select("node", "fp", F.explode(masks).alias("k")).select("k.kind", "k.value", "node", "fp")
-    crowded = rows.groupBy("kind", "value").count().where(F.col("count") > tile).select("kind", "value", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    crowded = stored(crowded, "crowded")
-    if crowded.isEmpty():
-        dealt = rows.withColumn("tile", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-        tiles = rows.join(crowded, ["kind", "value"], "left").withColumn("other", other).withColumn("own", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(own))
-        dealt = tiles.select("kind", "value", "node", "fp", (F.least("own", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("own", "other")).alias("tile"))
+    dealt = tiled(rows, ["kind", "value"], "fp", tile)
     ordered = dealt.select("kind", "value", "tile", "node", "fp").repartition("kind", "value", "tile").sortWithinPartitions("kind", "value", "tile")
     return ordered.mapInArrow(_join(radius), "u long, v long")
 
