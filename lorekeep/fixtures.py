@@ -16,13 +16,15 @@ AS_OF = "2025-01-01"
 #: Produced relation names, by document.
 RELATIONS = ["causes", "caused-by", "fixes", "fixed-by", "depends-on", "requires", "part-of", "alternative-to", "related-to"]
 ETYPES = ["method", "dataset", "paper"]
+#: Consecutive documents whose notes of one project and type are versions of one another; families grow in number with the table.
+FAMILY = 180
 
 BASE_SQL = """
 WITH n0 AS (
   SELECT d.doc_id, d.text, d.lang, d.n_chars, d.source AS project,
     CASE d.doc_id % 3 WHEN 0 THEN 'mistake' WHEN 1 THEN 'pattern' ELSE 'decision' END AS ntype,
     DATE '2024-01-01' + CAST((d.doc_id * 37) % 366 AS INT) AS date,
-    't' || (d.doc_id % 7) AS slug, split_part(d.text, '.', 1) AS title, d.text AS descr,
+    't' || (d.doc_id // 180) AS slug, split_part(d.text, '.', 1) AS title, d.text AS descr,
     CASE WHEN d.doc_id % 3 = 0 THEN split_part(d.text, '.', 2) ELSE '' END AS prevention,
     1 + d.doc_id % 5 AS recurrence, CASE l.quality WHEN 1 THEN 0.9::DOUBLE WHEN 0 THEN 0.4::DOUBLE END AS confidence,
     d.doc_id % 3 = 0 AND d.doc_id % 4 = 0 AS resolved, CAST(e.embedding AS DOUBLE[]) AS vec
@@ -103,7 +105,7 @@ class Tables:
         notes = d.select(
             "doc_id", "text", "lang", "n_chars", F.col("source").alias("project"), kind.alias("ntype"),
             F.date_add(F.lit("2024-01-01").cast("date"), (key * 37 % 366).cast("int")).alias("date"),
-            text_of("t", key % 7).alias("slug"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("descr"),
+            text_of("t", F.floor(key / FAMILY)).alias("slug"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("descr"),
             F.when(key % 3 == 0, F.split_part("text", F.lit("."), F.lit(2))).otherwise("").alias("prevention"),
             (1 + key % 5).alias("recurrence"), F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.4).alias("confidence"),
             ((key % 3 == 0) & (key % 4 == 0)).alias("resolved"),

@@ -143,10 +143,28 @@ def est_tokens(text: Column | str) -> Column:
     return F.floor(F.length(F.coalesce(col(text), F.lit(""))) / 4).cast("long")
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit as a binary fraction, rounded to whole tenths as a float is printed: what lies exactly between goes to the even one."""
+    q, rest, half = F.floor(n / (unit // 10)), n % (unit // 10), unit // 20
+    value = n.cast("double") / unit
+    # the fraction times this power of two is a whole number, so its error can be seen
+    scale = F.when(value < 1024, F.lit(1 << 52)).otherwise(F.lit(1 << 40))
+    error = (value * scale).cast("long").cast("decimal(38,0)") * unit - n.cast("decimal(19,0)") * scale.cast("decimal(18,0)")
+    up = (rest > half) | ((rest == half) & ((error > 0) | ((error == 0) & (q % 2 == 1))))
+    return q + up.cast("long")
+
+
 def human(n: Column | str) -> Column:
-    """11200 as 11.2k."""
-    n = col(n)
-    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.format_string("%.1f", n / 1000), F.lit("k")))
+    """11200 as 11.2k, 12000 as 12k, 999999 as 1M, 950 as it is."""
+    n = col(n).cast("long")
+    size = F.abs(n)
+
+    def short(unit: int, name: str) -> Column:
+        t = _tenths(size, unit)
+        tail = F.when(t % 10 == 0, "").otherwise(F.concat(F.lit("."), (t % 10).cast("string")))
+        return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(t / 10).cast("string"), tail, F.lit(name))
+
+    return F.when(size > 950_000, short(1_000_000, "M")).when(size > 950, short(1000, "k")).otherwise(n.cast("string"))
 
 
 def links(text: Column | str) -> Column:

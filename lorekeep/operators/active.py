@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import flags
 from lorekeep.functions.text import content_tokens
+from lorekeep.shared import stored
 
 SCAN_CHARS, PROMOTE, RETIRE = 20_000, 3, 3
 TAU, TAU_STEP, TAU_MOST = 0.22, 0.06, 0.9
-#: Guards up to which they are broadcast to the actions.
+#: Guards of projects up to which they are broadcast to the actions; more are joined by project.
 SMALL_ROWS = 100_000
+#: Guards of no project in one block: every action is held against each of them, block by block.
+BLOCK_ROWS = 10_000
 
 # Keywords that must all occur in a mistake, and the construct they stand for.
 RULES = [
@@ -34,18 +37,19 @@ RULES = [
     (["yaml", "load"], r"yaml\.load\s*\("),
     (["verify", "false"], r"verify\s*=\s*False"),
 ]
+# Patterns of the guards that come with every store; what to tell of a hit is the caller's.
 PACK = [
-    (r"[!=]=\s*None\b", "compare with `is None` / `is not None`, not `==` / `!=`"),
-    (r"\btype\s*\([^)]{1,40}\)\s*==", "use isinstance() for type checks, not `type(x) ==`"),
-    (r"except\s*:", "catch a specific exception, not a bare `except:`"),
-    (r"\beval\s*\(", "eval() on any dynamic input is remote code execution - avoid it"),
-    (r"\bexec\s*\(", "exec() on any dynamic input is remote code execution - avoid it"),
-    (r"\bos\.system\s*\(", "os.system runs a shell; use subprocess.run([...]) with a list"),
-    (r"pickle\.loads?\s*\(", "pickle on untrusted data is remote code execution; prefer json"),
-    (r"shell\s*=\s*True", "subprocess with shell=True and a string command is injection-prone"),
-    (r"verify\s*=\s*False", "verify=False disables TLS certificate validation"),
-    (r"yaml\.load\s*\(", "use yaml.safe_load(); yaml.load can construct arbitrary objects"),
-    (r"hashlib\.(md5|sha1)\s*\(", "md5/sha1 are unsafe for passwords/signatures; use a strong KDF"),
+    r"[!=]=\s*None\b",
+    r"\btype\s*\([^)]{1,40}\)\s*==",
+    r"except\s*:",
+    r"\beval\s*\(",
+    r"\bexec\s*\(",
+    r"\bos\.system\s*\(",
+    r"pickle\.loads?\s*\(",
+    r"shell\s*=\s*True",
+    r"verify\s*=\s*False",
+    r"yaml\.load\s*\(",
+    r"hashlib\.(md5|sha1)\s*\(",
 ]
 
 
@@ -67,8 +71,15 @@ def guard_scan(actions: DataFrame, guards: DataFrame) -> DataFrame:
     if "tool" in guards.columns:
         scope = scope & (F.col("g_tool").isNull() | (F.col("g_tool") == F.col("tool")))
     hit = scope & F.expr(f"substring(text, 1, {SCAN_CHARS}) RLIKE g_pattern")
-    g = F.broadcast(g) if guards.count() <= SMALL_ROWS else g
-    return actions.join(g, hit).select("action_id", F.col("g_guard_id").alias("guard_id"), F.col("g_status").alias("status"), F.when(F.col("g_status") == "blocking", 0).otherwise(1).alias("place"))
+    everywhere, own = (stored(g.where(c), "guards") for c in ("g_project IS NULL", "g_project IS NOT NULL"))
+    if own.count() <= SMALL_ROWS:
+        own = F.broadcast(own)
+    rows = actions.join(own, (F.col("project") == F.col("g_project")) & hit)
+    blocks = -(-everywhere.count() // BLOCK_ROWS)
+    for i in range(blocks):
+        part = everywhere.where(F.pmod(F.xxhash64("g_guard_id"), F.lit(blocks)) == i)
+        rows = rows.unionByName(actions.join(F.broadcast(part), hit))
+    return rows.select("action_id", F.col("g_guard_id").alias("guard_id"), F.col("g_status").alias("status"), F.when(F.col("g_status") == "blocking", 0).otherwise(1).alias("place"))
 
 
 def guard_lifecycle(guards: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 Queries are a table (qid, scope, text, qvec); candidates a table (scope, stem,
 body, vec, recurrence, ...). A scope is the candidate set of a query: a project,
 or one constant for the whole store. All statistics of BM25 are per scope.
-Postings are kept for the queries' terms only, counted before they are shuffled.
+Postings are kept for the queries' terms only, counted before they are shuffled, and
+stored, so that a call reads and cuts every text once. Scores that several steps read
+are stored too. Statistics of a query are sums and extremes, joined back; no window
+holds all candidates of a query.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import numbers
 from lorekeep.functions.text import token_list, tokens
+from lorekeep.shared import stored
 
 K1, B = 1.5, 0.75
 SIM_FLOOR, NEAR_FLOOR, CROSS_FLOOR, MARGIN = 0.40, 0.15, 0.50, 0.15
@@ -38,32 +42,40 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", "scope", F.explode(tokens("text")).alias("term"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, stem, lex): positive BM25 scores; N, df and mean length are those of the query's scope."""
-    terms = query_terms(queries)
-    asked = small(terms.select("scope", "term").distinct())
+def postings(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(scope, stem, term, tf, dl): the queries' terms in each candidate, and a row without a term for every candidate."""
+    asked = query_terms(queries).select("scope", "term").distinct()
+    asked = asked.union(docs.select("scope").distinct().select("scope", F.lit(None).cast("string").alias("term")))
+    asked = small(stored(asked.select(F.col("scope").alias("s"), F.col("term").alias("t")), "asked"))
     words = docs.select("scope", "stem", token_list("body").alias("w"))
-    stats = words.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    tf = words.select("scope", "stem", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, ["scope", "term"]).groupBy("scope", "term", "stem", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    each = words.select("scope", "stem", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    held = each.join(asked, (F.col("scope") == F.col("s")) & F.col("term").eqNullSafe(F.col("t")))
+    return stored(held.groupBy("scope", "stem", "term", "dl").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(qid, stem, lex): positive BM25 scores; N, df and mean length are those of the query's scope."""
+    index = postings(queries, docs) if index is None else index
+    stats = index.where("term IS NULL").groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = index.where("term IS NOT NULL")
+    df = small(stored(tf.groupBy("scope", "term").agg(F.count("*").alias("df")).join(stats, "scope"), "df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, ["scope", "term"]).join(stats, "scope").select("scope", "term", "stem", weight.alias("s"))
-    return terms.join(scored, ["scope", "term"]).groupBy("qid", "stem").agg(F.sum("s").alias("lex"))
+    scored = tf.join(df, ["scope", "term"]).select("scope", "term", "stem", weight.alias("s"))
+    return query_terms(queries).join(scored, ["scope", "term"]).groupBy("qid", "stem").agg(F.sum("s").alias("lex"))
 
 
-def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def overlap(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(qid, stem, shared): number of distinct query terms in each candidate, when there is one."""
-    terms = query_terms(queries)
-    asked = small(terms.select("scope", "term").distinct())
-    held = docs.select("scope", "stem", F.explode(tokens("body")).alias("term")).join(asked, ["scope", "term"])
-    return terms.join(held, ["scope", "term"]).groupBy("qid", "stem").agg(F.count("*").alias("shared"))
+    index = postings(queries, docs) if index is None else index
+    held = index.where("term IS NOT NULL").select("scope", "term", "stem")
+    return query_terms(queries).join(held, ["scope", "term"]).groupBy("qid", "stem").agg(F.count("*").alias("shared"))
 
 
-def lex_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def lex_overlap(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(qid, stem, score): shared terms over the root of the query's terms, plus the recurrence prior."""
     size = queries.select("qid", F.size(tokens("text")).alias("nq"))
-    shared = overlap(queries, docs).join(small(size), "qid").join(docs.select("stem", "recurrence"), "stem")
+    shared = overlap(queries, docs, index).join(small(size), "qid").join(docs.select("stem", "recurrence"), "stem")
     return shared.select("qid", "stem", (F.col("shared") / F.sqrt("nq") + RECUR_COSINE * F.log(F.col("recurrence").cast("double"))).alias("score"))
 
 
@@ -76,24 +88,37 @@ def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def confidence(sims: DataFrame) -> DataFrame:
-    """(qid, ambiguity, low): how bunched the best similarities are, and whether none stands out of the background."""
-    ranked = sims.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"))))
-    stats = ranked.groupBy("qid").agg(F.max("sim").alias("s1"), F.max(F.when(F.col("r") == 2, F.col("sim"))).alias("s2"), F.percentile("sim", F.lit(0.5)).alias("mid"), F.count("*").alias("n"))
-    ambiguity = F.when(F.col("n") < 2, 1.0).otherwise(F.least(F.lit(1.0), 1 / (1 + AMBIGUITY_K * (F.col("s1") - F.col("s2")))))
-    low = (F.col("s1") < SIM_FLOOR) | ((F.col("n") >= 4) & (F.col("s1") - F.col("mid") < MARGIN))
-    return stats.select("qid", ambiguity.alias("ambiguity"), low.alias("low"))
+    """(qid, ambiguity, low): how bunched the best similarities are, and whether none stands out of the background.
+
+    The median is only held against a limit, for which counts on both sides of it and the values next to it suffice.
+    """
+    best = sims.groupBy("qid").agg(F.max("sim").alias("s1"), F.count("*").alias("n"))
+    sim, limit = F.col("sim"), F.col("s1") - MARGIN
+    both = sims.join(best, "qid").groupBy("qid", "s1", "n").agg(
+        F.count_if(sim == F.col("s1")).alias("firsts"),
+        F.max(F.when(sim < F.col("s1"), sim)).alias("next"),
+        F.count_if(sim > limit).alias("over"),
+        F.min(F.when(sim > limit, sim)).alias("above"),
+        F.max(F.when(sim <= limit, sim)).alias("below"),
+    )
+    s2 = F.when(F.col("firsts") > 1, F.col("s1")).otherwise(F.col("next"))
+    ambiguity = F.when(F.col("n") < 2, 1.0).otherwise(F.least(F.lit(1.0), 1 / (1 + AMBIGUITY_K * (F.col("s1") - s2))))
+    between = (2 * F.col("over") == F.col("n")) & ((F.col("above") + F.col("below")) / 2 > limit)
+    bunched = (2 * F.col("over") > F.col("n")) | F.coalesce(between, F.lit(False))
+    low = (F.col("s1") < SIM_FLOOR) | ((F.col("n") >= 4) & bunched)
+    return both.select("qid", ambiguity.alias("ambiguity"), low.alias("low"))
 
 
 def zscores(scores: DataFrame, value: str, name: str) -> DataFrame:
     """Scores less their mean over the population deviation, per query; a lone score is 1."""
-    w = Window.partitionBy("qid")
-    sd = F.stddev_pop(value).over(w)
-    z = F.when(F.count("*").over(w) == 1, 1.0).otherwise((F.col(value) - F.avg(value).over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
-    return scores.select("qid", "stem", z.alias(name))
+    stats = scores.groupBy("qid").agg(F.count("*").alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    z = F.when(F.col("_n") == 1, 1.0).otherwise((F.col(value) - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd")))
+    return scores.join(stats, "qid").select("qid", "stem", z.alias(name))
 
 
 def fuse(sem: DataFrame, lex: DataFrame, weight: float = SEM_WEIGHT) -> DataFrame:
     """(qid, stem, score): logistic of the weighted z-scores; a missing signal counts as far below."""
+    sem, lex = stored(sem.select("qid", "stem", "sim"), "sem"), stored(lex.select("qid", "stem", "lex"), "lex")
     both = zscores(sem, "sim", "zs").join(zscores(lex, "lex", "zl"), ["qid", "stem"], "full")
     z = weight * F.coalesce("zs", F.lit(MISSING)) + F.coalesce("zl", F.lit(MISSING))
     return both.select("qid", "stem", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
@@ -126,38 +151,78 @@ def recency_fallback(docs: DataFrame, k: int) -> DataFrame:
     return top(newest, ["scope"], ["kind", "r"], k).select("scope", "stem", "rank")
 
 
-def prefilter(queries: DataFrame, docs: DataFrame, limit: int = PREFILTER) -> DataFrame:
+def prefilter(queries: DataFrame, docs: DataFrame, limit: int = PREFILTER, lex: DataFrame | None = None) -> DataFrame:
     """(qid, stem): all candidates of a scope of at most `limit` notes, else the `limit` best by BM25, or by recurrence when nothing matches."""
     size = docs.groupBy("scope").agg(F.count("*").alias("n"))
-    q = queries.select("qid", "scope").join(size, "scope")
+    q = stored(queries.select("qid", "scope").join(size, "scope"), "sizes")
     whole = docs.select("scope", "stem").join(small(q.where(F.col("n") <= limit), queries), "scope").select("qid", "stem")
-    large = queries.join(q.where(F.col("n") > limit).select("qid"), "qid", "left_semi")
-    lexical = top(bm25(large, docs), ["qid"], [F.desc("lex"), "stem"], limit).select("qid", "stem")
-    none = large.join(lexical.select("qid").distinct(), "qid", "left_anti").select("qid", "scope")
+    large = q.where(F.col("n") > limit).select("qid", "scope")
+    if large.isEmpty():
+        return whole
+    scores = bm25(queries.join(large.select("qid"), "qid", "left_semi"), docs) if lex is None else lex.join(large.select("qid"), "qid", "left_semi")
+    lexical = stored(top(scores, ["qid"], [F.desc("lex"), "stem"], limit).select("qid", "stem"), "lexical")
+    none = large.join(lexical.select("qid").distinct(), "qid", "left_anti")
     often = top(docs, ["scope"], [F.desc("recurrence"), "stem"], limit).select("scope", "stem")
     return whole.union(lexical).union(often.join(small(none, queries), "scope").select("qid", "stem"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int, as_of: str) -> DataFrame:
-    """(qid, stem, score, rank, mode): the injection ranker; newest notes when a query has no signal."""
-    sims = similarities(queries, docs)
-    conf = confidence(sims)
+def narrow(docs: DataFrame) -> DataFrame:
+    """Candidates without their texts, stored: what every step but the postings reads."""
+    return stored(docs.drop("body", "text"), "candidates")
+
+
+def expand(hits: DataFrame, notes: DataFrame, links: DataFrame | None, relations: DataFrame | None, k: int) -> DataFrame:
+    """Hits (qid, stem, score, rank, mode) and, behind them, up to `k` notes that they link to or that share a relation's target."""
+    near = None
+    if links is not None:
+        near = hits.select("qid", "stem", "rank").join(links.select("stem", "target"), "stem").select("qid", F.col("target").alias("other"), "rank", F.lit("link").alias("mode"))
+    if relations is not None:
+        # the newest notes of a target, before the hits meet them
+        newest = top(relations.select("stem", "target").distinct().join(notes.select("stem", "date"), "stem"), ["target"], [F.desc("date"), F.desc("stem")], k + 1, "r").select("target", F.col("stem").alias("other"))
+        shared = hits.select("qid", "stem", "rank").join(relations.select("stem", "target").distinct(), "stem").join(newest, "target").where("stem <> other").select("qid", "other", "rank", F.lit("relation").alias("mode"))
+        near = shared if near is None else near.unionByName(shared)
+    if near is None:
+        return hits
+    known = notes.select(F.col("stem").alias("other")).distinct()
+    fresh = near.join(known, "other", "left_semi").join(hits.select("qid", F.col("stem").alias("other")), ["qid", "other"], "left_anti")
+    first = fresh.groupBy("qid", "other").agg(F.min(F.struct("rank", "mode")).alias("m"))
+    behind = top(first.select("qid", F.col("other").alias("stem"), "m.rank", "m.mode"), ["qid"], ["rank", "stem"], k, "at")
+    last = hits.groupBy("qid").agg(F.max("rank").alias("last"))
+    return hits.unionByName(behind.join(last, "qid").select("qid", "stem", F.lit(None).cast("double").alias("score"), (F.col("last") + F.col("at")).alias("rank"), "mode"))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int, as_of: str, limit: int = PREFILTER, salience: DataFrame | None = None, links: DataFrame | None = None, relations: DataFrame | None = None, more: int = 2) -> DataFrame:
+    """(qid, stem, score, rank, mode): the injection ranker; newest notes when a query has no signal.
+
+    In a scope of over `limit` notes a query's candidates are its `limit` best by BM25. `salience` (stem,
+    salience) raises scores by the notes' place in the graph; `links` (stem, target) and `relations` (stem,
+    target) add up to `more` notes behind each query's hits.
+    """
+    queries, note, index = stored(queries, "queries"), narrow(docs), postings(queries, docs)
+    lex = stored(bm25(queries, note, index), "lex")
+    kept = prefilter(queries, note, limit, lex)
+    sims = stored(similarities(queries, note).join(kept, ["qid", "stem"], "left_semi"), "sims")
+    conf = stored(confidence(sims), "confidence")
     sem = sims.join(small(conf.where("NOT low").select("qid"), queries), "qid").where(F.col("sim") > SIM_FLOOR)
-    scored = priors(fuse(sem, bm25(queries, docs)), docs, conf, as_of, queries=queries)
-    hits = top(scored, ["qid"], [F.desc("score"), "stem"], k).select("qid", "stem", "score", "rank", F.lit("fused").alias("mode"))
+    scored = priors(fuse(sem, lex.join(kept, ["qid", "stem"], "left_semi")), note, conf, as_of, queries=queries)
+    if salience is not None:
+        scored = scored.join(salience.select("stem", "salience"), "stem", "left").select("qid", "stem", (F.col("score") * (1 + F.coalesce("salience", F.lit(0.0)))).alias("score"))
+    hits = stored(top(scored, ["qid"], [F.desc("score"), "stem"], k).select("qid", "stem", "score", "rank", F.lit("fused").alias("mode")), "hits")
     silent = queries.select("qid", "scope").join(hits.select("qid").distinct(), "qid", "left_anti")
-    recent = recency_fallback(docs, k).join(small(silent, queries), "scope").select("qid", "stem", F.lit(None).cast("double").alias("score"), "rank", F.lit("recent").alias("mode"))
-    return hits.unionByName(recent)
+    recent = recency_fallback(note, k).join(small(silent, queries), "scope").select("qid", "stem", F.lit(None).cast("double").alias("score"), "rank", F.lit("recent").alias("mode"))
+    return expand(hits, note, links, relations, more).unionByName(recent)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, as_of: str) -> DataFrame:
     """(qid, stem, score, low, rank): the search ranker over embedded notes, then text-only notes by overlap."""
-    embedded = docs.where("vec IS NOT NULL")
-    sims = similarities(queries, embedded)
-    conf = confidence(sims)
-    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), bm25(queries, embedded)), embedded, conf, as_of, queries=queries)
+    queries, note, index = stored(queries, "queries"), narrow(docs), postings(queries, docs)
+    embedded, plain = note.where("vec IS NOT NULL"), note.where("vec IS NULL")
+    part = lambda rows: index.join(rows.select("stem"), "stem", "left_semi")
+    sims = stored(similarities(queries, embedded), "sims")
+    conf = stored(confidence(sims), "confidence")
+    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), bm25(queries, embedded, part(embedded))), embedded, conf, as_of, queries=queries)
     first = fused.join(small(conf.select("qid", "low"), queries), "qid", "left").select("qid", "stem", "score", F.coalesce("low", F.lit(True)).alias("low"), F.lit(0).alias("tier"))
-    second = lex_overlap(queries, docs.where("vec IS NULL")).select("qid", "stem", "score", F.lit(True).alias("low"), F.lit(1).alias("tier"))
+    second = lex_overlap(queries, plain, part(plain)).select("qid", "stem", "score", F.lit(True).alias("low"), F.lit(1).alias("tier"))
     return top(first.unionByName(second), ["qid"], ["tier", F.desc("score"), "stem"], k).select("qid", "stem", "score", "low", "rank")
 
 

@@ -1,7 +1,8 @@
 """Near-duplicates, clusters, consolidation, forgetting.
 
-Candidate pairs come from an equi-join on shared tokens inside one (project,
-ntype), so two notes meet only through a token they share. Greedy clustering is
+Candidate pairs are those with a close cosine, found exactly by comparing tiles of
+vectors, inside one (project, ntype) or over the whole store; the twin model reads
+texts of these pairs only. Greedy clustering is
 the lexicographically first maximal independent set: in a round every undecided
 note without an undecided better neighbour becomes a seed and takes its undecided
 neighbours; members go to their best adjacent seed after the last round.
@@ -37,18 +38,81 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+#: Vectors in a tile; two tiles are compared in one task.
+TILE = 2048
+
+
+def close_pairs(left: DataFrame, least: float, right: DataFrame | None = None, by: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """(stem_a, stem_b, sim) of all pairs with a cosine of `least` or more inside each group of `by` (null: the whole table).
+
+    Within one table stem_a < stem_b; with `right`, a is of `left`, b of `right`, and a note does not meet
+    itself. Exact: the vectors of a group are dealt into tiles, every two tiles are compared in a task of
+    their own, and only close pairs leave it.
+    """
+    by = by or []
+
+    def narrow(df: DataFrame, name: str) -> DataFrame:
+        d = df.where("vec IS NOT NULL").select(*by, "stem", F.col("vec").cast("array<double>").alias("vec"))
+        parts = d.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / tile), F.lit(1)).cast("int").alias(name))
+        whole = d.join(F.broadcast(parts), F.lit(True)) if not by else d.join(parts, by)
+        return whole.withColumn("own", F.pmod(F.xxhash64("stem"), F.col(name)).cast("int"))
+
+    a = stored(narrow(left, "n_a"), "vectors")
+    if right is None:
+        other = F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("other")
+        dealt = a.select(*by, "stem", "vec", "own", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "left": F.col("own") <= F.col("other")})
+    else:
+        b = stored(narrow(right, "n_b"), "vectors")
+        sizes = (x.select(*by, n).distinct() for x, n in ((a, "n_a"), (b, "n_b")))
+        na, nb = sizes
+        meet = (lambda x, n: x.join(n, by)) if by else (lambda x, n: x.join(F.broadcast(n), F.lit(True)))
+        one = meet(a, nb).select(*by, "stem", "vec", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("j"), F.lit(True).alias("left"))
+        two = meet(b, na).select(*by, "stem", "vec", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
+        dealt = one.unionByName(two)
+    within = right is None
+
+    def unit(values: pd.Series) -> np.ndarray:
+        m = np.array(values.tolist(), float)
+        norm = np.linalg.norm(m, axis=1)
+        return m / np.where(norm > 0, norm, 1.0)[:, None]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[pdf["left"]].reset_index(drop=True)
+        y = x if within and pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf[~pdf["left"]].reset_index(drop=True)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"stem_a": [], "stem_b": [], "sim": []}).astype({"stem_a": str, "stem_b": str, "sim": float})
+        sim = unit(x["vec"]) @ unit(y["vec"]).T
+        i, j = np.nonzero(sim >= least - 1e-12)
+        names, others = x["stem"].to_numpy(object)[i], y["stem"].to_numpy(object)[j]
+        if y is x:
+            keep = names < others
+        elif within:
+            keep = names != others
+            names, others = np.where(names < others, names, others), np.where(names < others, others, names)
+        else:
+            keep = names != others
+        return pd.DataFrame({"stem_a": names[keep], "stem_b": others[keep], "sim": sim[i, j][keep]})
+
+    return dealt.groupBy(*by, "i", "j").applyInPandas(compare, "stem_a string, stem_b string, sim double")
+
+
+def side(notes: DataFrame, s: str) -> DataFrame:
+    """What the twin model asks of a note, for side `s` of a pair: word sets are made once a note."""
+    words = {"words": twin_words(F.concat_ws(" ", "title", "descr")), "heads": twin_words("title"), "size": F.greatest(F.lit(1), F.length("title") + F.length("descr"))}
+    n = notes.withColumns(words)
+    return n.select(*[F.col(c).alias(f"{c}_{s}") for c in ("stem", "words", "heads", "size", "ents", "vec", "toks")])
+
+
 def twin_features(pairs: DataFrame) -> DataFrame:
-    """Pairs with title_, descr_, ents_ and vec_ columns of sides a and b gain the five features."""
-    words = lambda s: twin_words(F.concat_ws(" ", f"title_{s}", f"descr_{s}"))
-    size = lambda s: F.greatest(F.lit(1), F.length(f"title_{s}") + F.length(f"descr_{s}"))
+    """Pairs with both sides joined in gain the five features."""
     small = F.least(F.size("ents_a"), F.size("ents_b"))
     return pairs.withColumns(
         {
             "f_cos": numbers.cosine("vec_a", "vec_b"),
-            "f_words": jaccard(words("a"), words("b")),
-            "f_title": jaccard(twin_words("title_a"), twin_words("title_b")),
+            "f_words": jaccard(F.col("words_a"), F.col("words_b")),
+            "f_title": jaccard(F.col("heads_a"), F.col("heads_b")),
             "f_entities": F.when(small > 0, F.size(F.array_intersect("ents_a", "ents_b")) / small).otherwise(0.0),
-            "f_length": F.least(size("a"), size("b")) / F.greatest(size("a"), size("b")),
+            "f_length": F.least("size_a", "size_b") / F.greatest("size_a", "size_b"),
         }
     )
 
@@ -61,47 +125,43 @@ def twin_probability() -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))))
 
 
-def side(notes: DataFrame, s: str) -> DataFrame:
-    return notes.select("project", "ntype", *[F.col(c).alias(f"{c}_{s}") for c in ("stem", "title", "descr", "ents", "vec")])
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """(stem_a, stem_b) of one (project, ntype) that share a token of column `toks`; within one table a < b."""
-    a = left.select("project", "ntype", F.col("stem").alias("stem_a"), F.explode("toks").alias("tok"))
-    b = (left if right is None else right).select("project", "ntype", F.col("stem").alias("stem_b"), F.explode("toks").alias("tok"))
-    pairs = a.join(b, ["project", "ntype", "tok"]).where("stem_a < stem_b" if right is None else "stem_a <> stem_b")
-    return pairs.select("stem_a", "stem_b").distinct()
-
+def scored_pairs(left: DataFrame, right: DataFrame | None = None, prefilter: float = PREFILTER_SIM) -> DataFrame:
+    """Pairs of one (project, ntype) above the prefilter, with features and twin probability `p`.
 
-def scored_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs of embedded notes with features and twin probability `p`."""
-    left = left.where("vec IS NOT NULL")
-    other = left if right is None else right.where("vec IS NOT NULL")
-    pairs = candidate_pairs(left, None if right is None else other)
-    both = pairs.join(side(left, "a").drop("project", "ntype"), "stem_a").join(side(other, "b").drop("project", "ntype"), "stem_b")
+    Columns: stem, project, ntype, title, descr, ents, vec, toks. Cosines come first, over vectors alone;
+    texts are joined in for the close pairs only. Within one table a pair also shares a token of `toks`.
+    """
+    near = stored(close_pairs(left, prefilter, right, ["project", "ntype"]), "close")
+    both = near.join(side(left, "a"), "stem_a").join(side(left if right is None else right, "b"), "stem_b")
+    if right is None:
+        both = both.where(F.arrays_overlap("toks_a", "toks_b"))
     return twin_features(both).withColumn("p", twin_probability())
 
 
 def near_dup_pairs(notes: DataFrame, merge: float = MERGE_SIM, prefilter: float = PREFILTER_SIM, twin: float = TWIN_P) -> DataFrame:
     """(stem_a, stem_b, sim): duplicates by cosine alone, or by cosine and the twin model."""
-    hit = scored_pairs(notes).where((F.col("f_cos") >= merge) | ((F.col("f_cos") >= prefilter) & (F.col("p") >= twin)))
+    hit = scored_pairs(notes, prefilter=min(merge, prefilter)).where((F.col("f_cos") >= merge) | ((F.col("f_cos") >= prefilter) & (F.col("p") >= twin)))
     return hit.select("stem_a", "stem_b", F.col("f_cos").alias("sim"))
 
 
-def write_near_dup(new: DataFrame, live: DataFrame, prefilter: float = PREFILTER_SIM, twin: float = TWIN_P, best: int = WRITE_BEST) -> DataFrame:
-    """(stem_a, stem_b, p, rank): the best live twins of each new note."""
-    hit = scored_pairs(new, live).where((F.col("f_cos") >= prefilter) & (F.col("p") >= twin))
+def write_near_dup(new: DataFrame, live: DataFrame, prefilter: float = PREFILTER_SIM, twin: float = TWIN_P, best: int = WRITE_BEST, cosine: float | None = None) -> DataFrame:
+    """(stem_a, stem_b, p, rank): the best live twins of each new note, among all notes of its project and type.
+
+    With `cosine` (WRITE_SIM is the calibrated value) the twin model is not asked, and p is the cosine.
+    """
+    if cosine is not None:
+        hit = close_pairs(new, cosine, live, ["project", "ntype"]).select("stem_a", "stem_b", F.col("sim").alias("p"))
+    else:
+        hit = scored_pairs(new, live, prefilter).where(F.col("p") >= twin)
     w = Window.partitionBy("stem_a").orderBy(F.desc("p"), "stem_b")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select("stem_a", "stem_b", "p", "rank")
 
 
 def contradiction_band(notes: DataFrame, low: float = 0.82, high: float = 0.92) -> DataFrame:
     """(stem_a, stem_b, sim): pairs of one project with other slugs whose cosine lies in a band."""
-    d = notes.where("vec IS NOT NULL").select("project", "stem", "slug", "vec", numbers.norm("vec").alias("norm"))
-    a, b = (d.select("project", *[F.col(c).alias(f"{c}_{s}") for c in ("stem", "slug", "vec", "norm")]) for s in "ab")
-    sim = F.coalesce(F.try_divide(numbers.dot("vec_a", "vec_b"), F.col("norm_a") * F.col("norm_b")), F.lit(0.0))
-    pairs = a.join(b, "project").where("stem_a < stem_b AND slug_a <> slug_b").select("stem_a", "stem_b", sim.alias("sim"))
-    return pairs.where((F.col("sim") >= low) & (F.col("sim") < high))
+    near = close_pairs(notes, low, None, ["project"]).where(F.col("sim") < high)
+    slug = lambda s: notes.select(F.col("stem").alias(f"stem_{s}"), F.col("slug").alias(f"slug_{s}"))
+    return near.join(slug("a"), "stem_a").join(slug("b"), "stem_b").where("slug_a <> slug_b").select("stem_a", "stem_b", "sim")
 
 
 def auto_links(notes: DataFrame, links: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
@@ -146,13 +206,10 @@ def dedup_clusters(notes: DataFrame, pairs: DataFrame) -> DataFrame:
     return greedy_clusters(nodes, pairs.select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b")))
 
 
-def communities(notes: DataFrame, sim: float = 0.6) -> DataFrame:
-    """(id, seed) of cosine clusters per project in stem order."""
-    d = notes.where("vec IS NOT NULL").select("project", "stem", "vec", numbers.norm("vec").alias("norm"))
-    a, b = (d.select("project", *[F.col(c).alias(f"{c}_{s}") for c in ("stem", "vec", "norm")]) for s in "ab")
-    value = F.coalesce(F.try_divide(numbers.dot("vec_a", "vec_b"), F.col("norm_a") * F.col("norm_b")), F.lit(0.0))
-    pairs = a.join(b, "project").where("stem_a < stem_b").where(value >= sim).select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b"))
-    return greedy_clusters(d.select(F.col("stem").alias("id"), F.col("stem").alias("place")), pairs)
+def communities(notes: DataFrame, sim: float = 0.6, by: list[str] | None = None) -> DataFrame:
+    """(id, seed) of cosine clusters over the whole store, or inside each group of `by`, in stem order."""
+    pairs = close_pairs(notes, sim, None, by).select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b"))
+    return greedy_clusters(notes.where("vec IS NOT NULL").select(F.col("stem").alias("id"), F.col("stem").alias("place")), pairs)
 
 
 def merge_clusters(notes: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def risky(t: Tables):
     return t.plain_notes.select("stem", "doc_id", text.alias("text"))
 
 
-INJECTION_SQL = "(?i)" + "|".join(flags.INJECTION).replace("'", "''")
+INJECTION_SQL = "(?i)" + flags.INJECTION.replace("'", "''")
 
 
 @query(f"SELECT stem, regexp_matches({RISKY}, '{INJECTION_SQL}') AS injected FROM n")
@@ -269,9 +269,9 @@ def clip_utf8(t):
     return t.plain_notes.select("stem", tx.clip_utf8("descr", 101).alias("clipped"))
 
 
-@query("SELECT stem, length(descr) // 4 AS tokens, CASE WHEN n_chars < 1000 THEN CAST(n_chars AS VARCHAR) ELSE printf('%.1fk', n_chars / 1000.0) END AS size FROM n WHERE n_chars % 100 <> 50")
+@query("SELECT stem, length(descr) // 4 AS tokens, CASE WHEN n_chars > 950000 THEN rtrim(rtrim(printf('%.1f', n_chars / 1000000.0), '0'), '.') || 'M' WHEN n_chars > 950 THEN rtrim(rtrim(printf('%.1f', n_chars / 1000.0), '0'), '.') || 'k' ELSE CAST(n_chars AS VARCHAR) END AS size FROM n")
 def est_tokens(t):
-    return t.plain_notes.where("n_chars % 100 <> 50").select("stem", tx.est_tokens("descr").alias("tokens"), tx.human("n_chars").alias("size"))
+    return t.plain_notes.select("stem", tx.est_tokens("descr").alias("tokens"), tx.human("n_chars").alias("size"))
 
 
 @query(f"SELECT stem, concat_ws(' · ', CASE WHEN recurrence >= 2 THEN '×' || recurrence END, CASE WHEN a >= 360 THEN '~1y' WHEN a >= 90 THEN '~' || (a // 30) || 'mo' END) AS marker FROM (SELECT stem, recurrence, greatest(0, date_diff('day', date, DATE '{AS_OF}')) AS a FROM n)")

@@ -91,9 +91,9 @@ def coerce_salience(t):
     return q_hygiene.coerce_numbers(t).select("doc_id", "salience")
 
 
-@query("SELECT CASE WHEN n_chars < 1000 THEN CAST(n_chars AS VARCHAR) ELSE printf('%.1fk', n_chars / 1000.0) END AS size, count(*) AS documents FROM documents WHERE n_chars % 100 <> 50 GROUP BY 1")
+@query("SELECT CASE WHEN n_chars > 950000 THEN rtrim(rtrim(printf('%.1f', n_chars / 1000000.0), '0'), '.') || 'M' WHEN n_chars > 950 THEN rtrim(rtrim(printf('%.1f', n_chars / 1000.0), '0'), '.') || 'k' ELSE CAST(n_chars AS VARCHAR) END AS size, count(*) AS documents FROM documents GROUP BY 1")
 def human(t):
-    return t.read("documents").where("n_chars % 100 <> 50").groupBy(tx.human("n_chars").alias("size")).agg(F.count("*").alias("documents"))
+    return t.read("documents").groupBy(tx.human("n_chars").alias("size")).agg(F.count("*").alias("documents"))
 
 
 @query(None)

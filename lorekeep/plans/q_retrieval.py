@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.fixtures import AS_OF, Tables
 from lorekeep.functions import numbers
+from lorekeep.operators import graph
 from lorekeep.operators import retrieval as r
+from lorekeep.plans.q_graph import entities, relations
 from lorekeep.plans.registry import query
 
 TK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{Nl}}\p{{No}}]{{3,}}|\p{{Nd}}{{3,}}')"
@@ -141,6 +143,13 @@ def retrieve(t):
     return rounded(r.retrieve(queries(t), docs(t), 5, AS_OF), "score")
 
 
+@query(None)
+def retrieve_expanded(t):
+    """The injection ranker over prefiltered candidates, with graph salience and the notes that hits link to or share a target with."""
+    salience = graph.salience_index(entities(t), relations(t))
+    return rounded(r.retrieve(queries(t), docs(t), 5, AS_OF, 30, salience, t.links.where("target IS NOT NULL"), relations(t)), "score")
+
+
 @query(RETRIEVE + " SELECT * FROM rn")
 def recency_fallback(t):
     return r.recency_fallback(docs(t), 5)

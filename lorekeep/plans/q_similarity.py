@@ -15,7 +15,7 @@ from lorekeep.plans.registry import query
 TK = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{Nl}}\p{{No}}]{{3,}}|\p{{Nd}}{{3,}}'))"
 TWIN = r"list_distinct(regexp_extract_all(lower({0}), '[a-zа-я0-9]{{3,}}'))"
 #: Notes with vectors that repeat within a group: one of five directions plus an own part.
-DUP = f""", tv AS (SELECT n.doc_id, stem, project, ntype, date, slug, title, descr, prevention, recurrence, confidence, status, resolved, [lang, 'topic-' || (n.doc_id % 23)] AS ents, [lang, n.slug] AS tags, {TK.format('title')} AS toks,
+DUP = f""", tv AS (SELECT n.doc_id, stem, project, ntype, date, slug, title, descr, prevention, recurrence, confidence, status, resolved, [lang, 'topic-' || (n.doc_id % 23)] AS ents, [lang, n.slug] AS tags, {TK.format("concat_ws(' ', title, descr, prevention)")} AS toks,
   list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: p[1] + (0.2 + 0.1 * (n.doc_id % 7)) * p[2]) AS vec
   FROM n JOIN embeddings a ON a.vec_id = (n.doc_id // 180) % 5 JOIN embeddings b ON b.vec_id = (n.doc_id * 7) % 500)"""
 
@@ -28,7 +28,7 @@ FEATURES = f"""list_cosine_similarity(a.vec, b.vec) AS f_cos, {jac(TWIN.format("
   len(list_intersect(a.ents, b.ents)) / least(len(a.ents), len(b.ents)) AS f_entities,
   least(greatest(1, length(a.title) + length(a.descr)), greatest(1, length(b.title) + length(b.descr))) / greatest(1, length(a.title) + length(a.descr), length(b.title) + length(b.descr)) AS f_length"""
 Z = " + ".join([str(s.TWIN_BIAS), *(f"({w}) * (f_{n} - {m}) / {d}" for n, w, m, d in zip(("cos", "words", "title", "entities", "length"), s.TWIN_WEIGHTS, s.TWIN_MEANS, s.TWIN_DEVIATIONS, strict=True))])
-PAIRS = DUP + f""", pa AS (SELECT a.stem AS stem_a, b.stem AS stem_b, {FEATURES} FROM tv a JOIN tv b ON a.project = b.project AND a.ntype = b.ntype AND a.stem < b.stem AND len(list_intersect(a.toks, b.toks)) > 0),
+PAIRS = DUP + f""", pa AS (SELECT a.stem AS stem_a, b.stem AS stem_b, {FEATURES} FROM tv a JOIN tv b ON a.project = b.project AND a.ntype = b.ntype AND a.stem < b.stem AND list_cosine_similarity(a.vec, b.vec) >= 0.7 WHERE list_has_any(a.toks, b.toks)),
 pp AS (SELECT *, 1 / (1 + exp(-({Z}))) AS p FROM pa), nd AS (SELECT stem_a, stem_b, f_cos AS sim FROM pp WHERE f_cos >= 0.86 OR (f_cos >= 0.7 AND p >= 0.9))"""
 
 
@@ -38,7 +38,7 @@ def notes(t: Tables):
     n = t.notes.withColumns({"ka": (F.floor(F.col("doc_id") / 180) % 5).cast("long"), "kb": F.col("doc_id") * 7 % 500})
     n = n.join(F.broadcast(e.where("doc_id < 5").select(F.col("doc_id").alias("ka"), F.col("vec").alias("va"))), "ka").join(e.select(F.col("doc_id").alias("kb"), F.col("vec").alias("vb")), "kb")
     topic = F.concat(F.lit("topic-"), (F.col("doc_id") % 23).cast("string"))
-    return n.withColumns({"vec": F.zip_with("va", "vb", lambda a, b: a + own * b), "ents": F.array("lang", topic), "tags": F.array("lang", "slug"), "toks": tokens("title")}).drop("ka", "kb", "va", "vb")
+    return n.withColumns({"vec": F.zip_with("va", "vb", lambda a, b: a + own * b), "ents": F.array("lang", topic), "tags": F.array("lang", "slug"), "toks": tokens(F.concat_ws(" ", "title", "descr", "prevention"))}).drop("ka", "kb", "va", "vb")
 
 
 @query(PAIRS + " SELECT stem_a, stem_b, round(sim, 6) AS sim FROM nd")
@@ -51,11 +51,11 @@ def twin_probability(t):
     return s.scored_pairs(notes(t)).select("stem_a", "stem_b", *[F.round(c, 6).alias(c) for c in [*s.FEATURES, "p"]])
 
 
-@query(DUP + f""", w AS (SELECT a.stem AS stem_a, b.stem AS stem_b, {FEATURES} FROM tv a JOIN tv b ON a.project = b.project AND a.ntype = b.ntype AND a.stem <> b.stem AND len(list_intersect(a.toks, b.toks)) > 0 WHERE a.status = 'live' AND b.status = 'superseded'),
+@query(DUP + f""", w AS (SELECT a.stem AS stem_a, b.stem AS stem_b, {FEATURES} FROM tv a JOIN tv b ON a.project = b.project AND a.ntype = b.ntype AND a.stem <> b.stem AND list_cosine_similarity(a.vec, b.vec) >= 0.7 WHERE a.status = 'superseded' AND b.status = 'live'),
 wp AS (SELECT *, 1 / (1 + exp(-({Z}))) AS p FROM w) SELECT stem_a, stem_b, round(p, 6) AS p, row_number() OVER (PARTITION BY stem_a ORDER BY p DESC, stem_b) AS rank FROM wp WHERE f_cos >= 0.7 AND p >= 0.9 QUALIFY rank <= 3""")
 def write_near_dup(t):
     all_ = notes(t)
-    return s.write_near_dup(all_.where("status = 'live'"), all_.where("status = 'superseded'")).withColumn("p", F.round("p", 6))
+    return s.write_near_dup(all_.where("status = 'superseded'"), all_.where("status = 'live'")).withColumn("p", F.round("p", 6))
 
 
 @query(DUP + " SELECT stem_a, stem_b, round(sim, 6) AS sim FROM (SELECT a.stem AS stem_a, b.stem AS stem_b, list_cosine_similarity(a.vec, b.vec) AS sim FROM tv a JOIN tv b ON a.project = b.project AND a.stem < b.stem AND a.slug <> b.slug WHERE a.status = 'live' AND b.status = 'live') WHERE sim >= 0.82 AND sim < 0.92")
@@ -115,7 +115,7 @@ def eval_recurrence(t):
     all_ = notes(t)
     out = None
     for sim in (0.7, 0.8, 0.9):
-        found = s.communities(all_, sim).withColumnRenamed("id", "stem").join(all_.select("stem", "date"), "stem")
+        found = s.communities(all_, sim, ["project"]).withColumnRenamed("id", "stem").join(all_.select("stem", "date"), "stem")
         per = found.groupBy("seed").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"))
         row = per.agg(F.count("*").alias("clusters"), F.count_if(F.col("days") > 1).alias("cross_date"), F.sum("n").alias("notes")).withColumn("sim", F.lit(sim))
         out = row if out is None else out.unionByName(row)
@@ -141,7 +141,7 @@ def lifecycle_dataset_balance(t):
 def labelled(t: Tables):
     all_ = notes(t)
     pairs = s.lifecycle_pairs(all_, 300)
-    both = pairs.join(s.side(all_, "a").drop("project", "ntype"), "stem_a").join(s.side(all_, "b").drop("project", "ntype"), "stem_b")
+    both = pairs.join(s.side(all_, "a"), "stem_a").join(s.side(all_, "b"), "stem_b")
     return s.twin_features(both).withColumn("p", s.twin_probability())
 
 

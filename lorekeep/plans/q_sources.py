@@ -154,7 +154,14 @@ def import_dedup(t):
     return source.import_new(rows, seen).where(F.col("title").rlike("[A-Za-z0-9]")).select("ord", "ntype", "title", "key")
 
 
-@query(None)
+def _html_sql() -> str:
+    body = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''), '{source.HIDDEN}', '', 'g'), '{source.TAG}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), lambda x: x <> ''), chr(10))"""
+    for name, sign in source.ENTITIES.items():
+        body = "replace({}, '{}', '{}')".format(body, name, sign.replace("'", "''"))
+    return f" SELECT page_id, {body} AS body FROM pages"
+
+
+@query(_html_sql())
 def html_text(t):
     return source.html_text(t.read("pages"))
 
