@@ -39,8 +39,8 @@ WIDE, MOST, STEP = 24, 128, 1 << 20
 #: Bytes compared at most on either side of a chain; more than two chunks.
 AROUND = 320
 MIN_WORDS = 50
-#: Places up to which the list of texts to look up is broadcast; a longer one is shuffled.
-BROADCAST_ROWS = 400_000
+#: Places, and documents that have some, up to which their list is broadcast; with a longer one texts are shuffled, all of them beyond the second bound.
+BROADCAST_ROWS, BROADCAST_IDS = 400_000, 2_000_000
 GEAR = np.frombuffer(np.random.default_rng(20240101).bytes(1024), "<u4")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -197,16 +197,21 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     end = lambda left, at, o_at: F.struct(F.lit(left).alias("left"), at.alias("at"), o_at.alias("o_at"))
     ends = F.array(end(True, F.col("start"), F.col("f_start")), end(False, F.col("stop"), F.col("f_start") + F.col("stop") - F.col("start")))
     sides = found.select("doc_id", "chain", F.col("f_doc").alias("o_doc"), F.explode(ends).alias("s")).select("doc_id", "chain", "o_doc", "s.*")
-    places = sides.select("doc_id", "at", "left").union(sides.select("o_doc", "o_at", "left")).distinct()
-    places = stored(places, "places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    # a chain's own side brings its chain along; the other side of many chains is one row
+    own = sides.select("doc_id", "at", "left", "chain", "o_doc", "o_at")
+    void = [F.lit(None).cast("long").alias("chain"), F.lit(None).cast("long").alias("o_doc"), F.lit(None).cast("int").alias("o_at")]
+    asked = stored(own.union(sides.select("o_doc", "o_at", "left").distinct().select(F.col("o_doc").alias("doc_id"), F.col("o_at").alias("at"), "left", *void)), "places")
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
+    ids = stored(asked.select("doc_id").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        raw = raw.join(F.broadcast(ids), "doc_id", "left_semi")
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     low = F.greatest(F.col("at") - AROUND, F.lit(0))
     snip = F.when(F.col("left"), F.substring("raw", low + 1, F.col("at") - low)).otherwise(F.substring("raw", F.col("at") + 1, F.lit(AROUND)))
-    snips = stored(raw.join(places, "doc_id").select("doc_id", "at", "left", snip.alias("snip")), "snips")
-    other = snips.select(F.col("doc_id").alias("o_doc"), F.col("at").alias("o_at"), "left", F.col("snip").alias("other"))
-    pairs = sides.join(other, ["o_doc", "o_at", "left"]).join(snips.withColumnRenamed("snip", "own"), ["doc_id", "at", "left"])
+    snips = stored(raw.join(asked, "doc_id").select("doc_id", "at", "left", "chain", "o_doc", "o_at", snip.alias("own")), "snips")
+    other = snips.where("chain IS NULL").select(F.col("doc_id").alias("o_doc"), F.col("at").alias("o_at"), "left", F.col("own").alias("other"))
+    pairs = snips.where("chain IS NOT NULL").join(other, ["o_doc", "o_at", "left"])
     more = pairs.select("doc_id", "chain", "left", "own", "other").mapInArrow(_common, "doc_id long, chain long, left boolean, more int, more_words int")
     # rows that repeat an id have several texts at a place: the longest agreement holds
     more = more.groupBy("doc_id", "chain", "left").agg(F.max(F.struct("more", "more_words")).alias("m"))
