@@ -12,6 +12,7 @@ from lorekeep.shared import stored
 
 SCAN_CHARS, PROMOTE, RETIRE = 20_000, 3, 3
 TAU, TAU_STEP, TAU_MOST = 0.22, 0.06, 0.9
+QUARANTINE_CONFIDENCE = 0.95
 #: Guards of projects up to which they are broadcast to the actions; more are joined by project.
 SMALL_ROWS = 100_000
 #: Guards of no project in one block: every action is held against each of them, block by block.
@@ -164,45 +165,89 @@ def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k:
     return fired.withColumn("risk", F.round("risk", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("traj").orderBy(F.desc("risk"), "stem"))).where(F.col("rank") <= k).select("traj", "stem", "risk", "rank")
 
 
-def upsert(notes: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Notes after incoming lessons, folded in (date, session, pos) order inside each (project, ntype, slug) family.
-
-    Notes: project, ntype, slug, stem, date, recurrence, session, status,
-    superseded_by. Incoming: project, ntype, slug, date, session, pos, text. A
-    lesson of a session already in the live note refreshes it; one of the same
-    day is absorbed; otherwise it retires the live note and carries its history
-    on. Unsafe texts are rejected. Families are small, so each is one group.
+def _families(incoming: DataFrame, twins: DataFrame, rounds: int = 30) -> DataFrame:
+    """(project, ntype, slug, family): slugs that lessons tie together (by what they supersede, contradict or resemble) have one family, the least of them."""
+    key = ["project", "ntype", "slug"]
+    named = F.explode(F.array_compact(F.array("supersedes", "contradicts"))).alias("other")
+    ties = incoming.select(*key, named).unionByName(twins.select(*key, "other")).where("slug <> other").distinct()
+    ties = stored(ties.union(ties.select("project", "ntype", F.col("other").alias("slug"), F.col("slug").alias("other"))).distinct(), "ties")
+    family = stored(incoming.select(*key).union(ties.select(*key)).distinct().withColumn("family", F.col("slug")), "families")
+    for _ in range(rounds):
+        if ties.isEmpty():
+            return family
+        least = ties.join(family.withColumnRenamed("slug", "other"), ["project", "ntype", "other"]).groupBy(*key).agg(F.min("family").alias("near"))
+        moved = stored(family.join(least, key, "left").select(*key, F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved")), "families")
+        family = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return family
+    raise RuntimeError("families did not settle")
+
+
+def upsert(notes: DataFrame, incoming: DataFrame, quarantine: bool = False) -> DataFrame:
+    """Notes after incoming lessons, taken in (date, session, pos) order.
+
+    Notes: project, ntype, slug, stem, date, recurrence, session, status, superseded_by and, if there,
+    resolved_by. Incoming: project, ntype, slug, date, session, pos, text and, if there, the slugs
+    `supersedes`, `contradicts` and `resolves`, `confidence`, and `twins` (stems of live near-duplicates,
+    from `write_near_dup`). Unsafe texts are rejected. A lesson of a session already in the live note of its
+    slug refreshes it; one of the same day is absorbed; otherwise it makes a note. Older live notes of its
+    slug, of the slugs that it supersedes or contradicts, and its twins retire in its favour and hand on their
+    recurrence and sessions. With `quarantine`, a lesson of one session that is nearly certain of itself, or
+    would retire a note that recurred, is set apart and retires nothing. A pattern or decision marks the live
+    mistakes of the slug that it resolves. Slugs that lessons tie together are folded as one group.
     """
+    key = ["project", "ntype", "slug"]
+    columns = [*key, "stem", "date", "recurrence", "session", "status", "superseded_by", "resolved_by"]
+    more = {"supersedes": "string", "contradicts": "string", "resolves": "string", "confidence": "double", "twins": "array<string>"}
     safe = incoming.where(~flags.unsafe("text"))
-    columns = ["project", "ntype", "slug", "stem", "date", "recurrence", "session", "status", "superseded_by"]
-    old = notes.select(*columns, F.lit(-1).alias("pos"))
-    new = safe.select("project", "ntype", "slug", F.lit(None).cast("string").alias("stem"), "date", F.lit(1).cast("long").alias("recurrence"), "session", F.lit("new").alias("status"), F.lit(None).cast("string").alias("superseded_by"), F.col("pos").cast("int").alias("pos"))
-    touched = new.select("project", "ntype", "slug").distinct()
-    rest = old.drop("pos").join(touched, ["project", "ntype", "slug"], "left_anti")
+    safe = safe.select(*key, "date", "session", F.col("pos").cast("int").alias("pos"), *[(F.col(c) if c in incoming.columns else F.lit(None)).cast(t).alias(c) for c, t in more.items()])
+    safe = stored(safe, "lessons")
+    old = notes if "resolved_by" in notes.columns else notes.withColumn("resolved_by", F.lit(None).cast("string"))
+    of_twins = safe.select(*key, F.explode("twins").alias("stem")).join(old.select("stem", F.col("slug").alias("other")), "stem")
+    family = _families(safe, of_twins)
+    rest = old.select(*columns).join(family.select(*key), key, "left_anti")
+    void = [F.lit(None).cast(t).alias(c) for c, t in more.items()]
+    was = old.select(*columns, F.lit(-1).alias("pos"), *void).join(family, key)
+    new = safe.select(*key, F.lit(None).cast("string").alias("stem"), "date", F.lit(1).cast("long").alias("recurrence"), "session", F.lit("new").alias("status"), F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("string").alias("resolved_by"), "pos", *more).join(family, key)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["pos", "date", "session"], na_position="first").to_dict("records")
+        rows = pdf.to_dict("records")
         out = [r | {"sources": {r["session"]} - {None}} for r in rows if r["status"] != "new"]
-        live = [r for r in out if r["status"] == "live"]
+        live = {r["stem"]: r for r in out if r["status"] == "live"}
         for r in sorted((r for r in rows if r["status"] == "new"), key=lambda r: (r["date"], r["session"], r["pos"])):
             stem = f"{r['date']}-{r['project']}-{r['ntype']}-{r['slug']}"
-            same = next((x for x in live if r["session"] in x["sources"]), None) or next((x for x in live if x["stem"] == stem), None)
-            if same:
-                same["recurrence"] += r["session"] not in same["sources"]
-                same["sources"].add(r["session"])
+            kin = [x for x in live.values() if x["slug"] == r["slug"]]
+            same = next((x for x in kin if r["session"] in x["sources"]), None) or live.get(stem)
+            named = {r["supersedes"], r["contradicts"]} - {None, r["slug"]}
+            twins = set() if r["twins"] is None else set(r["twins"])
+            gone = [x for x in live.values() if x is not same and (x["slug"] == r["slug"] or x["slug"] in named or x["stem"] in twins)]
+            sources = set().union(*(x["sources"] for x in gone), {r["session"]}, same["sources"] if same else ())
+            certain = r["confidence"] is not None and r["confidence"] >= QUARANTINE_CONFIDENCE
+            if quarantine and len(sources) < 2 and (certain or any(x["recurrence"] >= 2 for x in gone)):
+                if not any(x["status"] == "quarantined" and x["slug"] == r["slug"] and r["session"] in x["sources"] for x in out):
+                    out.append(r | {"stem": stem, "status": "quarantined", "sources": {r["session"]}})
                 continue
-            prior = max((x["recurrence"] for x in live), default=0)
-            sources = set().union(*(x["sources"] for x in live), {r["session"]})
-            for x in live:
+            prior = max((x["recurrence"] for x in gone), default=0)
+            if same:
+                stem = same["stem"]
+                same["recurrence"] = max(same["recurrence"] + (r["session"] not in same["sources"]), prior + 1 if gone else 0)
+                same["sources"] = sources
+                same["resolves"] = r["resolves"] or same.get("resolves")
+            else:
+                made = r | {"stem": stem, "status": "live", "recurrence": max(prior + 1, len(sources)), "sources": sources}
+                out.append(made)
+                live[stem] = made
+            for x in gone:
                 x["status"], x["superseded_by"] = "superseded", stem
-            made = r | {"stem": stem, "status": "live", "recurrence": max(prior + 1, len(sources)), "sources": sources}
-            out.append(made)
-            live = [made]
-        return pd.DataFrame(out, columns=columns)
-
-    schema = "project string, ntype string, slug string, stem string, date date, recurrence long, session string, status string, superseded_by string"
-    family = old.join(touched, ["project", "ntype", "slug"], "left_semi").unionByName(new)
-    return rest.unionByName(family.groupBy("project", "ntype", "slug").applyInPandas(fold, schema))
+                del live[x["stem"]]
+        return pd.DataFrame(out, columns=[*columns, "resolves"]).astype({"resolves": object})
+
+    schema = "project string, ntype string, slug string, stem string, date date, recurrence long, session string, status string, superseded_by string, resolved_by string, resolves string"
+    folded = stored(was.unionByName(new).groupBy("project", "ntype", "family").applyInPandas(fold, schema), "folded")
+    after = rest.unionByName(folded.drop("resolves"))
+    by = folded.where("resolves IS NOT NULL AND ntype IN ('pattern', 'decision') AND status <> 'quarantined'")
+    by = by.groupBy("project", F.lit("mistake").alias("ntype"), F.col("resolves").alias("slug"), F.lit("live").alias("status")).agg(F.max_by("stem", F.struct("date", "stem")).alias("by"))
+    return after.join(by, ["project", "ntype", "slug", "status"], "left").withColumn("resolved_by", F.coalesce("by", "resolved_by")).select(*columns)
 
 
 def poison_report(notes: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.fixtures import Tables
+from lorekeep.fixtures import Tables, pick
 from lorekeep.operators import active, graph
+from lorekeep.plans.q_active import lessons
 from lorekeep.plans.registry import query
+from lorekeep.shared import new_path
 from lorekeep.streaming import jobs
 
 
@@ -90,17 +92,21 @@ def st_prompt_recall(t):
     return jobs.run_once(jobs.prompt_recall(hits), "recall").select("session", "prompt", "stem")
 
 
-@query("SELECT source AS project, doc_id, 'done' AS state FROM documents WHERE doc_id % 2 = 0")
+@query(None)
 def st_lesson_upsert(t):
-    """The write path as a batch sink: every batch is folded against the notes known so far."""
-    new = stream(t, "documents").where("doc_id % 2 = 0").select(F.col("source").alias("project"), "doc_id", "text")
-    live = t.notes.select("project", "ntype", "slug", "stem", "date", F.col("recurrence").cast("long").alias("recurrence"), F.lit("old").alias("session"), "status", "superseded_by")
-
-    def fold(df: DataFrame, _: int) -> DataFrame:
-        rows = df.select("project", F.lit("pattern").alias("ntype"), F.concat(F.lit("new-"), F.col("doc_id").cast("string")).alias("slug"), F.lit("2025-02-01").cast("date").alias("date"), F.lit("s1").alias("session"), F.col("doc_id").cast("int").alias("pos"), F.lit("text").alias("text"))
-        made = active.upsert(live, rows).where("slug LIKE 'new-%'")
-        return made.select("project", F.regexp_extract("slug", r"(\d+)$", 1).cast("long").alias("doc_id"), F.lit("done").alias("state"))
-
-    return jobs.run_once(new, "upsert", batch=fold)
-
-
+    """The write path as a batch sink: every batch of lessons is folded into the notes that the batch before it left."""
+    base = new_path(t.spark, "note-versions")
+    none = "project string, ntype string, slug string, stem string, date date, recurrence long, session string, status string, superseded_by string, resolved_by string"
+    t.spark.createDataFrame([], none).write.parquet(f"{base}/version=0")
+    key = F.col("doc_id")
+    moving = stream(t, "documents").select(
+        "doc_id", F.col("source").alias("project"), pick(["mistake", "pattern", "decision"], key % 3).alias("ntype"), F.date_add(F.lit("2024-01-01").cast("date"), (key * 37 % 366).cast("int")).alias("date"), F.lit(None).cast("double").alias("confidence"), "text"
+    )
+
+    def fold(df: DataFrame, number: int) -> DataFrame:
+        notes = t.spark.read.schema(none).parquet(f"{base}/version={number}")
+        active.upsert(notes, lessons(df)).write.mode("overwrite").parquet(f"{base}/version={number + 1}")
+        return t.spark.createDataFrame([(number + 1,)], "version long")
+
+    last = jobs.run_once(moving, "upsert", batch=fold).agg(F.max("version")).first()[0] or 0
+    return t.spark.read.schema(none).parquet(f"{base}/version={last}")
