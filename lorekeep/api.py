@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators import active, graph, history, retrieval, rollups
+from lorekeep.operators import active, graph, history, retrieval, rollups, similarity
 from lorekeep.sources import transcripts
+from lorekeep.streaming import jobs
 
 
 def recall(queries: DataFrame, notes: DataFrame, as_of: str, k: int = 5) -> DataFrame:
@@ -23,6 +24,18 @@ def remember(notes: DataFrame, lessons: DataFrame) -> DataFrame:
     return active.upsert(notes, lessons)
 
 
+def remember_lessons(notes: DataFrame, lessons: DataFrame, quarantine: bool = True) -> DataFrame:
+    """As `remember`, with lessons tied to their near-duplicates first and doubtful ones set apart.
+
+    Notes and lessons also have title, descr, ents, vec (and lessons a stem); see `write_near_dup`.
+    """
+    key = F.concat_ws("|", "project", "ntype", "slug", "session", F.col("pos").cast("string"))
+    new = lessons.withColumns({"stem": key, "toks": F.array().cast("array<string>")})
+    live = notes.where("status = 'live'").withColumn("toks", F.array().cast("array<string>"))
+    twins = similarity.write_near_dup(new, live).groupBy(F.col("stem_a").alias("stem")).agg(F.sort_array(F.collect_list("stem_b")).alias("twins"))
+    return active.upsert(notes, new.drop("twins").join(twins, "stem", "left"), quarantine)
+
+
 def capture_session(lines: DataFrame) -> DataFrame:
     """One text per session of event lines."""
     return transcripts.assemble(transcripts.events(lines))
@@ -52,8 +65,8 @@ def graph_export(entities: DataFrame, top: int = 40) -> DataFrame:
     return graph.export(entities, top)
 
 
-def entity_card(entities: DataFrame) -> DataFrame:
-    return rollups.entity_card(entities)
+def entity_card(entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    return rollups.entity_card(entities, relations)
 
 
 def entities_by_type(types: DataFrame, kind: str) -> DataFrame:
@@ -73,9 +86,12 @@ def as_of(notes: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def integrity(entities: DataFrame, relations: DataFrame, known: list[str]) -> DataFrame:
-    """(stem, law) of dangling targets and unknown relations."""
-    dangling = graph.dangling_targets(relations, entities).select("stem", F.lit("referential").alias("law"))
-    return dangling.union(graph.check_vocabulary(relations, known).select("stem", F.lit("vocabulary")))
+    """(subject, law): notes with dangling targets or unknown relations, entities in a cycle of causes."""
+    dangling = graph.dangling_targets(relations, entities).select(F.col("stem").alias("subject"), F.lit("referential").alias("law"))
+    words = graph.check_vocabulary(relations, known).select("stem", F.lit("vocabulary"))
+    own = impact(entities, relations)
+    cycles = graph.strong_components(own.select(F.col("cause").alias("source"), F.col("effect").alias("target"))).select("node", F.lit("cycle"))
+    return dangling.union(words).union(cycles)
 
 
 def frontier(notes: DataFrame, k: int = 20) -> DataFrame:
@@ -118,5 +134,10 @@ def guards_generate(notes: DataFrame, guards: DataFrame) -> DataFrame:
     return active.guard_generate(notes, guards)
 
 
+def anticipate_feedback(events: DataFrame) -> DataFrame:
+    """(stem, helped, false_alarms) of outcomes (stem, outcome): what `anticipate` takes as alarms."""
+    return jobs.alarm_counts(events)
+
+
 def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k: int = 1) -> DataFrame:
     return active.anticipate(trajectories, notes, alarms, k)

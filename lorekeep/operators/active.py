@@ -151,10 +151,10 @@ def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k:
     Inverse frequencies are those of the project's mistakes; alarms (stem,
     false_alarms) raise a mistake's threshold.
     """
-    sig = notes.where("ntype = 'mistake'").select("project", "stem", "recurrence", F.explode(content_tokens(F.concat_ws(" ", "title", "descr", "prevention"))).alias("tok"))
+    sig = stored(notes.where("ntype = 'mistake'").select("project", "stem", "recurrence", F.explode(content_tokens(F.concat_ws(" ", "title", "descr", "prevention"))).alias("tok")), "tokens")
     n = sig.groupBy("project").agg(F.count_distinct("stem").alias("n"))
     idf = sig.groupBy("project", "tok").agg(F.count("*").alias("df")).join(n, "project").select("project", "tok", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
-    weighted = sig.join(idf, ["project", "tok"])
+    weighted = stored(sig.join(idf, ["project", "tok"]), "signatures")
     mass = weighted.groupBy("stem").agg(F.sum("w").alias("mass"), F.max("recurrence").alias("recurrence"))
     head = trajectories.select("traj", "project", F.explode(content_tokens(F.substring("text", 1, SCAN_CHARS))).alias("tok"))
     hit = head.join(weighted.drop("recurrence"), ["project", "tok"]).groupBy("traj", "stem").agg(F.sum("w").alias("covered"), F.count("*").alias("shared")).join(mass, "stem")

@@ -50,9 +50,32 @@ def project_card(notes: DataFrame, k: int = 5) -> DataFrame:
     return status.union(topics).union(named(open_, "open")).union(named(decided, "decision")).union(named(often, "recurring"))
 
 
-def entity_card(entities: DataFrame) -> DataFrame:
-    """(entity, mentions, projects, first_seen, last_seen, evolved): mentions over live and superseded notes."""
-    return entities.groupBy("entity").agg(F.count("*").alias("mentions"), F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count_if(F.col("status") == "superseded").alias("evolved"))
+def entity_card(entities: DataFrame, relations: DataFrame | None = None, edges: int = 8, mates: int = 8, notes: int = 5) -> DataFrame:
+    """(entity, section, rank, item, n): what the store knows of each entity.
+
+    Sections: `mentions` (n of live and superseded notes; item: first and last day), `project` (n of notes),
+    `edge` (relation and target, by notes of the entity), `neighbour` (entities of the same notes), `mistake`,
+    `pattern` and `decision` (newest live notes), and `evolution` (n of superseded notes).
+    """
+    count = entities.groupBy("entity").agg(F.count("*").alias("n"), F.concat_ws(" ", F.min("date").cast("string"), F.max("date").cast("string")).alias("item"), F.count_if(F.col("status") == "superseded").alias("old"))
+    part = lambda df, name: df.select("entity", F.lit(name).alias("section"), F.col("rank").cast("int").alias("rank"), "item", F.col("n").cast("long").alias("n"))
+    out = part(count.withColumn("rank", F.lit(1)), "mentions")
+    out = out.union(part(count.where("old > 0").select("entity", F.lit(1).alias("rank"), F.lit("superseded").alias("item"), F.col("old").alias("n")), "evolution"))
+    projects = entities.groupBy("entity", F.col("project").alias("item")).agg(F.count("*").alias("n"))
+    out = out.union(part(_best(projects, ["entity"], None), "project"))
+    live = entities.where("status = 'live'")
+    pair = live.select("entity", "stem").join(live.select("stem", F.col("entity").alias("item")), "stem").where("entity <> item")
+    out = out.union(part(_best(pair.groupBy("entity", "item").agg(F.count("*").alias("n")), ["entity"], mates), "neighbour"))
+    if relations is not None:
+        edge = live.select("entity", "stem").join(relations.where("status = 'live'").select("stem", F.concat_ws(" ", "rel", "target").alias("item")), "stem")
+        out = out.union(part(_best(edge.groupBy("entity", "item").agg(F.count("*").alias("n")), ["entity"], edges), "edge"))
+    newest = ranked(live.select("entity", "ntype", "date", "stem", "recurrence"), ["entity", "ntype"], [F.desc("date"), F.desc("stem")], notes)
+    return out.union(newest.select("entity", F.col("ntype").alias("section"), F.col("rank").cast("int"), F.col("stem").alias("item"), F.col("recurrence").cast("long").alias("n")))
+
+
+def _best(counts: DataFrame, by: list[str], k: int | None) -> DataFrame:
+    """Items by falling count; all of them where `k` is None."""
+    return ranked(counts, by, [F.desc("n"), "item"], k if k is not None else 2**31 - 1)
 
 
 def tag_vocabulary(notes: DataFrame, least: int = 2, k: int = 30) -> DataFrame:

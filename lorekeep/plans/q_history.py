@@ -97,11 +97,11 @@ def falsification_frontier(t):
 
 @query("""SELECT stem, CASE WHEN doc_id % 10 = 3 THEN recurrence WHEN doc_id % 10 = 7 THEN recurrence + doc_id % 3 ELSE recurrence + doc_id % 3 END AS recurrence,
 CASE WHEN doc_id % 4 = 0 THEN 'superseded' ELSE status END AS status, CASE WHEN doc_id % 10 = 3 THEN [lang, 'a'] WHEN doc_id % 10 = 7 THEN [lang, 'b'] ELSE [lang, 'a', 'b'] END AS tags,
-CASE WHEN doc_id % 4 = 0 THEN 'r-' || CASE WHEN doc_id % 8 = 0 OR doc_id % 10 = 7 THEN CASE WHEN doc_id % 10 = 7 THEN 'theirs' ELSE 'ours' END ELSE 'ours' END END AS superseded_by, title, doc_id % 10 NOT IN (3, 7) AND (doc_id % 8 = 0 OR doc_id % 15 = 0) AS conflict, doc_id % 2 = 0 AS in_base FROM n WHERE doc_id % 4 <> 0 OR doc_id % 10 NOT IN (3, 7)""".replace("CASE WHEN doc_id % 8 = 0 OR doc_id % 10 = 7 THEN CASE WHEN doc_id % 10 = 7 THEN 'theirs' ELSE 'ours' END ELSE 'ours' END", "'ours'").replace("CASE WHEN doc_id % 10 = 3 THEN recurrence WHEN doc_id % 10 = 7 THEN recurrence + doc_id % 3 ELSE recurrence + doc_id % 3 END", "recurrence + CASE WHEN doc_id % 10 = 3 THEN 0 ELSE doc_id % 3 END"))
+CASE WHEN doc_id % 4 = 0 THEN 'r-' || CASE WHEN doc_id % 8 = 0 OR doc_id % 10 = 7 THEN CASE WHEN doc_id % 10 = 7 THEN 'theirs' ELSE 'ours' END ELSE 'ours' END END AS superseded_by, title, doc_id % 10 NOT IN (3, 7) AND (doc_id % 8 = 0 OR doc_id % 15 = 0) AS conflict, doc_id % 2 = 0 AS in_base FROM n""".replace("CASE WHEN doc_id % 8 = 0 OR doc_id % 10 = 7 THEN CASE WHEN doc_id % 10 = 7 THEN 'theirs' ELSE 'ours' END ELSE 'ours' END", "'ours'").replace("CASE WHEN doc_id % 10 = 3 THEN recurrence WHEN doc_id % 10 = 7 THEN recurrence + doc_id % 3 ELSE recurrence + doc_id % 3 END", "recurrence + CASE WHEN doc_id % 10 = 3 THEN 0 ELSE doc_id % 3 END"))
 def three_way_merge(t):
     """Two sides that edited the same notes: one bumps recurrence, both add tags, some retire a note differently."""
     key = F.col("doc_id")
-    n = t.notes.where("doc_id % 4 <> 0 OR doc_id % 10 NOT IN (3, 7)")
+    n = t.notes
     state = F.when(key % 4 == 0, "superseded").otherwise(F.col("status"))
 
     def side(rows, more, tag, by, body):

@@ -46,9 +46,19 @@ def project_card(t):
     return r.project_card(tagged(t))
 
 
-@query("SELECT entity, count(*) AS mentions, string_agg(DISTINCT project, ',' ORDER BY project) AS projects, min(date) AS first_seen, max(date) AS last_seen, count(*) FILTER (status = 'superseded') AS evolved FROM ne GROUP BY 1")
+BEST = "row_number() OVER (PARTITION BY entity ORDER BY n DESC, item)"
+
+
+@query(f""", le AS (SELECT * FROM ne WHERE status = 'live'),
+c AS (SELECT entity, 'mentions' AS section, 1 AS rank, CAST(min(date) AS VARCHAR) || ' ' || CAST(max(date) AS VARCHAR) AS item, count(*) AS n FROM ne GROUP BY 1
+  UNION ALL SELECT entity, 'evolution', 1, 'superseded', count(*) FROM ne WHERE status = 'superseded' GROUP BY 1
+  UNION ALL SELECT entity, 'project', {BEST}, item, n FROM (SELECT entity, project AS item, count(*) AS n FROM ne GROUP BY ALL)
+  UNION ALL SELECT * FROM (SELECT entity, 'neighbour', {BEST} AS rank, item, n FROM (SELECT a.entity, b.entity AS item, count(*) AS n FROM le a JOIN le b USING (stem) WHERE a.entity <> b.entity GROUP BY ALL)) WHERE rank <= 8
+  UNION ALL SELECT * FROM (SELECT entity, 'edge', {BEST} AS rank, item, n FROM (SELECT entity, rel || ' ' || target AS item, count(*) AS n FROM le JOIN nr USING (stem) WHERE nr.status = 'live' GROUP BY ALL)) WHERE rank <= 8
+  UNION ALL SELECT * FROM (SELECT entity, ntype, row_number() OVER (PARTITION BY entity, ntype ORDER BY date DESC, stem DESC) AS rank, stem, recurrence FROM le) WHERE rank <= 5)
+SELECT entity, section, CAST(rank AS INT) AS rank, item, CAST(n AS BIGINT) AS n FROM c""")
 def entity_card(t):
-    return r.entity_card(t.entities)
+    return r.entity_card(t.entities, t.relations)
 
 
 @query(f"SELECT tag, count(*) AS notes FROM (SELECT unnest({TAGS}) AS tag FROM n) WHERE tag NOT IN ('mistake', 'pattern', 'decision', 'session', 'index', 'general') GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 30")

@@ -41,12 +41,11 @@ def transcript_assemble(t):
     return transcripts.assemble(transcripts.events(raw_lines(t)))
 
 
-@query("""SELECT session AS path, CASE WHEN session % 7 = 0 THEN string_agg('plain ' || turn, chr(10) ORDER BY turn) ELSE string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (trim(text) <> '') END AS body, session % 7 <> 0 AS flattened
-FROM sr WHERE session IN (SELECT session FROM sr GROUP BY session HAVING count(*) >= 2) GROUP BY session""")
+@query("""SELECT session AS path, CASE WHEN session % 7 = 0 THEN string_agg('plain ' || turn, chr(10) ORDER BY turn) WHEN count(*) = 1 THEN any_value('{"payload":{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}') ELSE string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (trim(text) <> '') END AS body, session % 7 <> 0 AND count(*) > 1 AS flattened
+FROM sr GROUP BY session""")
 def agent_log_flatten(t):
     line = F.when(F.col("session") % 7 == 0, F.concat(F.lit("plain "), "turn")).otherwise(F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("payload"))))
-    many = t.sessions.groupBy("session").count().where("count >= 2").select("session")
-    return transcripts.flatten_agent_log(t.sessions.join(many, "session").select(F.col("session").alias("path"), F.col("turn").alias("seq"), line.alias("line")))
+    return transcripts.flatten_agent_log(t.sessions.select(F.col("session").alias("path"), F.col("turn").alias("seq"), line.alias("line")))
 
 
 def session_files(t: Tables) -> DataFrame:
@@ -147,11 +146,11 @@ def import_lessons(t):
 
 @query(""", r AS (SELECT 'lang' AS source, ntype, title, descr AS body, doc_id AS ord, sha1('lang|' || ntype || '|' || title || '|' || substr(descr, 1, 400)) AS key FROM n),
 o AS (SELECT * FROM r WHERE key NOT IN (SELECT key FROM r WHERE ord % 11 = 0) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1)
-SELECT ord, ntype, title, key FROM o WHERE regexp_matches(title, '[A-Za-z0-9]')""")
+SELECT ord, ntype, CASE WHEN regexp_matches(title, '[A-Za-z0-9_]') THEN title ELSE title || ' ' || substr(key, 1, 8) END AS title, key FROM o""")
 def import_dedup(t):
     rows = t.plain_notes.select(F.lit("lang").alias("source"), "ntype", "title", F.col("descr").alias("body"), F.col("doc_id").alias("ord"))
     seen = rows.where("ord % 11 = 0").select(source.import_key(*[F.col(c) for c in ("source", "ntype", "title", "body")]).alias("key")).distinct()
-    return source.import_new(rows, seen).where(F.col("title").rlike("[A-Za-z0-9]")).select("ord", "ntype", "title", "key")
+    return source.import_new(rows, seen).select("ord", "ntype", "title", "key")
 
 
 def _html_sql() -> str:

@@ -1,8 +1,8 @@
 """The folder that driver and executors share, and tables written there.
 
 Everything a job keeps between steps goes to the folder that the cluster names
-in ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder
-is made and set. Tables are written by Spark's own writer, so a lost executor
+in ``spark.checkpoint.dir``; only where that is unset in a local session (tests) a
+temporary folder is made and set. Tables are written by Spark's own writer, so a lost executor
 costs a task retry and nothing else.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and not context.getCheckpointDir() and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster, driver and executors need a folder that they share")
     if not named:
         named = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lorekeep-")
     if not context.getCheckpointDir():

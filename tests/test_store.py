@@ -194,6 +194,16 @@ def test_public_functions_give_what_the_operators_give(spark, tables):
     assert "vocabulary" in laws
 
 
+def test_lessons_are_tied_to_their_twins(spark):
+    more = lambda df, vec: df.withColumns({"title": F.lit("the same title"), "descr": F.lit("loader reads the file twice"), "ents": F.array(F.lit("x")), "vec": F.array(*map(F.lit, vec))})
+    notes = more(spark.createDataFrame([note("a", 1, 1, "s1")], NOTE), [1.0, 0.0])
+    new = more(spark.createDataFrame([lesson("b", 5, "s2")], LESSON), [1.0, 0.01])
+    got = {r.slug: (r.status, r.recurrence) for r in api.remember_lessons(notes, new).collect()}
+    assert got == {"a": ("superseded", 1), "b": ("live", 2)}
+    events = spark.createDataFrame([("a", "helped"), ("a", "false_alarm"), ("b", "helped")], "stem string, outcome string")
+    assert {r.stem: (r.helped, r.false_alarms) for r in api.anticipate_feedback(events).collect()} == {"a": (1, 1), "b": (1, 0)}
+
+
 def test_mean_and_ranking_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "qid int, stem string, rank int")
     rel = spark.createDataFrame([(1, "b"), (2, "x")], "qid int, stem string")
