@@ -277,7 +277,8 @@ def action_text(t):
     return t.plain_notes.select("stem", raw.alias("raw")).select("stem", text.alias("text"), field("file_path").alias("path"))
 
 
-@query(None)
+@query(r""", l AS (SELECT stem, trim(regexp_replace(descr, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS s FROM n), h AS (SELECT stem, s, substr(s, 1, 120) AS h FROM l)
+SELECT stem, CASE WHEN length(s) <= 120 THEN s WHEN length(regexp_extract(h, '^(.*[.!?])(?:[ ]|$)', 1)) > 48 THEN regexp_extract(h, '^(.*[.!?])(?:[ ]|$)', 1) ELSE regexp_replace(h, '[ ]+[^ ]*$', '') || '…' END AS line FROM h""")
 def one_line(t):
     return t.plain_notes.select("stem", tx.one_line("descr", 120).alias("line"))
 

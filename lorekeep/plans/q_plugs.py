@@ -102,7 +102,7 @@ def udaf_fold(t):
     return q_active.guard_feedback(t)
 
 
-@query(None)
+@query(" SELECT path, unnest(string_split(body, chr(10))) AS turn FROM (" + q_sources.FLAT + ")")
 def udtf_flatten(t):
     """One log to many turns, by explode."""
     return q_sources.agent_log_flatten(t).select("path", F.explode(F.split("body", "\n")).alias("turn"))

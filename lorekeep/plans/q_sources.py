@@ -41,8 +41,11 @@ def transcript_assemble(t):
     return transcripts.assemble(transcripts.events(raw_lines(t)))
 
 
-@query("""SELECT session AS path, CASE WHEN session % 7 = 0 THEN string_agg('plain ' || turn, chr(10) ORDER BY turn) WHEN count(*) = 1 THEN any_value('{"payload":{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}') ELSE string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (trim(text) <> '') END AS body, session % 7 <> 0 AND count(*) > 1 AS flattened
-FROM sr GROUP BY session""")
+FLAT = """SELECT session AS path, CASE WHEN session % 7 = 0 THEN string_agg('plain ' || turn, chr(10) ORDER BY turn) WHEN count(*) = 1 THEN any_value('{"payload":{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}') ELSE string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (trim(text) <> '') END AS body, session % 7 <> 0 AND count(*) > 1 AS flattened
+FROM sr GROUP BY session"""
+
+
+@query(" " + FLAT)
 def agent_log_flatten(t):
     line = F.when(F.col("session") % 7 == 0, F.concat(F.lit("plain "), "turn")).otherwise(F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("payload"))))
     return transcripts.flatten_agent_log(t.sessions.select(F.col("session").alias("path"), F.col("turn").alias("seq"), line.alias("line")))

@@ -30,10 +30,11 @@ def ledger(t: Tables) -> DataFrame:
     return stream(t, "events").select("event_id", "ts", kind.alias("kind"), F.floor("value").alias("saved"), F.floor(F.col("value") / 10).alias("injected"))
 
 
-@query("SELECT conv_id AS session, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
+@query("SELECT session, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM sr GROUP BY 1 HAVING max(ts) <= (SELECT max(ts) FROM sr) - 120")
 def st_ingest(t):
-    """Settled sessions, written once each: a batch that is run again overwrites its own output."""
-    return jobs.run_once(turns(t), "ingest", batch=lambda df, _: df.groupBy("session").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars")))
+    """Settled sessions: every batch writes what it adds to a session, a batch that is run again overwrites its own output."""
+    parts = jobs.run_once(turns(t), "ingest", batch=lambda df, _: df.groupBy("session").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.max("at").alias("last")))
+    return jobs.settled(parts)
 
 
 SESSIONS = ", gp AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY ts) < 120 THEN 0 ELSE 1 END AS fresh FROM sr), rn AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts) AS run FROM gp)"
@@ -52,12 +53,12 @@ def st_dedup(t):
 
 @query("SELECT CAST(ts AS DATE) AS day, CAST(sum(floor(value)) AS BIGINT) AS saved, CAST(sum(floor(value / 10)) AS BIGINT) AS injected, count(*) AS events FROM events GROUP BY 1")
 def st_daily_ledger(t):
-    return jobs.run_once(jobs.daily(ledger(t)), "daily", "complete")
+    return jobs.latest(jobs.run_once(jobs.daily(ledger(t)), "daily", "update"), "day")
 
 
 @query("SELECT first_day, CAST(sum(floor(value)) AS BIGINT) AS saved, count(*) AS events FROM (SELECT value, CAST(CAST(ts AS DATE) - unnest(range(14)) AS DATE) AS first_day FROM events) GROUP BY 1".replace("CAST(CAST(ts AS DATE) - unnest(range(14)) AS DATE)", "CAST(ts AS DATE) - CAST(unnest(range(14)) AS INT)"))
 def st_activity_sliding(t):
-    return jobs.run_once(jobs.trailing(ledger(t)), "trailing", "complete")
+    return jobs.latest(jobs.run_once(jobs.trailing(ledger(t)), "trailing", "update"), "first_day")
 
 
 @query("SELECT doc_id AS action_id, guard_id, status, CAST(CASE status WHEN 'blocking' THEN 0 ELSE 1 END AS INT) AS place FROM documents JOIN g ON status <> 'retired' AND (project IS NULL OR project = source) AND regexp_matches(substr(text, 1, 20000), pattern)")
@@ -69,7 +70,7 @@ def st_guard_check(t):
 @query("SELECT user_id AS stem, count(*) FILTER (event_type = 'purchase') AS helped, count(*) FILTER (event_type = 'error') AS false_alarms FROM events GROUP BY 1")
 def st_anticipate_state(t):
     outcome = F.when(F.col("event_type") == "purchase", "helped").when(F.col("event_type") == "error", "false_alarm")
-    return jobs.run_once(jobs.alarm_counts(stream(t, "events").select(F.col("user_id").alias("stem"), outcome.alias("outcome"))), "alarms", "complete")
+    return jobs.latest(jobs.run_once(jobs.alarm_counts(stream(t, "events").select(F.col("user_id").alias("stem"), outcome.alias("outcome"))), "alarms", "update"), "stem")
 
 
 @query(None)
@@ -79,7 +80,7 @@ def st_guard_lifecycle(t):
     outcome = F.when(kind == "purchase", "helped").when(kind == "signup", "corroborated").otherwise("false_positive")
     fb = stream(t, "events").where(kind.isin("purchase", "signup", "error")).select("event_id", F.concat(F.lit("g-"), (F.col("user_id") % 20).cast("string")).alias("guard_id"), F.col("user_id").cast("string").alias("session"), outcome.alias("outcome"))
     states = jobs.run_once(jobs.guard_lifecycle(fb, t.guards), "lifecycle", "update")
-    return graph.ranked(states, ["guard_id"], [F.desc("last_event")], 1).drop("_rank", "last_event", "batch")
+    return jobs.latest(states, "guard_id").drop("last_event")
 
 
 @query(None)

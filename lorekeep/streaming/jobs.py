@@ -30,13 +30,15 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", batch: Callable
     """Process all that is there, write every batch to its own folder, and return what the folders hold.
 
     A batch that is repeated after a failure overwrites its own folder. With
-    complete mode only the last batch counts.
+    complete mode only the last batch counts; with update mode rows have the
+    number of their batch as `_batch`, and `latest` keeps the last of each key.
     """
     spark = stream.sparkSession
     out = new_path(spark, name)
 
     def write(df: DataFrame, number: int) -> None:
         df = batch(df, number) if batch else df
+        df = df.withColumn("_batch", F.lit(number).cast("long")) if mode == "update" else df
         df.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch={number}'}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, name + "-state")).trigger(availableNow=True).foreachBatch(write).start()
@@ -44,6 +46,20 @@ def run_once(stream: DataFrame, name: str, mode: str = "append", batch: Callable
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last row of each key of an update-mode sink."""
+    rest = [c for c in updates.columns if c not in (*keys, "_batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
+def settled(parts: DataFrame, settle: int = 120) -> DataFrame:
+    """(session, turns, chars) from the counts of every batch (with `last`): a session that goes on in a later batch is one, and sessions that were heard of less than `settle` seconds before the newest turn wait."""
+    whole = parts.groupBy("session").agg(F.sum("turns").alias("turns"), F.sum("chars").alias("chars"), F.max("last").alias("last"))
+    newest = parts.agg(F.max("last")).first()[0]
+    return whole.where(F.unix_timestamp("last") <= F.unix_timestamp(F.lit(newest)) - settle).drop("last")
+
+
 def sessionize(turns: DataFrame, gap: str = SETTLE, late: str = "10 minutes") -> DataFrame:
     """(session, begin, finish, turns): runs of turns (session, at) without a silence longer than the gap."""
     return turns.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "session").agg(F.count("*").alias("turns")).select("session", F.col("w.start").alias("begin"), F.col("w.end").alias("finish"), "turns")
