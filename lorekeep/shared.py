@@ -3,13 +3,16 @@
 Everything a job keeps between steps goes to the folder that the cluster names
 in ``spark.checkpoint.dir``; only where that is unset in a local session (tests) a
 temporary folder is made and set. Tables are written by Spark's own writer, so a lost executor
-costs a task retry and nothing else.
+costs a task retry and nothing else. `cleared` deletes them once a job's result is
+written.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def cleared(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Delete what was kept between the steps inside the block, when it ends; results must be written by then, to paths in `keep` or elsewhere."""
+    begin = len(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made[begin:] if p not in keep]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
