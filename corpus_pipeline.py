@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import dac, decontam, minhash, mixing, nbsvm
 from lorekeep.llm.shared import new_path, stored
+from lorekeep.shared import cleared
 
 
 def text_key() -> Column:
@@ -100,6 +101,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
