@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from lorekeep import shared
 from lorekeep.fixtures import Tables
 from lorekeep.operators import rollups, similarity
 from lorekeep.plans import QUERIES, q_similarity
@@ -126,3 +127,15 @@ def test_sessions_over_batches_are_settled_once(spark):
 def test_offline_bandit_uses_every_round(spark):
     got = QUERIES["bandit_offline"](spark, SF).collect()
     assert got and QUERIES["posterior_fit"](spark, SF).select(F.lit(1)).count() > 0
+
+
+def test_kept_tables_go_when_their_job_ends(spark, tmp_path):
+    here = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    before, out = shared.new_path(spark, "before"), str(tmp_path / "out")
+    spark.range(3).write.parquet(before)
+    with shared.cleared(spark):
+        kept = shared.stored(spark.range(5), "kept")
+        path = shared._made[-1]
+        kept.write.parquet(out)
+        assert here(path)
+    assert not here(path) and here(before) and spark.read.parquet(out).count() == 5
