@@ -140,13 +140,39 @@ def notes_iter(t):
 BULLETS = "'intro' || chr(10) || '- ' || replace(title, chr(10), ' ') || chr(10) || '* short' || chr(10) || '  - lang ' || lang || ' size ' || n_chars"
 
 
+def clip_sql(c: str, n: int) -> str:
+    line = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({line}) > {n} THEN rtrim(substr({line}, 1, {n - 1})) || '…' ELSE {line} END"
+
+
 @query(f""", f AS (SELECT stem AS path, unnest(regexp_extract_all({BULLETS}, '(?m)^\\s*[-*]\\s+(.{{8,}})$', 1)) AS part, generate_subscripts(regexp_extract_all({BULLETS}, '(?m)^\\s*[-*]\\s+(.{{8,}})$', 1), 1) - 1 AS pos FROM n)
-SELECT path, CAST(pos AS INT) AS pos, CASE WHEN length(trim(part)) > 120 THEN substr(trim(part), 1, 119) || '…' ELSE trim(part) END AS title, CASE WHEN length(part) > 1500 THEN substr(part, 1, 1499) || '…' ELSE part END AS body FROM f""")
+SELECT path, CAST(pos AS INT) AS pos, 'pattern' AS ntype, {clip_sql('part', 120)} AS title, {clip_sql('part', 1500)} AS body FROM f""")
 def import_lessons(t):
-    text = F.concat(F.lit("intro\n- "), F.replace("title", F.lit("\n"), F.lit(" ")), F.lit("\n* short\n  - lang "), "lang", F.lit(" size "), F.col("n_chars").cast("string"))
+    text = F.concat(F.lit("<!-- own:START -->\n- what the store wrote itself\n<!-- own:END -->\nintro\n- "), F.replace("title", F.lit("\n"), F.lit(" ")), F.lit("\n* short\n  - lang "), "lang", F.lit(" size "), F.col("n_chars").cast("string"))
     return source.lessons(t.plain_notes.select(F.col("stem").alias("path"), text.alias("text")), "bullets")
 
 
+@query(f" SELECT 'facts/' || stem || '.md' AS path, CAST(0 AS INT) AS pos, CASE doc_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'mistake' ELSE 'pattern' END AS ntype, CASE WHEN doc_id % 3 = 0 THEN 'about ' || lang WHEN doc_id % 3 = 1 THEN project ELSE stem END AS title, {clip_sql('descr', 1500)} AS body FROM n WHERE trim(descr) <> ''")
+def import_facts(t):
+    """One fact per file, with a description, a name or nothing in its head; the index file is skipped."""
+    k = F.col("doc_id")
+    kind = F.when(k % 4 == 0, "project").when(k % 4 == 1, "Mistake").when(k % 4 == 2, "user").otherwise("")
+    head = F.concat(F.lit("---\ntype: "), kind, F.when(k % 3 == 0, F.concat(F.lit('\ndescription: "about '), "lang", F.lit('"'))).when(k % 3 == 1, F.concat(F.lit("\nname: "), "project")).otherwise(""), F.lit("\n---\n"))
+    files = t.plain_notes.where("trim(descr) <> ''").select(F.concat(F.lit("facts/"), "stem", F.lit(".md")).alias("path"), F.concat(head, "descr").alias("text"))
+    index = files.select(F.lit("facts/MEMORY.md").alias("path"), "text")
+    return source.lessons(files.union(index), "facts")
+
+
+@query(f" SELECT 'rules/' || slug || '-' || doc_id || '.mdc' AS path, CAST(0 AS INT) AS pos, 'pattern' AS ntype, CASE WHEN doc_id % 2 = 0 THEN 'for ' || lang ELSE slug || ' ' || doc_id END AS title, {clip_sql('descr', 1500)} AS body FROM n UNION ALL SELECT 'rules/' || doc_id, unnest([0, 1]), 'pattern', unnest(['first rule of ' || project, 'second rule of ' || lang]), unnest(['first rule of ' || project, 'second rule of ' || lang]) FROM n")
+def import_rules(t):
+    """Rule files with a head, and plain ones by blocks."""
+    k = F.col("doc_id")
+    head = F.when(k % 2 == 0, F.concat(F.lit("---\ndescription: for "), "lang", F.lit("\n---\n"))).otherwise("---\nglobs: x\n---\n")
+    new = t.plain_notes.select(F.concat(F.lit("rules/"), "slug", F.lit("-"), k.cast("string"), F.lit(".mdc")).alias("path"), F.concat(head, "descr").alias("text"))
+    old = t.plain_notes.select(F.concat(F.lit("rules/"), k.cast("string")).alias("path"), F.concat(F.lit("first rule of "), "project", F.lit("\n\nshort\n \nsecond rule of "), "lang").alias("text"))
+    return source.lessons(new.union(old), "rules")
+
+
 @query(""", r AS (SELECT 'lang' AS source, ntype, title, descr AS body, doc_id AS ord, sha1('lang|' || ntype || '|' || title || '|' || substr(descr, 1, 400)) AS key FROM n),
 o AS (SELECT * FROM r WHERE key NOT IN (SELECT key FROM r WHERE ord % 11 = 0) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1)
 SELECT ord, ntype, CASE WHEN regexp_matches(title, '[A-Za-z0-9_]') THEN title ELSE title || ' ' || substr(key, 1, 8) END AS title, key FROM o""")
