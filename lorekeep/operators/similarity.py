@@ -335,7 +335,15 @@ def retention(notes: DataFrame, budget: int) -> DataFrame:
 
 
 def retention_metrics(kept: DataFrame, notes: DataFrame) -> DataFrame:
-    """(policy, topics, members, share): topics of the store still covered, notes per topic, share of topics."""
+    """(policy, topics, members, share, redundancy): topics of the store still covered, notes per topic, share of topics, mean cosine of two kept notes of a project.
+
+    The mean comes from the length of the sum of unit vectors, so no pair is made; notes without `vec` are left out of it.
+    """
     total = notes.agg(F.count_distinct("project", "topic").alias("all"))
     got = kept.groupBy("policy").agg(F.count_distinct("project", "topic").alias("topics"), F.count("*").alias("n"))
-    return got.crossJoin(F.broadcast(total)).select("policy", "topics", F.round(F.col("n") / F.col("topics"), 6).alias("members"), F.round(F.col("topics") / F.col("all"), 6).alias("share"))
+    of = kept.join(notes.where("vec IS NOT NULL").select("stem", F.transform("vec", lambda x: x / numbers.norm("vec")).alias("unit")), "stem")
+    sums = of.select("policy", "project", F.posexplode("unit").alias("at", "x")).groupBy("policy", "project", "at").agg(F.sum("x").alias("s"), F.count("*").alias("m"))
+    length = sums.groupBy("policy", "project").agg(F.sum(F.col("s") * F.col("s")).alias("square"), F.max("m").alias("m"))
+    pairs = length.groupBy("policy").agg(F.try_divide(F.sum(F.col("square") - F.col("m")), F.sum(F.col("m") * (F.col("m") - 1))).alias("mean"))
+    both = got.crossJoin(F.broadcast(total)).join(pairs, "policy", "left")
+    return both.select("policy", "topics", F.round(F.col("n") / F.col("topics"), 6).alias("members"), F.round(F.col("topics") / F.col("all"), 6).alias("share"), F.round("mean", 6).alias("redundancy"))

@@ -39,9 +39,9 @@ def eval_leave_one_out(t):
     return hit.agg(F.count("*").alias("questions"), ev.share(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0), "recall_5"))
 
 
-@query(RANKED + " SELECT CASE WHEN recurrence = 1 THEN '1' WHEN recurrence <= 3 THEN '2-3' WHEN recurrence <= 7 THEN '4-7' ELSE '8+' END AS bucket, count(*) AS questions, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS recall_1 FROM rk JOIN rl USING (qid, stem) GROUP BY 1")
+@query(RANKED + ", fi AS (SELECT rank, 'recurrence' AS kind, CASE WHEN recurrence = 1 THEN '1' WHEN recurrence <= 3 THEN '2-3' WHEN recurrence <= 7 THEN '4-7' ELSE '8+' END AS bucket FROM rk JOIN rl USING (qid, stem) UNION ALL SELECT rank, 'time', year(date) || 'q' || quarter(date) FROM rk JOIN rl USING (qid, stem) JOIN (SELECT stem, date FROM n) USING (stem)) SELECT kind, bucket, count(*) AS questions, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS recall_1 FROM fi GROUP BY ALL")
 def eval_stratified(t):
-    return ev.stratified(ranked(t).join(relevant(t), ["qid", "stem"]).join(t.plain_notes.select("stem", "recurrence"), "stem"))
+    return ev.stratified(ranked(t).join(relevant(t), ["qid", "stem"]).join(t.plain_notes.select("stem", "recurrence", "date"), "stem"))
 
 
 @query(RANKED + f", sc AS (SELECT qid, stem, {mm('lex')} AS a, {mm('ln(recurrence)')} AS b FROM rk WHERE rank <= 50), gr AS (SELECT qid, stem, w, round((1 - w) * a + w * b, 9) AS s FROM sc, (SELECT unnest([0.0, 0.1, 0.3, 0.5]) AS w)), fr AS (SELECT w, qid, min(rank) AS r FROM (SELECT *, row_number() OVER (PARTITION BY w, qid ORDER BY s DESC, stem) AS rank FROM gr) JOIN rl USING (qid, stem) GROUP BY ALL) SELECT CAST(w AS DOUBLE) AS w, round(sum(CASE WHEN r = 1 THEN 1.0 ELSE 0 END) / (SELECT count(DISTINCT qid) FROM rl), 6) AS recall_1, round(sum(1.0 / r) / (SELECT count(DISTINCT qid) FROM rl), 6) AS mrr FROM fr GROUP BY 1")

@@ -175,9 +175,9 @@ def coreset_utility(t):
 RETAIN = ", b AS (SELECT project, stem, recurrence, date, 'topic-' || (doc_id % 23) AS topic FROM n), kp AS (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, project, stem, topic FROM b QUALIFY row_number() OVER (PARTITION BY project ORDER BY {o}, stem) <= 15" for p, o in (("recurrence", "recurrence DESC"), ("newest", "date DESC"), ("hash", "md5(stem)"))).replace("SELECT", "(SELECT").replace("<= 15", "<= 15)") + ")"
 
 
-@query(RETAIN + " SELECT policy, count(DISTINCT project || topic) AS topics, round(count(*) / count(DISTINCT project || topic), 6) AS members, round(count(DISTINCT project || topic) / (SELECT count(DISTINCT project || topic) FROM b), 6) AS share FROM kp GROUP BY 1")
+@query(RETAIN + " SELECT policy, count(DISTINCT project || topic) AS topics, round(count(*) / count(DISTINCT project || topic), 6) AS members, round(count(DISTINCT project || topic) / (SELECT count(DISTINCT project || topic) FROM b), 6) AS share, (SELECT round(avg(list_cosine_similarity(x.vec, y.vec)), 6) FROM kp a JOIN kp b ON a.policy = b.policy AND a.project = b.project AND a.stem <> b.stem JOIN n x ON x.stem = a.stem JOIN n y ON y.stem = b.stem WHERE a.policy = kp.policy AND x.vec IS NOT NULL AND y.vec IS NOT NULL) AS redundancy FROM kp GROUP BY policy")
 def retention_policies(t):
-    n = t.notes.select("project", "stem", "recurrence", "date", F.concat(F.lit("topic-"), (F.col("doc_id") % 23).cast("string")).alias("topic"))
+    n = t.notes.join(t.vectors, "doc_id", "left").select("project", "stem", "recurrence", "date", "vec", F.concat(F.lit("topic-"), (F.col("doc_id") % 23).cast("string")).alias("topic"))
     return s.retention_metrics(s.retention(n, 15), n)
 
 
