@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
+from lorekeep.llm import minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +47,22 @@ def test_stage_reaches_pairs_of_jaccard_near_the_limit(spark, words):
     assert got == {i for i, r in enumerate(want) if i == r} and 60 < len(got) < 480
 
 
+def test_crowded_buckets_are_compared_in_tiles(spark, words, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for k in range(90):  # one cloud of copies, some of them further apart than the limit
+        copy = list(base)
+        for j in rng.sample(range(120), rng.randint(0, 9)):
+            copy[j] = f"w{k}x{j}"
+        texts.append(" ".join(copy))
+    want = brute_roots([grams(t) for t in texts])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "TILE", 7)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < 60
+
+
 def test_stage_matches_all_pairs_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
