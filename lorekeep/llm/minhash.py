@@ -9,7 +9,7 @@ with probability 0.9998. Inside a bucket the minimum hashes themselves (a sketch
 bits each) are compared with numpy: first every node with one centre of its bucket,
 for STARS choices of the centre, then all nodes that are still in different
 components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
-SLACK (three deviations: 0.9987 of the pairs at the limit) leave a task, and a link is
+SLACK (three deviations: 0.999 of the pairs at the limit) leave a task, and a link is
 such a pair whose sets have a Jaccard similarity of `least` or more, measured on the
 sets themselves (as 64-bit hashes) in a join. So all pairs of a bucket are either
 compared or already connected, and a large group of copies gives a few rows a node.
@@ -37,12 +37,14 @@ BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
 #: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
 RADIUS, BLOCKS = 4, 7
 #: What a sketch may lack of a similarity; nodes of a bucket in a tile.
-SLACK, TILE = 0.15, 4096
+SLACK, TILE = 0.075, 4096
+#: Minimum hashes of a sketch; the first BANDS * ROWS of them make the keys.
+SKETCH = 256
 #: Candidate texts up to which their list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 #: Shingles in one numpy step, and in one batch of sets.
 STEP, FLUSH = 4096, 500_000
-_MIX = np.random.default_rng(20240101).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_MIX = np.random.default_rng(20240101).integers(0, 1 << 64, (2, SKETCH), np.uint64)
 ADD, FACTOR = _MIX[0][:, None], _MIX[1][:, None] | np.uint64(1)
 
 
@@ -67,10 +69,10 @@ def bands(held: np.ndarray) -> tuple[list[int], bytes]:
     """The key of each band and the sketch; no shingles, no keys."""
     if not len(held):
         return [], b""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(held), STEP):
         least = np.minimum(least, ((held[at : at + STEP] ^ ADD) * FACTOR).min(axis=1))
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], (least >> np.uint64(24)).astype(np.uint16).tobytes()
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))], (least >> np.uint64(24)).astype(np.uint16).tobytes()
 
 
 def _prints(size: int):
@@ -123,12 +125,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _compare(star: int | None, least: float):
-    """Rows (key, tile, node, n, root, sketch) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), or all."""
+    """Rows (key, tile, node, n, root, sketch, band) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), or all."""
 
     def group(columns: list) -> Iterator[pa.RecordBatch]:
         node, n, root = (c.to_numpy() for c in columns[2:5])
         if len(node) < 2 or (root == root[0]).all():
             return
+        band = columns[6][0].as_py()
         sketch = np.frombuffer(b"".join(columns[5].to_pylist()), np.uint16).reshape(len(node), -1)
         agree = int(np.ceil((least - SLACK) * sketch.shape[1]))
         order = range(len(node) - 1)
@@ -139,7 +142,13 @@ def _compare(star: int | None, least: float):
             at = at if star is not None else at[at > i]
             low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
             at = at[low >= least * high - 1e-9]
-            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= agree]
+            same = sketch[at] == sketch[i]
+            close = same.sum(axis=1) >= agree
+            if star is None:
+                # a pair leaves the first of the buckets that it shares, and no other
+                shared = same[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2)
+                close &= shared.argmax(axis=1) == band
+            at = at[close]
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[at], node[i])), pa.array(np.minimum(node[at], node[i]))], names=["u", "v"])
 
@@ -160,7 +169,7 @@ def _compare(star: int | None, least: float):
 
 
 def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, from bucket rows (key, node, n, sketch), the sets (node, held) of their nodes, and the candidates (u, v)."""
+    """(node, root) of every linked node, from bucket rows (key, band, node, n, sketch), the sets (node, held) of their nodes, and the candidates (u, v)."""
     found = root = None
     new = stored(_verified(near, sets, least), "links")
     if not new.isEmpty():
@@ -168,8 +177,8 @@ def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> Da
     for star in [*range(STARS), None]:
         placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        placed = stored(placed.join(mixed, "key", "left_semi").select("key", "node", "n", "root", "sketch"), "placed")
-        dealt = simhash.tiled(placed, ["key"], "node", TILE).select("key", "tile", "node", "n", "root", "sketch")
+        placed = stored(placed.join(mixed, "key", "left_semi").select("key", "band", "node", "n", "root", "sketch"), "placed")
+        dealt = simhash.tiled(placed, ["key"], "node", TILE).select("key", "tile", "node", "n", "root", "sketch", "band")
         pairs = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(star, least), "u long, v long")
         new = stored(_verified(pairs, sets, least), "links")
         if new.isEmpty():
@@ -185,7 +194,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>, sketch binary"), "prints")
     nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    buckets = nodes.select("node", "h", "n", "sketch", F.explode("keys").alias("key"))
+    buckets = nodes.select("node", "h", "n", "sketch", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
     full = nodes.where("n > 0").select("node", "fp")
@@ -196,7 +205,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         asked = F.broadcast(asked)
     texts = rows.join(asked, "h", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, held array<long>").dropDuplicates(["node"]), "sets")
-    root = links(buckets.select("key", "node", "n", "sketch"), sets, least, near)
+    root = links(buckets.select("key", "band", "node", "n", "sketch"), sets, least, near)
     return prints.join(root, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 
 
