@@ -40,7 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one is kept. Null texts and texts without words are one group. An empty table stays empty; the
     columns of `docs` come back as they are.
     """
-    placed = stored(minhash.groups(docs, shingle=5, least=0.8), "groups")
+    path = new_path(spark, "groups")
+    with cleared(spark):
+        minhash.groups(docs, shingle=5, least=0.8).write.parquet(path)
+    placed = spark.read.parquet(path)
     rows = placed.groupBy("id", "h", "root").agg(F.count("*").alias("ties"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "ties")).alias("k"))
     keep = stored(first.select(F.col("k.id").alias("_keep_id"), F.col("k.h").alias("_keep_h"), F.col("k.ties").alias("_keep_ties")), "keep")
@@ -61,8 +64,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     an empty table stays empty; the columns of `docs` come back as they are.
     """
     texts = docs.select(text_key().alias("_text_key"), "text")
-    found = decontam.decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_text_key")
-    bad = stored(found.where("contaminated").select(F.col("_text_key").alias("bad")).distinct(), "bad")
+    path = new_path(spark, "bad")
+    with cleared(spark):
+        found = decontam.decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_text_key")
+        found.where("contaminated").select(F.col("_text_key").alias("bad")).distinct().write.parquet(path)
+    bad = spark.read.parquet(path)
     return docs.join(bad, text_key() == F.col("bad"), "left_anti").select(*named(docs))
 
 
