@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import stored
+from lorekeep.llm.shared import new_path, stored
+from lorekeep.shared import cleared
 
 #: Bytes on either side that a cut's hash exceeds; longest chunk; bytes in one numpy step.
 WIDE, MOST, STEP = 24, 128, 1 << 20
@@ -192,8 +193,11 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """(doc_id, start, stop, n_words, first_doc_id): byte spans that stand whole in one document with a smaller id (`within`: or earlier in the same)."""
-    table = stored(chunks(df, id_col, text_col), "chunks")
-    found = stored(chains(table, min_words, within), "chains")
+    spark = df.sparkSession
+    path = new_path(spark, "chains")
+    with cleared(spark):  # the chunks are the largest table kept, and done with here
+        chains(stored(chunks(df, id_col, text_col), "chunks"), min_words, within).write.parquet(path)
+    found = spark.read.parquet(path)
     end = lambda left, at, o_at: F.struct(F.lit(left).alias("left"), at.alias("at"), o_at.alias("o_at"))
     ends = F.array(end(True, F.col("start"), F.col("f_start")), end(False, F.col("stop"), F.col("f_start") + F.col("stop") - F.col("start")))
     sides = found.select("doc_id", "chain", F.col("f_doc").alias("o_doc"), F.explode(ends).alias("s")).select("doc_id", "chain", "o_doc", "s.*")
