@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import cdc, dac, decontam, exact_dedup, licenses, mixing, nbsvm, separator_scan, simhash, warc
+from lorekeep.llm import cdc, dac, decontam, exact_dedup, licenses, mixing, nbsvm, separator_scan, simhash, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, blocks=7)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_starts(table(spark, sf_dir, "conversations"), every=100, most=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash, op11_prefix_trie)
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -87,6 +91,28 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 g AS (SELECT k, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY k)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> keep THEN keep END AS refers_to FROM p LEFT JOIN g USING (k)""",
+    "op11_prefix_trie": """
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+             xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                 lambda crc, b: list_reduce(list_concat([xor(crc, b)], CAST(range(8) AS BIGINT[])), lambda x, bit: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT)) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM c)),
+r AS (SELECT k.conv_id, c.i, role, text FROM k JOIN c ON c.conv_id = k.base AND c.i <= k.h
+      UNION ALL SELECT k.conv_id, 1000000 + c.i, role, text FROM k JOIN c ON c.conv_id = k.conv_id AND c.i > k.h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, sha256(array_to_string(list(sha256(length(role) || ':' || role || text)) OVER w, ',')) AS key, length(text) AS size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+m AS (SELECT conv_id, 0 AS depth, '' AS key, 0 AS size FROM k UNION ALL SELECT * FROM p),
+e AS (SELECT conv_id, max(depth) AS total FROM m GROUP BY conv_id),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS own,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = total), '')) AS ends_sha256
+      FROM m JOIN e USING (conv_id) GROUP BY depth, key),
+u AS (SELECT n.depth, n.key, n.conv_id, n.n_convs, n.own, n.ends_sha256, o.key AS above, o.conv_id AS parent_conv_id
+      FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 LEFT JOIN n o ON o.depth = n.depth - 1 AND o.key = m.key),
+f AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+t AS (SELECT u.depth, u.key, coalesce(f.n_children, 0) AS n_children, u.own FROM u LEFT JOIN f ON f.depth = u.depth AND f.key = u.key),
+g AS (SELECT m.depth, m.key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+      FROM t JOIN n ON n.depth = t.depth AND n.key = t.key JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.depth, m.key)
+SELECT u.conv_id, u.depth, u.parent_conv_id, u.n_convs, t.n_children, g.n_leaves, g.saved_tokens, u.ends_sha256
+FROM u JOIN t ON t.depth = u.depth AND t.key = u.key JOIN g ON g.depth = u.depth AND g.key = u.key""",
 }
 
 
@@ -99,7 +125,7 @@ def _license_sql() -> str:
     return rf"""
 WITH k(s, name) AS (VALUES {known}),
 u AS (SELECT doc_id, generate_subscripts(x, 1) AS a, unnest(x) AS s FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{licenses.ENDS}') AS x FROM documents)),
-p AS (SELECT doc_id, a, {norm.format('s')} AS w, list_filter(list_transform(regexp_split_to_array(s, '[
+p AS (SELECT doc_id, a, {norm.format('s')} AS w, list_filter(list_transform(regexp_split_to_array(s, '[
 ]+'), lambda x: {norm.format('x')}), lambda x: x <> '') AS n FROM u),
 m AS (SELECT doc_id, a, w, CASE WHEN len(n) > 1 THEN n ELSE [] END AS n FROM p WHERE w <> ''),
 j AS (SELECT *, n[len(n)] AS l, lead(w) OVER d AS y, lead(n[1]) OVER d AS yf, lead(w, 2) OVER d AS z, lead(n[1], 2) OVER d AS zf FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY a)),
