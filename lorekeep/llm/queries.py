@@ -109,7 +109,7 @@ u AS (SELECT n.depth, n.key, n.conv_id, n.n_convs, n.own, n.ends_sha256, o.key A
       FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 LEFT JOIN n o ON o.depth = n.depth - 1 AND o.key = m.key),
 f AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
 t AS (SELECT u.depth, u.key, coalesce(f.n_children, 0) AS n_children, u.own FROM u LEFT JOIN f ON f.depth = u.depth AND f.key = u.key),
-g AS (SELECT m.depth, m.key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+g AS (SELECT m.depth, m.key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(t.own) AS BIGINT) AS saved_tokens
       FROM t JOIN n ON n.depth = t.depth AND n.key = t.key JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.depth, m.key)
 SELECT u.conv_id, u.depth, u.parent_conv_id, u.n_convs, t.n_children, g.n_leaves, g.saved_tokens, u.ends_sha256
 FROM u JOIN t ON t.depth = u.depth AND t.key = u.key JOIN g ON g.depth = u.depth AND g.key = u.key""",
