@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import cdc, dac, decontam, exact_dedup, licenses, mixing, nbsvm, separator_scan, simhash, trie, warc
+from lorekeep.llm import cdc, dac, decontam, exact_dedup, lexical, licenses, mixing, nbsvm, separator_scan, simhash, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_starts(table(spark, sf_dir, "conversations"), every=100, most=6)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash, op11_prefix_trie)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash, op11_prefix_trie, op13_lexical_search)
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -113,6 +117,16 @@ g AS (SELECT m.depth, m.key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(
       FROM t JOIN n ON n.depth = t.depth AND n.key = t.key JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.depth, m.key)
 SELECT u.conv_id, u.depth, u.parent_conv_id, u.n_convs, t.n_children, g.n_leaves, g.saved_tokens, u.ends_sha256
 FROM u JOIN t ON t.depth = u.depth AND t.key = u.key JOIN g ON g.depth = u.depth AND g.key = u.key""",
+    "op13_lexical_search": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY doc_id, w, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, s GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+c AS (SELECT item_id, doc_id, CAST(sum(q.n * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * t.n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
 }
 
 
