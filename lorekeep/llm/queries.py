@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import cdc, dac, decontam, exact_dedup, lexical, licenses, mixing, nbsvm, separator_scan, simhash, trie, warc
+from lorekeep.llm import cdc, dac, decontam, exact_dedup, lexical, licenses, mixing, nbsvm, repeats, separator_scan, simhash, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_starts(table(spark, sf_dir, "conversations"), every=100, most=6)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(table(spark, sf_dir, "documents"), least=400)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash, op11_prefix_trie, op13_lexical_search)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_decontaminate, op4_quality, op5_warc, op6_substring_dedup, op7_mix_sources, op8_token_counts, op9_license_scan, op10_simhash, op11_prefix_trie, op12_suffix_dedup, op13_lexical_search)
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
