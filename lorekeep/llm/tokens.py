@@ -28,7 +28,7 @@ MARK = "\0"
 ODD = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}|\x00"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Characters of the pieces of one generation of the cache; a worker keeps two, and drops the older when the younger is full.
-CACHED_CHARS = 5_000_000
+CACHED_CHARS = 2_000_000
 #: Pieces that the library gets as one text.
 TOGETHER = 1000
 
