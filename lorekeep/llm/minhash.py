@@ -6,7 +6,7 @@ pairs at a similarity of 0.8 it finds few (ten bits differ in the mean), and key
 for ten bits would be too many, so minimum hashes complete it: BANDS keys of ROWS
 of them each name the buckets of a node; a pair of similarity 0.8 shares a bucket
 with probability 0.9998. Inside a bucket the minimum hashes themselves (a sketch of 16
-bits each) are compared with numpy: first every node with one centre of its bucket,
+or 8 bits each) are compared with numpy: first every node with one centre of its bucket,
 for STARS choices of the centre, then all nodes that are still in different
 components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
 SLACK (three deviations: 0.999 of the pairs at the limit) leave a task, and a link is
@@ -38,8 +38,8 @@ BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
 RADIUS, BLOCKS = 4, 7
 #: What a sketch may lack of a similarity; nodes of a bucket in a tile.
 SLACK, TILE = 0.075, 4096
-#: Minimum hashes of a sketch; the first BANDS * ROWS of them make the keys.
-SKETCH = 256
+#: Minimum hashes of a sketch; the first BANDS * ROWS of them make the keys and are kept with 16 bits, the others with 8.
+SKETCH, KEYED = 256, 64
 #: Candidate texts up to which their list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 #: Shingles in one numpy step, and in one batch of sets.
@@ -72,7 +72,15 @@ def bands(held: np.ndarray) -> tuple[list[int], bytes]:
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(held), STEP):
         least = np.minimum(least, ((held[at : at + STEP] ^ ADD) * FACTOR).min(axis=1))
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))], (least >> np.uint64(24)).astype(np.uint16).tobytes()
+    keys = [xxhash.xxh3_64_intdigest(row.tobytes(), i) for i, row in enumerate(least[:KEYED].reshape(BANDS, ROWS))]
+    short = least >> np.uint64(24)
+    return keys, short[:KEYED].astype(np.uint16).tobytes() + short[KEYED:].astype(np.uint8).tobytes()
+
+
+def sketches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keyed values and the others, a row for each sketch."""
+    held = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return np.ascontiguousarray(held[:, : 2 * KEYED]).view(np.uint16), np.ascontiguousarray(held[:, 2 * KEYED :])
 
 
 def _prints(size: int):
@@ -117,7 +125,9 @@ def _sets(size: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
-    pairs = pairs.distinct()
+    pairs = stored(pairs.distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = sets.join(F.broadcast(asked) if pairs.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("held").alias("held_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("held").alias("held_u")), "u")
     shared = F.size(F.array_intersect("held_u", "held_v"))
     # shared / union >= least; the margin is for the rounding of `least` alone
@@ -132,8 +142,8 @@ def _compare(star: int | None, least: float):
         if len(node) < 2 or (root == root[0]).all():
             return
         band = columns[6][0].as_py()
-        sketch = np.frombuffer(b"".join(columns[5].to_pylist()), np.uint16).reshape(len(node), -1)
-        agree = int(np.ceil((least - SLACK) * sketch.shape[1]))
+        keyed, others = sketches(columns[5].to_pylist())
+        agree = int(np.ceil((least - SLACK) * SKETCH))
         order = range(len(node) - 1)
         if star is not None:
             order = [int(np.argmin((node.view(np.uint64) ^ ADD[star]) * FACTOR[star]))]
@@ -142,11 +152,11 @@ def _compare(star: int | None, least: float):
             at = at if star is not None else at[at > i]
             low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
             at = at[low >= least * high - 1e-9]
-            same = sketch[at] == sketch[i]
-            close = same.sum(axis=1) >= agree
+            same = keyed[at] == keyed[i]
+            close = same.sum(axis=1) + (others[at] == others[i]).sum(axis=1) >= agree
             if star is None:
                 # a pair leaves the first of the buckets that it shares, and no other
-                shared = same[:, : BANDS * ROWS].reshape(len(at), BANDS, ROWS).all(axis=2)
+                shared = same.reshape(len(at), BANDS, ROWS).all(axis=2)
                 close &= shared.argmax(axis=1) == band
             at = at[close]
             if len(at):
