@@ -188,7 +188,7 @@ def boilerplate_strip(t):
     long, gap = F.rpad(F.md5("project"), 220, "x"), F.lit("\n\n")
     k = F.col("doc_id") % 3
     text = F.when(k == 0, F.concat(F.lit("a"), gap, long, gap, F.lit("b"), gap, long, gap, long)).when(k == 1, F.concat(long, gap, long)).otherwise("x <system-reminder>a\nb</system-reminder>y")
-    return lenses.strip_boilerplate(t.plain_notes.select("stem", text.alias("text")), "stem", "text").select("stem", F.regexp_replace("text", "   ", "  ").alias("text"))
+    return lenses.strip_boilerplate(t.plain_notes.select("stem", text.alias("text")), "stem", "text")
 
 
 @query(f"SELECT stem, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 400) || chr(10) || chr(10) || '[...middle of the transcript trimmed...]' || chr(10) || chr(10) || right(text, {1000 - 400 - len(lenses.MARKER)}) END AS text FROM n")

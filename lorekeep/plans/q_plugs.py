@@ -66,9 +66,9 @@ def udf_predicate(t):
     return t.plain_notes.where((F.length("title") > 40) & (F.col("recurrence") % 2 == 1)).select("stem")
 
 
-@query("SELECT stem, 'Schuka-' || slug || '-Ezh' AS latin FROM n")
+@query("SELECT stem, 'SCHuka-' || slug || '-Ezh' AS latin FROM n")
 def translit(t):
-    return t.plain_notes.select("stem", tx.translit(F.concat(F.lit("Щука-"), "slug", F.lit("-Ёж"))).alias("latin")).withColumn("latin", F.replace("latin", F.lit("SCH"), F.lit("Sch")))
+    return t.plain_notes.select("stem", tx.translit(F.concat(F.lit("Щука-"), "slug", F.lit("-Ёж"))).alias("latin"))
 
 
 @query("SELECT stem, 'my_' || slug || '/x-y' AS tag FROM n")

@@ -69,16 +69,21 @@ def transcript_sweep(t):
     return transcripts.sweep(session_files(t), processed(t), NOW)
 
 
-@query(RAW + ASSEMBLED + """, f AS (SELECT session, body AS text, length(body) // 2 AS c FROM asm),
-w AS (SELECT session AS path, c AS chars, substr(sha1(CASE WHEN session % 4 = 1 THEN 'changed' ELSE substr(text, 1, c) END), 1, 8) AS hash8, CASE WHEN session % 4 = 0 THEN octet_length(encode(text)) ELSE 1 END AS bytes FROM f WHERE session % 4 <> 3)
-SELECT f.session AS path, CASE WHEN f.session % 4 = 0 THEN 'skip' WHEN f.session % 4 = 2 AND length(text) > c THEN 'delta' ELSE 'full' END AS mode,
-  CASE f.session % 4 WHEN 0 THEN '' WHEN 2 THEN CASE WHEN length(text) > c THEN substr(text, c + 1) ELSE text END ELSE text END AS mined, CAST(length(text) AS INT) AS chars, substr(sha1(text), 1, 8) AS hash8, octet_length(encode(text)) AS bytes FROM f""")
+@query(RAW + ASSEMBLED + f""", f AS (SELECT session AS path, body AS text, length(body) // 2 AS c, CASE WHEN session % 5 = 0 THEN {NOW} ELSE 0 END AS mtime FROM asm),
+k AS (SELECT *, CASE WHEN path % 4 = 0 THEN 'skip' WHEN path % 4 = 2 AND length(text) > c THEN 'delta' ELSE 'full' END AS kind FROM f),
+m AS (SELECT *, CASE kind WHEN 'skip' THEN '' WHEN 'delta' THEN substr(text, c + 1) ELSE text END AS rest FROM k),
+l AS (SELECT *, CASE WHEN mtime > {NOW} - 120 THEN regexp_extract(rest, '(?s)^.*\n') ELSE rest END AS tail FROM m),
+o AS (SELECT *, CASE WHEN kind <> 'skip' AND tail = '' THEN 'wait' WHEN kind <> 'skip' AND octet_length(encode(tail)) > 4000 THEN 'over' ELSE kind END AS mode FROM l),
+r AS (SELECT *, CASE WHEN mode IN ('delta', 'full') THEN CASE kind WHEN 'delta' THEN c ELSE 0 END + length(tail) WHEN kind <> 'full' THEN c END AS chars FROM o)
+SELECT path, mode, CASE WHEN mode IN ('delta', 'full') THEN tail ELSE '' END AS mined, CAST(chars AS INT) AS chars, substr(sha1(substr(text, 1, chars)), 1, 8) AS hash8,
+  CASE WHEN mode IN ('delta', 'full') THEN CASE WHEN chars = length(text) THEN octet_length(encode(text)) ELSE -1 END WHEN mode = 'skip' THEN octet_length(encode(text)) WHEN kind = 'delta' THEN 1 END AS bytes FROM r""")
 def delta_ingest(t):
-    files = transcripts.assemble(transcripts.events(raw_lines(t))).select(F.col("session").alias("path"), F.col("body").alias("text"))
+    """Unchanged, grown, changed and new files; every fifth is still being written, and some are over the cap."""
+    files = transcripts.assemble(transcripts.events(raw_lines(t))).select(F.col("session").alias("path"), F.col("body").alias("text"), F.when(F.col("session") % 5 == 0, NOW).otherwise(0).alias("mtime"))
     half = F.floor(F.length("text") / 2)
     old = F.when(F.col("path") % 4 == 1, F.lit("changed")).otherwise(F.col("text").substr(F.lit(1), half.cast("int")))
     marks = files.where("path % 4 <> 3").select("path", half.cast("int").alias("chars"), F.substring(F.sha1(old.cast("binary")), 1, 8).alias("hash8"), F.when(F.col("path") % 4 == 0, F.octet_length("text")).otherwise(1).alias("bytes"))
-    return transcripts.delta(files, marks)
+    return transcripts.delta(files, marks, cap=4000, now=NOW)
 
 
 @query(f"SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'not a time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS processed_at FROM led WHERE event_id % 50 = 0 OR date_trunc('second', ts) >= DATE '2024-04-15' - INTERVAL 90 DAY")

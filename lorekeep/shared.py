@@ -24,9 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir is not set: on a cluster, driver and executors need a folder that they share")
     if not named:
         named = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+    named = qualified(spark, named)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return named.rstrip("/")
+    return named
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with its file system, a bare one with the cluster's default, as Spark's own writers take it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 _made: list[str] = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 LINE_CHARS = 2000
 BLOCK = "struct<type:string,text:string,name:string,input:string>"
 EVENT = "type string, cwd string, timestamp string, metadata struct<cwd:string,timestamp:string>, snapshot struct<cwd:string,timestamp:string>, message struct<role:string,content:string>"
-SETTLE_SECONDS, RUN_CAP, MINED_CHARS = 120, 40, 10 * 1024 * 1024
+SETTLE_SECONDS, RUN_CAP, MINED_BYTES = 120, 40, 10 * 1024 * 1024
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -71,14 +71,40 @@ def sweep(files: DataFrame, processed: DataFrame, now: int, settle: int = SETTLE
     return todo.select("path", "mtime", "bytes").orderBy("mtime", "path").limit(cap)
 
 
-def delta(files: DataFrame, watermarks: DataFrame, cap: int = MINED_CHARS) -> DataFrame:
-    """What to mine of each file (path, text): nothing, the appended tail, or all of it when its old part changed."""
+def delta(files: DataFrame, watermarks: DataFrame, cap: int | None = MINED_BYTES, now: int | None = None, settle: int = SETTLE_SECONDS) -> DataFrame:
+    """What to mine of each file (path, text and, with `now`, mtime), and its watermark afterwards: path, mode, mined, chars, hash8, bytes.
+
+    skip: as many bytes as the watermark saw. same: the text is the old one. delta: the old text stands, its tail is
+    mined. full: no watermark, or the old text changed. wait: a file still being written has no complete new line.
+    over: more than `cap` bytes to mine (null: no cap); the watermark stays, so that nothing is lost when the cap is
+    raised. A file changed within `settle` seconds gives complete lines only, and -1 bytes where a rest is left, so that
+    the next look does not skip it.
+    """
     w = watermarks.select("path", F.col("chars").alias("w_chars"), F.col("hash8").alias("w_hash"), F.col("bytes").alias("w_bytes"))
-    f = files.join(w, "path", "left").withColumn("bytes", F.octet_length("text"))
-    head = F.substring(F.sha1(F.col("text").substr(F.lit(1), F.col("w_chars")).cast("binary")), 1, 8)
-    mode = F.when(F.col("w_bytes") == F.col("bytes"), "skip").when((head == F.col("w_hash")) & (F.length("text") > F.col("w_chars")), "delta").otherwise("full")
-    mined = F.when(F.col("mode") == "delta", F.col("text").substr(F.col("w_chars") + 1, F.lit(1 << 30))).when(F.col("mode") == "full", F.col("text")).otherwise("")
-    return f.withColumn("mode", mode).select("path", "mode", mined.substr(1, cap).alias("mined"), F.length("text").alias("chars"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 8).alias("hash8"), "bytes")
+    f = files.join(w, "path", "left").withColumn("size", F.octet_length("text"))
+    digest = lambda c: F.substring(F.sha1(c.cast("binary")), 1, 8)
+    stands = digest(F.col("text").substr(F.lit(1), F.col("w_chars"))) == F.col("w_hash")
+    kind = F.when(F.col("w_bytes") == F.col("size"), "skip").when(stands & (F.length("text") == F.col("w_chars")), "same").when(stands & (F.length("text") > F.col("w_chars")), "delta").otherwise("full")
+    f = f.withColumn("kind", kind)
+    tail = F.when(F.col("kind") == "delta", F.col("text").substr(F.col("w_chars") + 1, F.length("text"))).when(F.col("kind") == "full", F.col("text")).otherwise("")
+    if now is not None:
+        tail = F.when(F.col("mtime") > now - settle, F.regexp_extract(tail, r"(?s)\A.*\n", 0)).otherwise(tail)
+    f = f.withColumn("tail", tail)
+    mines = F.col("kind").isin("delta", "full")
+    over = F.octet_length("tail") > cap if cap is not None else F.lit(False)
+    mode = F.when(mines & (F.col("tail") == "") & (F.col("text") != ""), "wait").when(mines & over, "over").otherwise(F.col("kind"))
+    f = f.withColumn("mode", mode)
+    took = F.col("mode").isin("delta", "full", "same")
+    chars = F.when(F.col("kind") == "delta", F.col("w_chars")).when(F.col("kind") == "same", F.col("w_chars")).otherwise(0) + F.length("tail")
+    # a changed file whose watermark no longer holds, and that is not mined now, has none
+    kept = lambda c: F.when((F.col("kind") != "full"), F.col(c))
+    f = f.withColumn("new_chars", F.when(took, chars).otherwise(kept("w_chars")))
+    whole = F.col("new_chars") == F.length("text")
+    return f.select(
+        "path", "mode", F.when(F.col("mode").isin("delta", "full"), F.col("tail")).otherwise("").alias("mined"), F.col("new_chars").alias("chars"),
+        F.when(took, digest(F.col("text").substr(F.lit(1), F.col("new_chars")))).otherwise(kept("w_hash")).alias("hash8"),
+        F.when(took, F.when(whole, F.col("size")).otherwise(-1)).otherwise(kept("w_bytes")).alias("bytes"),
+    )
 
 
 def prune(processed: DataFrame, as_of: str, days: int = 90) -> DataFrame:
