@@ -2,16 +2,12 @@
 
 Candidate pairs are those with a close cosine, found exactly by comparing tiles of
 vectors, inside one (project, ntype) or over the whole store; the twin model reads
-texts of these pairs only. Greedy clustering is
-the lexicographically first maximal independent set: in a round every undecided
-note without an undecided better neighbour becomes a seed and takes its undecided
-neighbours; members go to their best adjacent seed after the last round.
+texts of these pairs only. Clusters keep no pairs: notes meet the seeds of a round
+and leave with the first one that is near.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -96,19 +92,19 @@ def close_pairs(left: DataFrame, least: float, right: DataFrame | None = None, b
     return dealt.groupBy(*by, "i", "j").applyInPandas(compare, "stem_a string, stem_b string, sim double")
 
 
-def side(notes: DataFrame, s: str) -> DataFrame:
-    """What the twin model asks of a note, for side `s` of a pair: word sets are made once a note."""
+def side(notes: DataFrame, s: str, vec: bool = True) -> DataFrame:
+    """What the twin model asks of a note, for side `s` of a pair: word sets are made once a note, vectors come where no cosine is known."""
     words = {"words": twin_words(F.concat_ws(" ", "title", "descr")), "heads": twin_words("title"), "size": F.greatest(F.lit(1), F.length("title") + F.length("descr"))}
     n = notes.withColumns(words)
-    return n.select(*[F.col(c).alias(f"{c}_{s}") for c in ("stem", "words", "heads", "size", "ents", "vec", "toks")])
+    return n.select(*[F.col(c).alias(f"{c}_{s}") for c in ("stem", "words", "heads", "size", "ents", *(["vec"] if vec else []), "toks")])
 
 
 def twin_features(pairs: DataFrame) -> DataFrame:
-    """Pairs with both sides joined in gain the five features."""
+    """Pairs with both sides joined in gain the five features; a known cosine is in `sim`."""
     small = F.least(F.size("ents_a"), F.size("ents_b"))
     return pairs.withColumns(
         {
-            "f_cos": numbers.cosine("vec_a", "vec_b"),
+            "f_cos": F.col("sim") if "sim" in pairs.columns else numbers.cosine("vec_a", "vec_b"),
             "f_words": jaccard(F.col("words_a"), F.col("words_b")),
             "f_title": jaccard(F.col("heads_a"), F.col("heads_b")),
             "f_entities": F.when(small > 0, F.size(F.array_intersect("ents_a", "ents_b")) / small).otherwise(0.0),
@@ -132,7 +128,7 @@ def scored_pairs(left: DataFrame, right: DataFrame | None = None, prefilter: flo
     texts are joined in for the close pairs only. Within one table a pair also shares a token of `toks`.
     """
     near = stored(close_pairs(left, prefilter, right, ["project", "ntype"]), "close")
-    both = near.join(side(left, "a"), "stem_a").join(side(left if right is None else right, "b"), "stem_b")
+    both = near.join(side(left, "a", False), "stem_a").join(side(left if right is None else right, "b", False), "stem_b")
     if right is None:
         both = both.where(F.arrays_overlap("toks_a", "toks_b"))
     return twin_features(both).withColumn("p", twin_probability())
@@ -164,52 +160,276 @@ def contradiction_band(notes: DataFrame, low: float = 0.82, high: float = 0.92)
     return near.join(slug("a"), "stem_a").join(slug("b"), "stem_b").where("slug_a <> slug_b").select("stem_a", "stem_b", "sim")
 
 
-def auto_links(notes: DataFrame, links: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
-    """(stem, target, shared, rank): the k siblings of a project that share most tokens, without links already there."""
-    t = notes.select("project", "stem", F.explode(tokens("body")).alias("tok"))
-    pairs = t.join(t.select("project", F.col("stem").alias("target"), "tok"), ["project", "tok"]).where("stem <> target")
-    counts = pairs.groupBy("stem", "target").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("shared"), F.desc("target")))).where(F.col("rank") <= k)
-    return best.join(links.select("stem", "target"), ["stem", "target"], "left_anti")
+#: Notes of a project in one tile of the link search, and visiting notes that meet a tile in one task.
+LINK_TILE = 1024
+
+
+def _incidence(sets: list, number: dict) -> np.ndarray:
+    """Notes x numbered tokens; tokens without a number are left out."""
+    held = [[number[t] for t in s if t in number] for s in sets]
+    out = np.zeros((len(sets), len(number)), np.float32)
+    out[np.repeat(np.arange(len(sets)), [len(h) for h in held]), np.fromiter((x for h in held for x in h), int)] = 1
+    return out
+
 
+def _best_shared(own: pd.DataFrame, tile: pd.DataFrame, k: int, least: int) -> pd.DataFrame:
+    """(stem, target, shared): the k notes of the tile that share most tokens with each own note."""
+    number = {t: i for i, t in enumerate(sorted({t for s in tile["toks"] for t in s}))}
+    shared = (_incidence(list(own["toks"]), number) @ _incidence(list(tile["toks"]), number).T).astype(np.int64)
+    stems, targets = own["stem"].to_numpy(object), tile["stem"].to_numpy(object)
+    later = np.empty(len(targets), np.int64)
+    later[np.argsort(targets)[::-1]] = np.arange(len(targets))  # of equal counts the greater stem comes first
+    shared[stems[:, None] == targets[None, :]] = 0
+    value = shared * len(targets) - later
+    k = min(k, len(targets))
+    best = np.argpartition(-value, k - 1, axis=1)[:, :k]
+    at, to = np.repeat(np.arange(len(stems)), k), best.ravel()
+    keep = shared[at, to] >= least
+    return pd.DataFrame({"stem": stems[at[keep]], "target": targets[to[keep]], "shared": shared[at[keep], to[keep]]})
 
-def greedy_clusters(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Nodes (id, place) and undirected pairs (a, b) to (id, seed): what the sequential greedy pass in place order gives.
 
-    Clusters of one are left out.
+def auto_links(notes: DataFrame, links: DataFrame, k: int = 3, least: int = 3, tile: int = LINK_TILE) -> DataFrame:
+    """(stem, target, shared, rank): the k siblings of a project that share most tokens, without links already there.
+
+    Notes of a project are sorted into tiles by their rarest tokens. A note's best within its own tile give a number of
+    shared tokens that another note must reach; of two notes that share t tokens, ordered from rare to frequent, the first
+    shared one is among all but the last t - 1 of either. So only the tiles that hold one of those rarer tokens are met,
+    and tokens that every note has meet none. Tiles are compared as matrices in their task, and a note leaves one with k rows.
+    """
+    held = notes.select("project", "stem", F.array_distinct(tokens("body")).alias("toks"))
+    each = held.select("project", "stem", F.explode("toks").alias("tok"))
+    often = each.groupBy("project", "tok").agg(F.count("*").alias("df"))
+    size = held.groupBy("project").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    by_rarity = each.join(often.where("df > 1"), ["project", "tok"]).groupBy("project", "stem").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    rows = stored(by_rarity.select("project", "stem", F.transform("t", lambda x: x["tok"]).alias("toks")).join(size, "project"), "token-sets")
+    # notes whose rarest tokens agree lie together; what is crowded is cut further
+    bucket = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64(F.slice("toks", 1, 2)), F.col("tiles"))).otherwise(0)
+    rows = rows.withColumn("bucket", bucket)
+    crowd = rows.groupBy("project", "bucket").agg(F.ceil(F.count("*") / (2 * tile)).alias("cuts"))
+    dealt = stored(rows.join(crowd, ["project", "bucket"]).withColumn("tile", F.concat_ws("-", "bucket", F.pmod(F.xxhash64("stem"), F.col("cuts")))), "tiles")
+    out = "stem string, target string, shared long"
+    best = stored(dealt.select("project", "tile", "stem", "toks").groupBy("project", "tile").applyInPandas(lambda pdf: _best_shared(pdf, pdf, k, least), out), "own-tile")
+    many = dealt.where("tiles > 1")
+    if not many.isEmpty():
+        reached = best.groupBy("stem").agg(F.count("*").alias("n"), F.min("shared").alias("m")).select("stem", F.when(F.col("n") == k, F.col("m")).alias("tau"))
+        rare = many.join(reached, "stem", "left").withColumn("tau", F.coalesce("tau", F.lit(least)))
+        rare = rare.select("project", "stem", "tile", F.explode(F.slice("toks", 1, F.greatest(F.size("toks") - F.col("tau").cast("int") + 1, F.lit(0)))).alias("tok"), "tau")
+        # of a tile's note of n tokens, too, the first shared one is among its first n - t + 1
+        index = many.select("project", F.col("tile").alias("other"), F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
+        index = index.groupBy("project", "tok", "other").agg(F.max(F.col("n") - F.col("pos")).alias("room"))
+        visits = rare.join(index, ["project", "tok"]).where("other <> tile AND room >= tau")
+        visits = stored(visits.select("project", "stem", "other").distinct(), "visits")
+        guests = visits.join(many.select("project", "stem", "toks"), ["project", "stem"])
+        parts = visits.groupBy("project", F.col("other").alias("tile")).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+        guests = guests.withColumnRenamed("other", "tile").join(parts, ["project", "tile"]).select("project", "tile", F.pmod(F.xxhash64("stem"), F.col("parts")).cast("int").alias("part"), "stem", "toks", F.lit(True).alias("guest"))
+        hosts = many.join(parts, ["project", "tile"]).select("project", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "stem", "toks", F.lit(False).alias("guest"))
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _best_shared(pdf[pdf["guest"]], pdf[~pdf["guest"]], k, least)
+
+        best = best.unionByName(guests.unionByName(hosts).groupBy("project", "tile", "part").applyInPandas(meet, out))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("shared"), F.desc("target")))).where(F.col("rank") <= k)
+    return ranked.join(links.select("stem", "target"), ["stem", "target"], "left_anti")
+
+
+#: Notes of a group whose order one task settles in a round; undecided notes that meet a round's seeds in one task.
+HEAD, CHUNK = 4096, 20_000
+SEEDED = "g string, id string, seed string"
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), float)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+class Near:
+    """Which notes of a frame are near one note: by cosine (`least`), or as near duplicates (cosine and the twin model)."""
+
+    def __init__(self, rows: pd.DataFrame, least: float | None, merge: float = MERGE_SIM, prefilter: float = PREFILTER_SIM, twin: float = TWIN_P) -> None:
+        self.unit, self.least = _units(rows["vec"]), least
+        self.merge, self.prefilter, self.twin = merge, min(merge, prefilter), twin
+        if least is None:
+            self.sets = {c: [frozenset(v) for v in rows[c]] for c in ("words", "heads", "ents", "toks")}
+            self.size = rows["size"].to_numpy(float)
+
+    def mask(self, other: Near, i: int, among: np.ndarray) -> np.ndarray:
+        """Which of `among` are near note `i` of `other`."""
+        sim = self.unit[among] @ other.unit[i]
+        if self.least is not None:
+            return sim >= self.least - 1e-12
+        out = sim >= self.prefilter - 1e-12
+        for n in np.flatnonzero(out):
+            out[n] = self.twins(other, i, int(among[n]), float(sim[n]))
+        return out
+
+    def twins(self, other: Near, i: int, j: int, sim: float) -> bool:
+        if self.sets["toks"][j].isdisjoint(other.sets["toks"][i]):
+            return False
+        if sim >= self.merge:
+            return True
+
+        def jac(c: str) -> float:
+            x, y = self.sets[c][j], other.sets[c][i]
+            return len(x & y) / (len(x | y) or 1)
+
+        x, y = self.sets["ents"][j], other.sets["ents"][i]
+        entities = len(x & y) / min(len(x), len(y)) if x and y else 0.0
+        a, b = self.size[j], other.size[i]
+        z = TWIN_BIAS
+        for f, w, mean, deviation in zip((sim, jac("words"), jac("heads"), entities, min(a, b) / max(a, b)), TWIN_WEIGHTS, TWIN_MEANS, TWIN_DEVIATIONS, strict=True):
+            z += w * (f - mean) / deviation
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60))) >= self.twin
+
+
+def leaders(rows: DataFrame, least: float | None, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
+    """(id, seed) of greedy clusters inside each group: what one pass in (place, id) order gives that lets every note join the first seed near it.
+
+    Rows: g, id, place, vec and, for near duplicates (`least` null), words, heads, ents, toks, size. In a round one task a
+    group passes through its first `head` undecided notes, whose predecessors are all decided; the other undecided notes meet
+    the round's seeds, chunk by chunk. A decided note leaves as (id, seed), so rows kept grow with the notes, however alike
+    they are, and rounds with the seeds of the largest group over `head`. Clusters of one are left out.
     """
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    place = nodes.select("id", "place")
-    edges = edges.join(place.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
-    edges = stored(edges, "edges")
-    state = stored(edges.select(F.col("a").alias("id"), F.lit("open").alias("state")).distinct(), "state")
-    for _ in range(max_rounds):
-        open_ = state.where("state = 'open'").select("id")
-        if open_.isEmpty():
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["place", "id"], ignore_index=True)
+        near, ids = Near(pdf, least), pdf["id"].to_numpy(object)
+        seed = np.full(len(ids), -1)
+        for i in range(len(ids)):
+            if seed[i] < 0:
+                seed[i] = i
+                rest = np.flatnonzero(seed < 0)
+                seed[rest[near.mask(near, i, rest)]] = i
+        return pd.DataFrame({"g": pdf["g"], "id": ids, "seed": ids[seed]})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        notes, seeds = pdf[~pdf["lead"]].reset_index(drop=True), pdf[pdf["lead"]].sort_values(["place", "id"], ignore_index=True)
+        if not len(notes) or not len(seeds):
+            return pd.DataFrame({"g": [], "id": [], "seed": []}, dtype=str)
+        near, lead, names = Near(notes, least), Near(seeds, least), seeds["id"].to_numpy(object)
+        seed, rest = np.full(len(notes), -1), np.arange(len(notes))
+        for i in range(len(seeds)):
+            hit = near.mask(lead, i, rest)
+            seed[rest[hit]] = i
+            rest = rest[~hit]
+            if not len(rest):
+                break
+        kept = seed >= 0
+        return pd.DataFrame({"g": notes["g"][kept], "id": notes["id"][kept], "seed": names[seed[kept]]})
+
+    todo, done = stored(rows, "undecided"), None
+    while not todo.isEmpty():
+        first = F.row_number().over(Window.partitionBy("g").orderBy("place", "id"))
+        heads = todo.withColumn("_n", first).where(F.col("_n") <= head).drop("_n")
+        settled = stored(heads.groupBy("g").applyInPandas(settle, SEEDED), "settled")
+        rest = stored(todo.join(settled.select("g", "id"), ["g", "id"], "left_anti"), "undecided")
+        done = settled if done is None else done.unionByName(settled)
+        if rest.isEmpty():
             break
-        alive = edges.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi")
-        beaten = alive.where("pb < pa").select(F.col("a").alias("id")).distinct()
-        seeds = stored(open_.join(beaten, "id", "left_anti").withColumn("new", F.lit("seed")), "seeds")
-        taken = alive.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().withColumn("new", F.lit("taken"))
-        state = stored(state.join(seeds.union(taken), "id", "left").select("id", F.coalesce("new", "state").alias("state")), "state")
-    else:
-        raise RuntimeError("clusters did not settle")
-    seeds = state.where("state = 'seed'").select(F.col("id").alias("b"))
-    members = edges.join(state.where("state = 'taken'").select(F.col("id").alias("a")), "a", "left_semi").join(seeds, "b", "left_semi")
-    members = members.groupBy(F.col("a").alias("id")).agg(F.min_by("b", "pb").alias("seed"))
-    return members.union(members.select(F.col("seed").alias("id"), "seed").distinct())
+        parts = rest.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+        # at most `head` seeds a group
+        lead = todo.join(settled.where("id = seed").select("g", "id"), ["g", "id"], "left_semi").join(parts, "g")
+        lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lead", F.lit(True))
+        spread = rest.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("lead", F.lit(False))
+        joined = stored(spread.unionByName(lead).groupBy("g", "part").applyInPandas(join, SEEDED), "joined")
+        done = done.unionByName(joined)
+        todo = stored(rest.join(joined.select("g", "id"), ["g", "id"], "left_anti"), "undecided")
+    if done is None:
+        return rows.select("id", F.col("id").alias("seed")).limit(0)
+    done = stored(done.select("g", "id", "seed"), "seeded")
+    shared = done.where("id <> seed").select("g", "seed").distinct()
+    return done.join(shared, ["g", "seed"], "left_semi").select("id", "seed")
+
+
+def _grouped(by: list[str] | None) -> Column:
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
+def _twin_rows(notes: DataFrame, by: list[str]) -> DataFrame:
+    """What `leaders` asks of near duplicates."""
+    words = {"words": twin_words(F.concat_ws(" ", "title", "descr")), "heads": twin_words("title"), "size": F.greatest(F.lit(1), F.length("title") + F.length("descr"))}
+    return notes.where("vec IS NOT NULL").withColumns(words).select(_grouped(by).alias("g"), F.col("stem").alias("id"), (-F.col("recurrence")).cast("long").alias("place"), F.col("vec").cast("array<double>").alias("vec"), *words, "ents", "toks")
 
 
-def dedup_clusters(notes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, seed) of near-duplicate clusters, seeds in (-recurrence, stem) order."""
-    nodes = notes.select(F.col("stem").alias("id"), F.struct((-F.col("recurrence")).alias("r"), F.col("stem").alias("s")).alias("place"))
-    return greedy_clusters(nodes, pairs.select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b")))
+def dedup_clusters(notes: DataFrame, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
+    """(id, seed) of near-duplicate clusters of one (project, ntype), seeds in (-recurrence, stem) order."""
+    return leaders(_twin_rows(notes, ["project", "ntype"]), None, head, chunk)
 
 
-def communities(notes: DataFrame, sim: float = 0.6, by: list[str] | None = None) -> DataFrame:
+def communities(notes: DataFrame, sim: float = 0.6, by: list[str] | None = None, head: int = HEAD, chunk: int = CHUNK) -> DataFrame:
     """(id, seed) of cosine clusters over the whole store, or inside each group of `by`, in stem order."""
-    pairs = close_pairs(notes, sim, None, by).select(F.col("stem_a").alias("a"), F.col("stem_b").alias("b"))
-    return greedy_clusters(notes.where("vec IS NOT NULL").select(F.col("stem").alias("id"), F.col("stem").alias("place")), pairs)
+    rows = notes.where("vec IS NOT NULL").select(_grouped(by).alias("g"), F.col("stem").alias("id"), F.lit(0).cast("long").alias("place"), F.col("vec").cast("array<double>").alias("vec"))
+    return leaders(rows, sim, head, chunk)
+
+
+#: Random planes of a bucket key, and keys a note has.
+PLANES, TABLES = 10, 24
+
+
+def lsh_pairs(notes: DataFrame, least: float, by: list[str] | None = None, planes: int = PLANES, tables: int = TABLES, seed: int = 11) -> DataFrame:
+    """(stem_a, stem_b, sim): pairs of a group with a cosine of `least` or more that share a bucket of random-hyperplane signs.
+
+    For groups too large for `close_pairs`: equal vectors are folded into one first, a note has `tables` keys of `planes` signs,
+    and each pair is verified exactly where its first shared bucket is, crowded buckets in tiles. A pair at an angle t is found with
+    probability 1 - (1 - (1 - t / pi) ** planes) ** tables. Pairs are between the representatives (least stem) of
+    `vector_classes`, whose members a copy's links are found through.
+    """
+    by = by or []
+    _, heads = vector_classes(notes, by)
+    first = heads.select("vec").first()
+    if first is None:
+        return heads.select(F.col("stem").alias("stem_a"), F.col("stem").alias("stem_b"), F.lit(0.0).alias("sim")).limit(0)
+    normals = np.random.default_rng(seed).normal(size=(tables, planes, len(first["vec"])))
+
+    def keyed(frames):
+        for pdf in frames:
+            signs = np.einsum("tpd,nd->ntp", normals, np.array(pdf["vec"].tolist(), float)) > 0
+            keys = (signs << np.arange(planes)).sum(axis=2)
+            yield pd.DataFrame({"g": pdf["g"], "stem": pdf["stem"], "vec": pdf["vec"], "keys": keys.tolist()})
+
+    rows = heads.select(_grouped(by).alias("g"), "stem", "vec").mapInPandas(keyed, "g string, stem string, vec array<double>, keys array<long>")
+    rows = stored(rows, "signs").select("g", "stem", "vec", "keys", F.posexplode("keys").alias("t", "key"))
+    crowd = rows.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("g", "t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    dealt = rows.join(crowd, ["g", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("stem"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("g", "t", "key", "stem", "vec", "keys", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, i, j = (int(pdf[c].iloc[0]) for c in ("t", "i", "j"))
+        x = pdf[pdf["own"] == i].reset_index(drop=True)
+        y = x if i == j else pdf[pdf["own"] == j].reset_index(drop=True)
+        a, b = np.nonzero(_units(x["vec"]) @ _units(y["vec"]).T >= least - 1e-12) if len(x) and len(y) else (np.zeros(0, int), np.zeros(0, int))
+        names, others = x["stem"].to_numpy(object)[a], y["stem"].to_numpy(object)[b]
+        kx, ky = (np.array(z["keys"].tolist()).reshape(len(z), -1) for z in (x, y))
+        keep = (kx[a, :t] != ky[b, :t]).all(axis=1)  # no earlier bucket in common
+        keep &= names < others if i == j else names != others
+        a, b, names, others = a[keep], b[keep], names[keep], others[keep]
+        sim = (_units(x["vec"])[a] * _units(y["vec"])[b]).sum(axis=1) if len(a) else np.zeros(0)
+        return pd.DataFrame({"stem_a": np.where(names < others, names, others), "stem_b": np.where(names < others, others, names), "sim": sim})
+
+    return dealt.groupBy("g", "t", "key", "i", "j").applyInPandas(compare, "stem_a string, stem_b string, sim double")
+
+
+def vector_classes(notes: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(stem, rep) of every note with a vector, and the representatives (by, stem, vec): notes of one group with equal vectors are one class, named by its least stem."""
+    by = by or []
+    v = notes.where("vec IS NOT NULL").select(*by, "stem", F.col("vec").cast("array<double>").alias("vec"), F.xxhash64("vec").alias("_h1"), F.xxhash64(F.lit(1), "vec").alias("_h2"))
+    heads = stored(v.groupBy(*by, "_h1", "_h2").agg(F.min("stem").alias("rep")), "classes")
+    of = stored(v.join(heads, [*by, "_h1", "_h2"]), "members")
+    return of.select("stem", "rep"), of.where("stem = rep").select(*by, "stem", "vec")
+
+
+def near_classes(notes: DataFrame, least: float, by: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """(stem, rep, links): one row per note with a vector: the representative of its class of equal vectors and the notes within `least` of it, copies included.
+
+    With `exact` off links are those that `lsh_pairs` finds.
+    """
+    of, heads = vector_classes(notes, by)
+    pairs = stored(close_pairs(heads, least, None, by) if exact else lsh_pairs(notes, least, by), "close")
+    size = of.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.select(F.col("stem_a").alias("rep"), F.col("stem_b").alias("o")).union(pairs.select("stem_b", "stem_a"))
+    near = both.join(size.select(F.col("rep").alias("o"), F.col("n").alias("m")), "o").groupBy("rep").agg(F.sum("m").alias("m"))
+    links = size.join(near, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).cast("long").alias("links"))
+    return of.join(links, "rep").select("stem", "rep", "links")
 
 
 def merge_clusters(notes: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -280,51 +500,76 @@ def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     return hits.select(F.round("auc", 6).alias("auc"), F.round(F.try_divide("h0", "p"), 6).alias("recall_fp0"), F.round(F.try_divide("h1", "p"), 6).alias("recall_fp1"))
 
 
-def coreset(notes: DataFrame, budget: int) -> DataFrame:
-    """(project, ntype, stem) kept: lazy greedy facility location over token Jaccard, weighted by `utility`, at most `budget` per group.
+#: Notes of a group that one task chooses from; what it must keep of each shard, as a multiple of the budget.
+SHARD_NOTES, OVERSHOOT = 2000, 2
+
+
+def overlaps(sets: list[frozenset]) -> np.ndarray:
+    """Token Jaccard of every two notes; a note is wholly like itself."""
+    held = _incidence(sets, {t: i for i, t in enumerate(sorted(set().union(*sets)))})
+    size = held.sum(axis=1)
+    shared = held @ held.T
+    similar = shared / np.maximum(size[:, None] + size[None, :] - shared, 1)
+    np.fill_diagonal(similar, 1.0)
+    return similar
 
-    Columns: project, ntype, stem, toks, utility. Groups within the budget skip Python.
+
+def facility_location(similar: np.ndarray, useful: np.ndarray, budget: int) -> list[int]:
+    """Positions, in the order of choice, that greedily cover the most utility; a chosen note covers another as far as they are alike.
+
+    Each step takes the note with the greatest gain (ties: the more useful one, then the first). Gains only shrink as
+    others are chosen, so a gain that is still the greatest when computed afresh is taken; the last known ones are bounds.
+    """
+    covered, bound = np.zeros(len(useful)), similar @ useful
+    order = np.lexsort((np.arange(len(useful)), -useful))
+    fresh, kept = np.full(len(useful), -1), []
+    while len(kept) < min(budget, len(useful)):
+        best = int(order[np.argmax(bound[order])])
+        if fresh[best] == len(kept):
+            kept.append(best)
+            covered = np.maximum(covered, similar[best])
+            bound[best] = -np.inf
+            continue
+        bound[best] = float(useful @ np.maximum(0.0, similar[best] - covered))
+        fresh[best] = len(kept)
+    return kept
+
+
+def coreset(notes: DataFrame, budget: int, shard: int = SHARD_NOTES, overshoot: int = OVERSHOOT) -> DataFrame:
+    """(project, ntype, stem) kept: greedy facility location over token Jaccard, weighted by `utility`, at most `budget` per group.
+
+    Columns: project, ntype, stem, toks, utility. Groups within the budget skip Python. A group of over `shard` notes is dealt
+    into shards by hash; each keeps its best `overshoot` * `budget`, a winner takes over the utility of what it covers best in its
+    shard, and the same choice is made among the winners, in as many rounds as it takes, so that no task holds a large group. A greedy choice from greedy choices of m shards covers at least
+    (1 - 1/e) / min(sqrt(budget), m) of the best cover, and in practice nearly that of one task (see the tests).
     """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chosen(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
         pdf = pdf.sort_values("stem", ignore_index=True)
-        sets, u = [frozenset(t) for t in pdf["toks"]], np.maximum(0.0, pdf["utility"].to_numpy(float))
-        posts: dict[str, list[int]] = {}
-        for i, s in enumerate(sets):
-            for t in s:
-                posts.setdefault(t, []).append(i)
-
-        def similar(i: int) -> tuple[np.ndarray, np.ndarray]:
-            shared: dict[int, int] = {}
-            for t in sets[i]:
-                for j in posts[t]:
-                    shared[j] = shared.get(j, 0) + 1
-            shared.pop(i, None)
-            at = np.fromiter(shared, int, len(shared))
-            return at, np.array([n / (len(sets[i]) + len(sets[j]) - n) for j, n in shared.items()], float)
-
-        near = [similar(i) for i in range(len(sets))]
-        covered = np.zeros(len(sets))
-        gain = lambda i: u[i] * (1 - covered[i]) + float((u[near[i][0]] * np.maximum(0, near[i][1] - covered[near[i][0]])).sum())
-        heap = [(-gain(i), -u[i], i, 0) for i in range(len(sets))]
-        heapq.heapify(heap)
-        kept: list[int] = []
-        while heap and len(kept) < budget:
-            _, _, i, stamp = heapq.heappop(heap)
-            if stamp == len(kept):
-                kept.append(i)
-                covered[i] = 1.0
-                at, sim = near[i]
-                covered[at] = np.maximum(covered[at], sim)
-            else:
-                heapq.heappush(heap, (-gain(i), -u[i], i, len(kept)))
-        return pdf.loc[kept, ["project", "ntype", "stem"]]
-
-    size = F.count("*").over(Window.partitionBy("project", "ntype"))
-    sized = notes.withColumn("_n", size)
-    whole = sized.where(F.col("_n") <= budget).select("project", "ntype", "stem")
-    cut = sized.where(F.col("_n") > budget).select("project", "ntype", "stem", "toks", "utility")
-    return whole.union(cut.groupBy("project", "ntype").applyInPandas(choose, "project string, ntype string, stem string"))
+        similar = overlaps([frozenset(t) for t in pdf["toks"]])
+        utility = np.maximum(0.0, pdf["utility"].to_numpy(float))
+        kept = facility_location(similar, utility, most)
+        nearest, mass = similar[:, kept].argmax(axis=1), np.zeros(len(kept))
+        np.add.at(mass, nearest, utility * similar[:, kept].max(axis=1))
+        return pdf.loc[kept, ["project", "ntype", "stem"]].assign(mass=mass)
+
+    key = ["project", "ntype"]
+    out = "project string, ntype string, stem string, mass double"
+    if overshoot * budget >= shard:
+        raise ValueError("a shard must hold more notes than it keeps")
+    left, kept = stored(notes.select(*key, "stem", "toks", "utility"), "candidates"), None
+    while True:
+        sized = left.join(left.groupBy(*key).agg(F.count("*").alias("_n")), key)
+        small = sized.where(F.col("_n") <= budget).select(*key, "stem")
+        fits = sized.where((F.col("_n") > budget) & (F.col("_n") <= shard)).drop("_n").groupBy(*key).applyInPandas(lambda pdf: chosen(pdf, budget), out).drop("mass")
+        part = stored(small.unionByName(fits), "kept")
+        kept = part if kept is None else kept.unionByName(part)
+        large = sized.where(F.col("_n") > shard)
+        if large.isEmpty():
+            return kept
+        dealt = large.withColumn("_s", F.pmod(F.xxhash64("stem"), F.ceil(F.col("_n") / shard))).drop("_n")
+        winners = dealt.groupBy(*key, "_s").applyInPandas(lambda pdf: chosen(pdf, overshoot * budget), out)
+        left = stored(left.drop("utility").join(winners.withColumnRenamed("mass", "utility"), [*key, "stem"]).select(*key, "stem", "toks", "utility"), "candidates")
 
 
 def retention(notes: DataFrame, budget: int) -> DataFrame:

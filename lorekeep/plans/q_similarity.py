@@ -17,7 +17,7 @@ TWIN = r"list_distinct(regexp_extract_all(lower({0}), '[a-zа-я0-9]{{3,}}'))"
 #: Notes with vectors that repeat within a group: one of five directions plus an own part.
 DUP = f""", tv AS (SELECT n.doc_id, stem, project, ntype, date, slug, title, descr, prevention, recurrence, confidence, status, resolved, [lang, 'topic-' || (n.doc_id % 23)] AS ents, [lang, n.slug] AS tags, {TK.format("concat_ws(' ', title, descr, prevention)")} AS toks,
   list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: p[1] + (0.2 + 0.1 * (n.doc_id % 7)) * p[2]) AS vec
-  FROM n JOIN embeddings a ON a.vec_id = (n.doc_id // 180) % 5 JOIN embeddings b ON b.vec_id = (n.doc_id * 7) % 500)"""
+  FROM n JOIN embeddings a ON a.vec_id = (n.doc_id // 180) % 5 JOIN embeddings b ON b.vec_id = (n.doc_id * 7) % (SELECT count(*) FROM embeddings))"""
 
 
 def jac(a: str, b: str) -> str:
@@ -35,7 +35,7 @@ pp AS (SELECT *, 1 / (1 + exp(-({Z}))) AS p FROM pa), nd AS (SELECT stem_a, stem
 def notes(t: Tables):
     e = t.vectors
     own = (0.2 + 0.1 * (F.col("doc_id") % 7)).cast("double")
-    n = t.notes.withColumns({"ka": (F.floor(F.col("doc_id") / 180) % 5).cast("long"), "kb": F.col("doc_id") * 7 % 500})
+    n = t.notes.withColumns({"ka": (F.floor(F.col("doc_id") / 180) % 5).cast("long"), "kb": F.col("doc_id") * 7 % e.count()})
     n = n.join(F.broadcast(e.where("doc_id < 5").select(F.col("doc_id").alias("ka"), F.col("vec").alias("va"))), "ka").join(e.select(F.col("doc_id").alias("kb"), F.col("vec").alias("vb")), "kb")
     topic = F.concat(F.lit("topic-"), (F.col("doc_id") % 23).cast("string"))
     return n.withColumns({"vec": F.zip_with("va", "vb", lambda a, b: a + own * b), "ents": F.array("lang", topic), "tags": F.array("lang", "slug"), "toks": tokens(F.concat_ws(" ", "title", "descr", "prevention"))}).drop("ka", "kb", "va", "vb")
@@ -46,6 +46,23 @@ def near_dup_pairs(t):
     return s.near_dup_pairs(notes(t)).withColumn("sim", F.round("sim", 6))
 
 
+CLASSES = DUP + """, rp AS (SELECT *, min(stem) OVER (PARTITION BY project, ntype, vec) AS rep FROM tv),
+ln AS (SELECT a.stem, count(*) AS links FROM tv a JOIN tv b ON a.project = b.project AND a.ntype = b.ntype AND a.stem <> b.stem AND list_cosine_similarity(a.vec, b.vec) >= 0.86 GROUP BY 1)
+SELECT rp.stem, rep, coalesce(links, 0) AS links FROM rp LEFT JOIN ln USING (stem)"""
+
+
+@query(CLASSES)
+def near_dup_classes(t):
+    """Every note with its class of equal vectors and the number of its near notes, without a list of pairs."""
+    return s.near_classes(notes(t), 0.86, ["project", "ntype"])
+
+
+@query(None)
+def near_dup_buckets(t):
+    """The same from random-hyperplane buckets, over the whole store."""
+    return s.near_classes(notes(t), 0.86, exact=False)
+
+
 @query(PAIRS + " SELECT stem_a, stem_b, round(f_cos, 6) AS f_cos, round(f_words, 6) AS f_words, round(f_title, 6) AS f_title, round(f_entities, 6) AS f_entities, round(f_length, 6) AS f_length, round(p, 6) AS p FROM pp")
 def twin_probability(t):
     return s.scored_pairs(notes(t)).select("stem_a", "stem_b", *[F.round(c, 6).alias(c) for c in [*s.FEATURES, "p"]])
@@ -72,7 +89,7 @@ def auto_links(t):
 
 def clusters(t: Tables):
     all_ = notes(t)
-    return all_, s.dedup_clusters(all_, s.near_dup_pairs(all_))
+    return all_, s.dedup_clusters(all_)
 
 
 @query(None)

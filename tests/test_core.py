@@ -83,24 +83,6 @@ def test_strong_components(spark):
     assert got == want
 
 
-def test_greedy_clusters_equal_the_sequential_pass(spark):
-    rng = random.Random(2)
-    ids = [f"s{i:03}" for i in range(60)]
-    pairs = {tuple(sorted(rng.sample(ids, 2))) for _ in range(90)}
-    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in ids}
-    used, want = set(), {}
-    for i in ids:
-        if i in used:
-            continue
-        free = {b for b in near[i] if b not in used}
-        if free:
-            want |= dict.fromkeys(free | {i}, i)
-        used |= free | {i}
-    nodes = spark.createDataFrame([(i, i) for i in ids], "id string, place string")
-    got = dict(similarity.greedy_clusters(nodes, spark.createDataFrame(list(pairs), "a string, b string")).collect())
-    assert got == want
-
-
 def test_coreset_is_greedy_facility_location(spark):
     rng = random.Random(7)
     items = {f"s{i:02}": (set(rng.sample("abcdefghijklmnop", rng.randint(2, 6))), rng.random()) for i in range(30)}
