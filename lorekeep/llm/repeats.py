@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,17 +199,17 @@ PIECE = "g long, t1 long, t2 long, x int, lo int, hi int, n long, before binary,
 GROUP = "g long, no int, length int, t1 long, t2 long, start int, copies long"
 
 
-def _groups(least: int):
-    """Pieces sorted by block to maximal repeats with their occurrences."""
-    names = [c.split()[0] for c in GROUP.split(", ")]
-    kinds = [pa.int32() if c.endswith(" int") else pa.int64() for c in GROUP.split(", ")]
+COVERED = "t1 long, t2 long, start int, stop int"
+
+
+def _scanned(least: int, schema: str, rows):
+    """Pieces sorted by block to what `rows(block, repeats)` gives of each block of more than one piece."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.int64() for c in schema.split(", ")]
 
     def scan(block: list[dict]) -> Iterator[tuple]:
         if len(block) > 1:
-            found = repeats([p["before"][::-1] for p in block], [p["after"] for p in block], least)
-            for no, (before, after, held) in enumerate(found):
-                for p in (block[i] for i in held):
-                    yield p["g"], no, before + after, p["t1"], p["t2"], p["x"] - before, p["n"]
+            yield from rows(block, repeats([p["before"][::-1] for p in block], [p["after"] for p in block], least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict] = []
@@ -229,6 +230,25 @@ def _groups(least: int):
     return run
 
 
+def _occurrences(block: list[dict], found: Iterator[tuple[int, int, list[int]]]) -> Iterator[tuple]:
+    """Every maximal repeat with all its occurrences."""
+    for no, (before, after, held) in enumerate(found):
+        for p in (block[i] for i in held):
+            yield p["g"], no, before + after, p["t1"], p["t2"], p["x"] - before, p["n"]
+
+
+def _covered(block: list[dict], found: Iterator[tuple[int, int, list[int]]]) -> Iterator[tuple]:
+    """What the maximal repeats cover of each piece; a piece with copies is covered whole as it is."""
+    spans: dict[int, set[tuple[int, int]]] = {}
+    for before, after, held in found:
+        for i in held:
+            if block[i]["n"] == 1:
+                spans.setdefault(i, set()).add((block[i]["x"] - before, block[i]["x"] + after))
+    for i, own in spans.items():
+        for a, b in merged(list(own)):
+            yield block[i]["t1"], block[i]["t2"], a, b
+
+
 def _cut(least: int):
     """Bytes around the anchors that are asked for in a text."""
     names = [c.split()[0] for c in PIECE.split(", ")]
@@ -304,12 +324,8 @@ def _folded(rows: DataFrame, block: str, least: int) -> tuple[DataFrame, DataFra
     return kinds, several.select("t1", "t2", (F.col("x") - F.col("hi")).alias("start"), (F.col("x") - F.col("lo") + least).alias("stop"))
 
 
-def repeat_groups(df: DataFrame, text_col: str = "text", least: int = LEAST, gram: int = GRAM, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """Maximal repeats (GROUP: block, number, length, text key, start, copies) of the distinct pieces, and the spans (text key, start, stop) of pieces that are repeated whole.
-
-    Both name a text by its two 64-bit keys (`_text_keys`).
-    """
-    texts = _texts(df, text_col)
+def _blocks(texts: DataFrame, least: int, gram: int, tile: int) -> tuple[list[DataFrame], DataFrame]:
+    """Pieces (PIECE) in blocks that a task can scan as a whole, and the spans (SPAN) of pieces that are repeated whole."""
     found = stored(texts.mapInArrow(_scan(least, gram), ANCHOR), "anchors")
     spans = found.where("digest IS NULL").select("t1", "t2", F.col("x").alias("start"), F.col("lo").alias("stop"))
     rows = found.where("digest IS NOT NULL")
@@ -320,22 +336,32 @@ def repeat_groups(df: DataFrame, text_col: str = "text", least: int = LEAST, gra
     asked = stored(kinds.where("differ").select("t1", "t2", F.struct(F.col("digest").alias("g"), "x", "lo", "hi", "n").alias("p")), "asked")
     lists = asked.groupBy("t1", "t2").agg(F.collect_list("p").alias("asked"))  # places of one text
     pieces = stored(_one_each(texts, asked.select("t1", "t2").distinct()).join(lists, ["t1", "t2"]).mapInArrow(_cut(least), PIECE), "pieces")
-    groups = None
-    for width in (*WIDTHS, None):
-        sizes = pieces.groupBy("g").count()
-        crowded = stored(sizes.where(F.col("count") > tile).select("g"), "crowded")
-        few = pieces if crowded.isEmpty() else pieces.join(crowded, "g", "left_anti")
-        scanned = few.repartition("g").sortWithinPartitions("g").mapInArrow(_groups(least), GROUP)
-        groups = scanned if groups is None else groups.union(scanned)
-        if crowded.isEmpty() or width is None:
-            break
+    blocks = []
+    for width in WIDTHS:
+        crowded = stored(pieces.groupBy("g").count().where(F.col("count") > tile).select("g"), "crowded")
+        if crowded.isEmpty():
+            return [*blocks, pieces], spans
+        blocks.append(pieces.join(crowded, "g", "left_anti"))
         parts = stored(pieces.join(crowded, "g").select(*pieces.columns).mapInArrow(_split(least, width), SPLIT), "parts")
         kinds, whole = _folded(parts, "g", least)
         spans = spans.union(whole)
-        if width == 1:  # one string a piece, and equal ones are folded
-            break
         pieces = kinds.select(*[c.split()[0] for c in PIECE.split(", ")])
-    return groups, spans
+    return blocks, spans  # in ranges of one offset equal strings are folded, and no others are equal
+
+
+def _each(blocks: list[DataFrame], least: int, schema: str, rows) -> DataFrame:
+    scanned = [b.repartition("g").sortWithinPartitions("g").mapInArrow(_scanned(least, schema, rows), schema) for b in blocks]
+    return reduce(DataFrame.union, scanned)
+
+
+def repeat_groups(df: DataFrame, text_col: str = "text", least: int = LEAST, gram: int = GRAM, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """Maximal repeats (GROUP: block, number, length, text key, start, copies) of the distinct pieces, and the spans (text key, start, stop) of pieces that are repeated whole.
+
+    Both name a text by its two 64-bit keys (`_text_keys`). Repeats inside repeats are groups of their own, so an occurrence
+    may be in several.
+    """
+    blocks, spans = _blocks(_texts(df, text_col), least, gram, tile)
+    return _each(blocks, least, GROUP, _occurrences), spans
 
 
 CLEAN = "t1 long, t2 long, n_removed long, n_spans long, starts array<int>, stops array<int>"
@@ -363,10 +389,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, tile: int = TILE) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans and the SHA-256 of what is left when each byte of a repeated string is taken out."""
-    groups, spans = repeat_groups(df, text_col, least, gram, tile)
-    # pieces with copies are among the spans already
-    alone = groups.where("copies = 1").select("t1", "t2", "start", (F.col("start") + F.col("length")).alias("stop"))
-    lists = spans.union(alone).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # places of one text
+    blocks, spans = _blocks(_texts(df, text_col), least, gram, tile)
+    lists = spans.union(_each(blocks, least, COVERED, _covered)).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # places of one text
     clean = stored(lists.mapInArrow(_union, CLEAN), "clean")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), *_text_keys(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
