@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import flags
 from lorekeep.functions.text import content_tokens
+from lorekeep.operators.components import components
 from lorekeep.shared import stored
 
-SCAN_CHARS, PROMOTE, RETIRE = 20_000, 3, 3
+#: Characters of an action that are read unless the caller says otherwise (null: all of them).
+SCAN_CHARS = 20_000
+PROMOTE, RETIRE = 3, 3
 TAU, TAU_STEP, TAU_MOST = 0.22, 0.06, 0.9
 QUARANTINE_CONFIDENCE = 0.95
-#: Guards of projects up to which they are broadcast to the actions; more are joined by project.
-SMALL_ROWS = 100_000
-#: Guards of no project in one block: every action is held against each of them, block by block.
-BLOCK_ROWS = 10_000
+#: Guards in one block, whose patterns go to the tasks; actions are read once a block.
+BLOCK_ROWS = 50_000
 
 # Keywords that must all occur in a mistake, and the construct they stand for.
 RULES = [
@@ -60,55 +69,230 @@ def glob_regex(glob: str) -> str:
     return f"(^|/){out}$"
 
 
-def guard_scan(actions: DataFrame, guards: DataFrame) -> DataFrame:
-    """(action_id, guard_id, status, place): active guards in scope whose pattern is in the action's head, blocking first.
+def required_literal(pattern: str) -> str | None:
+    """The longest run of ASCII characters that every match of a regex holds, in lower case; null if it is shorter than three, or not known."""
+    best = ""
 
-    Guards have project (null: any) and optionally path_regex and tool.
+    def walk(items) -> None:
+        nonlocal best
+        run = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg)
+                continue
+            if name == "AT":  # a border between characters
+                continue
+            best, run = max(best, run, key=len), ""
+            if name == "SUBPATTERN":
+                walk(arg[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                walk(arg[2])
+            elif name == "ATOMIC_GROUP":
+                walk(arg)
+        best = max(best, run, key=len)
+
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            walk(re._parser.parse(pattern, re.ASCII))
+    except (re.error, AttributeError, TypeError, RecursionError):
+        return None
+    return best.lower() if len(best) >= 3 else None
+
+
+class PatternIndex:
+    """Guards by what a text must hold for them to match; patterns are compiled when a text first meets them, once a worker."""
+
+    def __init__(self, guards: list[dict]) -> None:
+        self.guards, self.compiled = guards, {}
+        self.always: list[int] = []
+        self.held = ahocorasick.Automaton()
+        by: dict[str, list[int]] = {}
+        for i, g in enumerate(guards):
+            literal = required_literal(g["pattern"])
+            if literal is None:
+                self.always.append(i)
+            else:
+                by.setdefault(literal, []).append(i)
+        for literal, own in by.items():
+            self.held.add_word(literal, tuple(own))
+        if by:
+            self.held.make_automaton()
+
+    def hits(self, text: str) -> Iterator[dict]:
+        found = set(self.always)
+        if len(self.held):
+            for _, own in self.held.iter(text.lower()):
+                found.update(own)
+        for i in sorted(found):
+            if i not in self.compiled:
+                self.compiled[i] = re.compile(self.guards[i]["pattern"], re.ASCII)
+            if self.compiled[i].search(text):
+                yield self.guards[i]
+
+
+def _plain(pattern: str | None) -> bool:
+    """Whether Python reads a pattern."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(pattern or "", re.ASCII)
+        return True
+    except (re.error, RecursionError):
+        return False
+
+
+SCANNED = "guard_id string, status string, place int"
+
+
+def _in_scope(guard: dict, project: str | None, path: str | None, tool: str | None) -> bool:
+    if guard["project"] is not None and guard["project"] != project:
+        return False
+    if guard.get("path_regex") is not None and (path is None or not re.search(guard["path_regex"], path.replace("\\", "/"))):
+        return False
+    return guard.get("tool") is None or guard["tool"] == tool
+
+
+def guard_scan(actions: DataFrame, guards: DataFrame, chars: int | None = SCAN_CHARS) -> DataFrame:
+    """(action_id, guard_id, status, place): active guards in scope whose pattern is in the first `chars` characters of the action (null: all), blocking first.
+
+    Guards have project (null: any) and optionally path_regex and tool. The literals that patterns require make one automaton, so an
+    action is held against those guards only whose literal it has, and actions are read once a block of guards and never shuffled.
+    Patterns that Python does not read are matched by a join.
     """
-    g = guards.where("status <> 'retired'").select(*[F.col(c).alias(f"g_{c}") for c in guards.columns])
-    scope = F.col("g_project").isNull() | (F.col("g_project") == F.col("project"))
-    if "path_regex" in guards.columns:
-        scope = scope & (F.col("g_path_regex").isNull() | F.replace("path", F.lit("\\"), F.lit("/")).rlike(F.col("g_path_regex")))
-    if "tool" in guards.columns:
-        scope = scope & (F.col("g_tool").isNull() | (F.col("g_tool") == F.col("tool")))
-    hit = scope & F.expr(f"substring(text, 1, {SCAN_CHARS}) RLIKE g_pattern")
-    everywhere, own = (stored(g.where(c), "guards") for c in ("g_project IS NULL", "g_project IS NOT NULL"))
-    if own.count() <= SMALL_ROWS:
-        own = F.broadcast(own)
-    rows = actions.join(own, (F.col("project") == F.col("g_project")) & hit)
-    blocks = -(-everywhere.count() // BLOCK_ROWS)
+    active_guards = guards.where("status <> 'retired' AND pattern IS NOT NULL")
+    more = [c for c in ("path_regex", "tool") if c in guards.columns]
+    given = [c for c in ("path", "tool") if c in actions.columns]
+    n = active_guards.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    raw = actions.select("action_id", "project", text.alias("text"), *given)
+    kind = actions.schema["action_id"].dataType.simpleString()
+    context = actions.sparkSession.sparkContext
+    out, odd = None, []
     for i in range(blocks):
-        part = everywhere.where(F.pmod(F.xxhash64("g_guard_id"), F.lit(blocks)) == i)
-        rows = rows.unionByName(actions.join(F.broadcast(part), hit))
-    return rows.select("action_id", F.col("g_guard_id").alias("guard_id"), F.col("g_status").alias("status"), F.when(F.col("g_status") == "blocking", 0).otherwise(1).alias("place"))
+        part = active_guards if blocks == 1 else active_guards.where(F.pmod(F.xxhash64("guard_id"), F.lit(blocks)) == i)
+        held = [g.asDict() for g in part.select("guard_id", "pattern", "status", "project", *more).collect()]  # BLOCK_ROWS in the mean
+        odd += [g["guard_id"] for g in held if not _plain(g["pattern"]) or not _plain(g.get("path_regex"))]
+        shared = context.broadcast([g for g in held if g["guard_id"] not in set(odd)])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = PatternIndex(shared.value)
+            for batch in batches:
+                rows = []
+                void = [None] * batch.num_rows
+                path, tool = (batch.column(c).to_pylist() if c in given else void for c in ("path", "tool"))
+                for at, (project, body) in enumerate(zip(batch.column("project").to_pylist(), batch.column("text"), strict=True)):
+                    body = body.as_py()
+                    if body is None:
+                        continue
+                    rows += [(at, g["guard_id"], g["status"]) for g in index.hits(body) if _in_scope(g, project, path[at], tool[at])]
+                at, ids, status = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("action_id").take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(status, pa.string()), pa.array([0 if s == "blocking" else 1 for s in status], pa.int32())], names=["action_id", "guard_id", "status", "place"])
+
+        scanned = raw.mapInArrow(run, f"action_id {kind}, {SCANNED}")
+        out = scanned if out is None else out.unionByName(scanned)
+    if odd:
+        g = active_guards.where(F.col("guard_id").isin(odd)).select(*[F.col(c).alias(f"g_{c}") for c in ("guard_id", "pattern", "status", "project", *more)])
+        hit = (F.col("g_project").isNull() | (F.col("g_project") == F.col("project"))) & F.expr("text RLIKE g_pattern")
+        if "path_regex" in more:
+            path = F.replace("path", F.lit("\\"), F.lit("/")) if "path" in given else F.lit(None).cast("string")
+            hit = hit & (F.col("g_path_regex").isNull() | F.regexp_like(path, F.col("g_path_regex")))
+        if "tool" in more:
+            hit = hit & (F.col("g_tool").isNull() | (F.col("g_tool") == (F.col("tool") if "tool" in given else F.lit(None))))
+        out = out.unionByName(raw.join(F.broadcast(g), hit).select("action_id", F.col("g_guard_id").alias("guard_id"), F.col("g_status").alias("status"), F.when(F.col("g_status") == "blocking", 0).otherwise(1).alias("place")))
+    return out
+
+
+#: A guard's states; the tables of a stretch of its events have one entry for each corroboration count (up to PROMOTE), false-positive count (below RETIRE) and state before it.
+STATES = ("advisory", "blocking", "retired")
+
+
+def stretch(good: np.ndarray, fresh: np.ndarray, wrong: np.ndarray, pack: bool) -> np.ndarray:
+    """State after a stretch of ordered events, as a table [corroborations before, false positives before, state before].
+
+    `good`: helped or corroborated; `fresh`: good and of a session not seen; `wrong`: false positive. Each RETIRE-th false
+    positive lowers a state, and a good event with PROMOTE corroborations raises an advisory one. Between two
+    lowerings any number of raises acts as one, so it only matters whether there is one.
+    """
+    table = np.zeros((PROMOTE + 1, RETIRE, 3), np.int64)
+    corroborated, missed = np.cumsum(fresh), np.cumsum(wrong)
+    for c in range(PROMOTE + 1):
+        raises = good & (c + corroborated >= PROMOTE) & (not pack)
+        for r in range(RETIRE):
+            lowers = np.flatnonzero(wrong & ((r + missed) % RETIRE == 0))
+            edges = np.concatenate(([0], lowers))
+            before = np.add.reduceat(np.concatenate((raises, [False])).astype(np.int64), edges) > 0 if len(raises) else np.zeros(1, bool)
+            for state in range(3):
+                # advisory at a lowering without a raise since the last one: retired for good
+                first = bool(before[0]) or state == 1
+                if state == 2:
+                    after = 2
+                elif not len(lowers):
+                    after = 1 if first else 0
+                elif first and before[1:-1].all():
+                    after = 1 if before[-1] else 0
+                else:
+                    after = 2
+                table[c, r, state] = after
+    return table
+
+
+PIECE = "guard_id string, seg int, helped long, fresh long, wrong long, first long, plain array<long>, pack array<long>"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events sorted by (guard, event) to one row per guard and batch, in order."""
+    seg, no = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        guard = batch.column("guard_id").to_numpy(zero_copy_only=False)
+        kind, fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "fresh"))
+        edges = np.concatenate(([0], np.flatnonzero(guard[1:] != guard[:-1]) + 1, [len(guard)]))
+        rows = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k, f = kind[a:b], fresh[a:b]
+            good, wrong = (k == 0) | (k == 1), k == 2
+            rows.append((guard[a], seg, int((k == 0).sum()), int(f.sum()), int(wrong.sum()), no, stretch(good, f, wrong, False).ravel().tolist(), stretch(good, f, wrong, True).ravel().tolist()))
+            no += 1
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["guard_id", "seg", "helped", "fresh", "wrong", "first", "plain", "pack"]).astype({"seg": "int32"}), preserve_index=False)
 
 
 def guard_lifecycle(guards: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Guards (guard_id, status, pack) after their feedback in event order: helped, corroborations, false positives, status."""
-    events = F.array_sort(F.collect_list(F.struct("event_id", "outcome", "session")))
-    per = feedback.groupBy("guard_id").agg(events.alias("events"))
-    start = F.struct(F.col("status").alias("status"), F.lit(0).alias("helped"), F.lit(0).alias("corroborations"), F.lit(0).alias("false_positives"), F.array().cast("array<string>").alias("seen"))
-
-    def step(s: Column, e: Column) -> Column:
-        good = e["outcome"].isin("helped", "corroborated")
-        new = e["session"].isNull() | ~F.array_contains(s["seen"], F.coalesce(e["session"], F.lit("")))
-        corroborations = s["corroborations"] + (good & new).cast("int")
-        wrong = s["false_positives"] + (e["outcome"] == "false_positive").cast("int")
-        breach = (e["outcome"] == "false_positive") & (wrong >= RETIRE)
-        raised = F.when(good & (s["status"] == "advisory") & (corroborations >= PROMOTE) & ~F.col("pack"), "blocking").otherwise(s["status"])
-        lowered = F.when(s["status"] == "blocking", "advisory").otherwise("retired")
-        return F.struct(
-            F.when(breach, lowered).otherwise(raised).alias("status"),
-            (s["helped"] + (e["outcome"] == "helped").cast("int")).alias("helped"),
-            corroborations.alias("corroborations"),
-            F.when(breach, 0).otherwise(wrong).alias("false_positives"),
-            F.when(good & new & e["session"].isNotNull(), F.array_append(s["seen"], e["session"])).otherwise(s["seen"]).alias("seen"),
-        )
-
-    folded = guards.join(per, "guard_id", "left").select("guard_id", F.aggregate(F.coalesce("events", F.array().cast(per.schema["events"].dataType)), start, step).alias("s"))
-    pos, neg = F.col("s.helped"), F.col("s.false_positives")
+    """Guards (guard_id, status, pack) after their feedback in the order of event_id (one event each): helped, corroborations, false positives, status.
+
+    A session corroborates once: its first good event is found by a grouped minimum. Events are then sorted by range over the
+    whole table, so a guard's events may lie in many tasks; each task gives what its stretch does to every possible state
+    before it (`stretch`), and these tables, one per batch of events, are applied in order.
+    """
+    good = F.col("outcome").isin("helped", "corroborated")
+    first = feedback.where(good & F.col("session").isNotNull()).groupBy("guard_id", "session").agg(F.min("event_id").alias("event_id")).withColumn("first", F.lit(True))
+    kind = F.when(F.col("outcome") == "helped", 0).when(F.col("outcome") == "corroborated", 1).when(F.col("outcome") == "false_positive", 2).otherwise(3)
+    marked = feedback.join(first, ["guard_id", "session", "event_id"], "left")
+    fresh = good & (F.col("session").isNull() | F.coalesce("first", F.lit(False)))
+    events = stored(marked.select("guard_id", "event_id", kind.cast("int").alias("kind"), fresh.alias("fresh")), "events")
+    order = ["guard_id", "event_id", "kind", "fresh"]
+    pieces = events.repartitionByRange(*order).sortWithinPartitions(*order).drop("event_id").mapInArrow(_stretches, PIECE)
+    pieces = stored(pieces.where("guard_id IS NOT NULL"), "stretches")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seg", "first"])
+        c = r = 0
+        state = STATES.index(pdf["status"].iloc[0]) if pdf["status"].iloc[0] in STATES else 2
+        name = "pack" if pdf["is_pack"].iloc[0] else "plain"
+        for table, f, w in zip(pdf[name], pdf["fresh"], pdf["wrong"], strict=True):
+            state = int(np.asarray(table).reshape(PROMOTE + 1, RETIRE, 3)[c, r, state])
+            c, r = min(PROMOTE, c + f), (r + w) % RETIRE
+        return pd.DataFrame({"guard_id": [pdf["guard_id"].iloc[0]], "status": [STATES[state]], "helped": [int(pdf["helped"].sum())], "corroborations": [int(pdf["fresh"].sum())], "false_positives": [r]})
+
+    own = guards.select("guard_id", "status", F.col("pack").alias("is_pack"))
+    walked = pieces.join(own, "guard_id").groupBy("guard_id").applyInPandas(walk, "guard_id string, status string, helped int, corroborations int, false_positives int")
+    still = own.join(pieces.select("guard_id").distinct(), "guard_id", "left_anti").select("guard_id", "status", *[F.lit(0).alias(c) for c in ("helped", "corroborations", "false_positives")])
+    pos, neg = F.col("helped"), F.col("false_positives")
     confidence = F.when(pos + neg == 0, 0.5).otherwise(F.bround((pos + 1) / (pos + neg + 2), 3))
-    return folded.select("guard_id", "s.status", "s.helped", "s.corroborations", "s.false_positives", confidence.alias("confidence"))
+    return walked.unionByName(still).withColumn("confidence", confidence)
 
 
 def guard_confidence(feedback: DataFrame) -> DataFrame:
@@ -145,8 +329,8 @@ def guard_generate(notes: DataFrame, guards: DataFrame) -> DataFrame:
     return first.select("guard_id", "pattern", "project", F.col("stem").alias("born_from"))
 
 
-def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k: int = 1) -> DataFrame:
-    """(traj, stem, risk, rank): past mistakes that a trajectory (traj, project, text) of the same project resembles enough.
+def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k: int = 1, chars: int | None = SCAN_CHARS) -> DataFrame:
+    """(traj, stem, risk, rank): past mistakes that the first `chars` characters (null: all) of a trajectory (traj, project, text) of the same project resemble enough.
 
     Inverse frequencies are those of the project's mistakes; alarms (stem,
     false_alarms) raise a mistake's threshold.
@@ -156,7 +340,8 @@ def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k:
     idf = sig.groupBy("project", "tok").agg(F.count("*").alias("df")).join(n, "project").select("project", "tok", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
     weighted = stored(sig.join(idf, ["project", "tok"]), "signatures")
     mass = weighted.groupBy("stem").agg(F.sum("w").alias("mass"), F.max("recurrence").alias("recurrence"))
-    head = trajectories.select("traj", "project", F.explode(content_tokens(F.substring("text", 1, SCAN_CHARS))).alias("tok"))
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    head = trajectories.select("traj", "project", F.explode(content_tokens(text)).alias("tok"))
     hit = head.join(weighted.drop("recurrence"), ["project", "tok"]).groupBy("traj", "stem").agg(F.sum("w").alias("covered"), F.count("*").alias("shared")).join(mass, "stem")
     raw = F.try_divide("covered", "mass") * (F.col("shared") / (F.col("shared") + 1)) * (1 + 0.08 * F.least(F.col("recurrence") - 1, F.lit(5))) * 3
     risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
@@ -165,22 +350,15 @@ def anticipate(trajectories: DataFrame, notes: DataFrame, alarms: DataFrame, k:
     return fired.withColumn("risk", F.round("risk", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("traj").orderBy(F.desc("risk"), "stem"))).where(F.col("rank") <= k).select("traj", "stem", "risk", "rank")
 
 
-def _families(incoming: DataFrame, twins: DataFrame, rounds: int = 30) -> DataFrame:
+def _families(incoming: DataFrame, twins: DataFrame) -> DataFrame:
     """(project, ntype, slug, family): slugs that lessons tie together (by what they supersede, contradict or resemble) have one family, the least of them."""
     key = ["project", "ntype", "slug"]
     named = F.explode(F.array_compact(F.array("supersedes", "contradicts"))).alias("other")
     ties = incoming.select(*key, named).unionByName(twins.select(*key, "other")).where("slug <> other").distinct()
-    ties = stored(ties.union(ties.select("project", "ntype", F.col("other").alias("slug"), F.col("slug").alias("other"))).distinct(), "ties")
-    family = stored(incoming.select(*key).union(ties.select(*key)).distinct().withColumn("family", F.col("slug")), "families")
-    for _ in range(rounds):
-        if ties.isEmpty():
-            return family
-        least = ties.join(family.withColumnRenamed("slug", "other"), ["project", "ntype", "other"]).groupBy(*key).agg(F.min("family").alias("near"))
-        moved = stored(family.join(least, key, "left").select(*key, F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved")), "families")
-        family = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return family
-    raise RuntimeError("families did not settle")
+    node = lambda slug: F.struct("project", "ntype", F.col(slug).alias("slug"))
+    root = components(ties.select(node("slug").alias("u"), node("other").alias("v")))
+    tied = stored(root.select("node.*", F.col("root.slug").alias("family")), "families")
+    return tied.unionByName(incoming.select(*key).distinct().join(tied, key, "left_anti").withColumn("family", F.col("slug")))
 
 
 def upsert(notes: DataFrame, incoming: DataFrame, quarantine: bool = False) -> DataFrame:

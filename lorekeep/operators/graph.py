@@ -185,44 +185,68 @@ def vocabulary_report(relations: DataFrame, consumed: list[str]) -> DataFrame:
     return both.select("rel", F.coalesce("notes", F.lit(0)).alias("notes"), state.alias("state"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components with more than one node, named by their smallest node.
 
-    Rounds of forward and backward smallest-label propagation: a node whose two
-    labels agree is in the component of that label and leaves; the rest goes on.
+    First what has no way in or no way out is trimmed, and nodes with one edge in and one out are bridged, in rounds that
+    leave a fraction of every chain, so a path or a cycle takes rounds in the logarithm of its length. In what is left the
+    smallest node from which a node can be reached, and the smallest one that it reaches, are propagated: where they agree
+    is a component, and nodes of different labels part. Bridged nodes then join the component of both their neighbours.
     """
     edges = stored(edges.select("source", "target").where("source <> target").distinct(), "scc-edges")
-    done = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    bridged: list[DataFrame] = []
+    while not edges.isEmpty():
+        before = edges.count()
+        kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        kept = stored(kept.select("source", "target"), "scc-edges")
+        one_in = kept.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"), F.first("source").alias("before")).where("n = 1").select("node", "before")
+        one_out = kept.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("n"), F.first("target").alias("after")).where("n = 1").select("node", "after")
+        luck = F.xxhash64(F.lit(len(bridged)), "node")
+        chain = stored(one_in.join(one_out, "node").withColumn("luck", luck), "scc-chain")
+        near = lambda side: chain.select(F.col("node").alias(side), F.col("luck").alias(f"{side}_luck"))
+        lucky = (F.col("luck") < F.coalesce("before_luck", F.lit((1 << 63) - 1))) & (F.col("luck") < F.coalesce("after_luck", F.lit((1 << 63) - 1)))
+        picked = stored(chain.join(near("before"), "before", "left").join(near("after"), "after", "left").where(lucky).select("node", "before", "after"), "scc-bridged")
+        if picked.isEmpty():
+            edges = kept
+            if kept.count() == before:
+                break
+            continue
+        gone = picked.select("node")
+        rest = kept.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        edges = stored(rest.union(picked.select("before", "after")).where("source <> target").distinct(), "scc-edges")
+        bridged.append(picked)
+    done = _by_labels(edges)
+    for picked in reversed(bridged):
+        of = lambda side: done.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+        both = picked.join(of("before"), "before", "left").join(of("after"), "after", "left").withColumns({"b": F.coalesce("before_c", "before"), "a": F.coalesce("after_c", "after")}).where("a = b")
+        done = stored(done.union(both.select("node", "b")).union(both.select("before", "b")).distinct(), "scc")
+    named = done.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return done.join(named, "component").select("node", F.col("least").alias("component"))
+
+
+def _by_labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of a graph, by forward and backward smallest labels."""
+    done = edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    while not edges.isEmpty():
         forward, backward = _smallest(edges), _smallest(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
         labels = stored(forward.join(backward.withColumnRenamed("label", "back"), "node"), "scc-labels")
-        settled = labels.where("label = back").select("node", F.col("label").alias("component"))
-        done = settled if done is None else done.unionByName(settled)
-        left = labels.where("label <> back")
+        done = done.unionByName(labels.where("label = back").select("node", F.col("label").alias("component")))
         # nodes in different (forward, backward) classes are in different components
-        sides = left.select("node", "label", "back")
+        sides = labels.where("label <> back").select("node", "label", "back")
         edges = edges.join(sides.select(F.col("node").alias("source"), "label", "back"), "source").join(sides.select(F.col("node").alias("target"), "label", "back"), ["target", "label", "back"])
         edges = stored(edges.select("source", "target"), "scc-edges")
-    else:
-        raise RuntimeError("components did not settle")
-    if done is None:
-        return edges.select(F.col("source").alias("node"), F.col("target").alias("component"))
-    done = stored(done, "scc")
-    return done.join(done.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
+    return stored(done, "scc")
 
 
-def _smallest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _smallest(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node from which a node can be reached (itself included)."""
     labels = stored(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = edges.join(labels, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("offer"))
         moved = stored(labels.join(offered, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.coalesce("offer", "label") < F.col("label")).alias("moved")), "labels")
         labels = moved.select("node", "label")
         if moved.where("moved").isEmpty():
             return labels
-    raise RuntimeError("labels did not settle")
 
 
 def check_cycles(impact: DataFrame) -> DataFrame:

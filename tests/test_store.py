@@ -163,13 +163,12 @@ def test_confidence_matches_the_median(spark):
             assert got[q][1] == (sims[0] < 0.4 or (len(sims) >= 4 and sims[0] - np.median(sims) < 0.15))
 
 
-def test_guards_of_projects_and_of_all(spark):
+def test_guards_of_projects_and_of_all(spark, monkeypatch):
     guards = spark.createDataFrame([("g1", "eval", "advisory", None), ("g2", "eval", "blocking", "p"), ("g3", "x{2}", "advisory", "q"), ("g4", "eval", "retired", None)], "guard_id string, pattern string, status string, project string")
     acts = spark.createDataFrame([(1, "p", "eval xx"), (2, "q", "xx"), (3, None, "eval")], "action_id int, project string, text string")
-    for bound, block in ((100, 100), (0, 1)):
-        active.SMALL_ROWS, active.BLOCK_ROWS = bound, block
+    for block in (100, 1):
+        monkeypatch.setattr(active, "BLOCK_ROWS", block)
         assert {(r.action_id, r.guard_id) for r in active.guard_scan(acts, guards).collect()} == {(1, "g1"), (1, "g2"), (2, "g3"), (3, "g1")}
-    active.SMALL_ROWS, active.BLOCK_ROWS = 100_000, 10_000
 
 
 def test_html_text_of_pages(spark):
