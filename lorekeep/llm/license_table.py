@@ -18,7 +18,7 @@ NAMES = {
     "Zlib": ["zlib License", "zlib/libpng License", "Zlib"],
     "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License", "BSL-1.0"],
     "Unlicense": ["Unlicense", "The Unlicense"],
-    "WTFPL": ["Do What The F*ck You Want To Public License", "WTFPL"],
+    "WTFPL": ["Do What The Fuck You Want To Public License", "WTFPL"],
     "GPL-1.0-only": ["GNU General Public License, version 1", "GPL-1.0-only"],
     "GPL-1.0-or-later": ["GNU General Public License, version 1 or later", "GPL-1.0-or-later"],
     "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL v2", "GPL-2.0-only", "GPL-2.0"],
@@ -117,6 +117,7 @@ TEXTS = {
     "mpl2-header": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "epl2-header": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"],
     "bsl-grant": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "wtfpl-title": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"],
     "reserved": ["All rights reserved"],
 }
 #: (licence, identifiers in order) of the texts above; a licence may have several rules.
@@ -141,8 +142,11 @@ ORDERED = [
     ("MPL-2.0", ["mpl2-header"]),
     ("EPL-2.0", ["epl2-header"]),
     ("BSL-1.0", ["bsl-grant"]),
+    ("WTFPL", ["wtfpl-title"]),
     ("proprietary", ["reserved"]),
 ]
+#: What holds only where no licence does.
+ELSE = "proprietary"
 
 
 def plain(sentence: str) -> str:

@@ -136,7 +136,8 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 
 def _license_sql() -> str:
     known = ", ".join(f"('{s}', '{name}')" for s, name in licenses.SENTENCES.items())
-    held = ", ".join(f"CASE WHEN regexp_matches(line, ',{',(.*,)?'.join(ids)},') THEN '{name}' END" for name, ids in licenses.RULES)
+    holds = lambda ids: f"regexp_matches(line, ',{',(.*,)?'.join(ids)},')"
+    held = ", ".join(f"CASE WHEN {' AND NOT '.join(map(holds, [ids, *licenses.wider_rules(ids, licenses.RULES)]))} THEN '{name}' END" for name, ids in licenses.RULES)
     norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
     ends = ["y", "yf", "y || ' ' || z", "y || ' ' || zf"]
     joined = ", ".join(f"{h} || ' ' || {e}" for h in ("w", "l") for e in ends)
@@ -151,9 +152,10 @@ v AS (SELECT doc_id, a, generate_subscripts(c, 1) AS b, unnest(c) AS s FROM (SEL
 f AS (SELECT doc_id, a, b, name FROM v JOIN k ON regexp_replace(v.s, '{licenses.LEAD}', 'under ') = k.s),
 n AS (SELECT doc_id, count(*) AS n_sentences, string_agg(name, ',' ORDER BY a, b) AS ids FROM f GROUP BY doc_id),
 l AS (SELECT *, ',' || ids || ',' AS line FROM n)
-SELECT d.doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))), ','), '') AS licenses,
+SELECT doc_id, array_to_string(CASE WHEN len(x) > 1 THEN list_filter(x, lambda y: y <> '{licenses.ELSE}') ELSE x END, ',') AS licenses, n_sentences, sentence_ids FROM (
+SELECT d.doc_id, list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))) AS x,
        coalesce(n_sentences, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids
-FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id"""
+FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id)"""
 
 
 ORACLES["op9_license_scan"] = _license_sql()
