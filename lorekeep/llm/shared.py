@@ -11,11 +11,11 @@ __all__ = ["new_path", "open_fs", "partitions", "shared_dir", "stored"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI, for executors; a bare path is local."""
+    """File system and path of a URI, for executors. A bare path is refused: Spark takes it as one of the cluster's file system, not as a local one."""
     if uri.startswith("file:") and "://" not in uri:
         uri = "file://" + uri[len("file:") :]
     if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
+        raise ValueError(f"{uri} has no file system; see lorekeep.shared.qualified")
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 

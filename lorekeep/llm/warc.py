@@ -307,6 +307,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
-    """Write archives in the shared folder and read their records back."""
+    """Write archives in the shared folder and read their records back; raises where one of its own records is not read."""
     manifest = write(pages, new_path(pages.sparkSession, "warc"), **options)
-    return read(manifest, payload=False).where("gap IS NULL")
+    rows = read(manifest, payload=False)
+    lost = F.raise_error(F.concat(F.lit("a written record is not read: "), F.col("gap").cast("string"))).cast("string")
+    return rows.where(F.when(F.col("gap").isNull(), True).otherwise(lost.cast("boolean")))
