@@ -1,9 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes of a text cuts it where it exceeds the
-hashes of the 24 bytes before and after, so borders depend on the bytes around
+hashes of the 32 bytes before and after, so borders depend on the bytes around
 them alone and move with them: an insertion changes the chunks around it and no
-others, and chunks of 25 bytes or more come without a minimum that would carry a
+others, and chunks of 33 bytes or more come without a minimum that would carry a
 difference on from cut to cut. Text that repeats itself within that reach is cut at
 equal hashes, in step with the text.
 
@@ -36,7 +36,7 @@ from lorekeep.llm.shared import new_path, stored
 from lorekeep.shared import cleared
 
 #: Bytes on either side that a cut's hash exceeds; longest chunk; bytes in one numpy step.
-WIDE, MOST, STEP = 24, 128, 1 << 20
+WIDE, MOST, STEP = 32, 128, 1 << 20
 #: Bytes compared at most on either side of a chain; more than two chunks.
 AROUND = 320
 MIN_WORDS = 50

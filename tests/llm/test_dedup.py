@@ -162,3 +162,30 @@ def test_query_names_are_registered():
     from lorekeep.llm.queries import ORACLES, QUERIES
 
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+
+
+def test_substring_passages_against_every_window_of_fifty_words(spark):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    first, want = {}, set()
+    for d, t in docs:
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", t)]
+        windows = [xxhash.xxh3_64_intdigest(t[at[i][0] : at[i + 49][1]].encode()) for i in range(len(at) - 49)]
+        if any(first.get(h, d) < d for h in windows):
+            want.add(d)
+        for h in windows:
+            first.setdefault(h, d)
+    texts = dict(docs)
+    got = cdc.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got}
+    assert len(want) > 80 and len(want & found) >= 0.97 * len(want) and len(found - want) <= 0.01 * len(want)
+    assert all(texts[r.doc_id].encode()[r.start : r.stop] in texts[r.first_doc_id].encode() for r in got)
+
+
+def test_substring_spans_of_repeated_ids(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    passage = " ".join(rng.choice(words) for _ in range(80))
+    rows = [(1, passage)] + [(5, " ".join(rng.choice(words) for _ in range(30)) + f" {passage} " + " ".join(rng.choice(words) for _ in range(10 + i))) for i in range(6)]
+    got = cdc.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {t.index(passage) for i, t in rows if i == 5}
+    assert {r.doc_id for r in got} == {5} and want <= {r.start for r in got if r.n_words == 80}
