@@ -206,9 +206,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         near = lambda side: chain.select(F.col("node").alias(side), F.col("luck").alias(f"{side}_luck"))
         lucky = (F.col("luck") < F.coalesce("before_luck", F.lit((1 << 63) - 1))) & (F.col("luck") < F.coalesce("after_luck", F.lit((1 << 63) - 1)))
         picked = stored(chain.join(near("before"), "before", "left").join(near("after"), "after", "left").where(lucky).select("node", "before", "after"), "scc-bridged")
-        if picked.isEmpty():
+        left = kept.count()
+        if 20 * picked.count() < left or picked.isEmpty():  # too few to be worth a round
             edges = kept
-            if kept.count() == before:
+            if left == before or picked.count():
                 break
             continue
         gone = picked.select("node")

@@ -11,6 +11,8 @@ holds all candidates of a query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,12 +81,42 @@ def lex_overlap(queries: DataFrame, docs: DataFrame, index: DataFrame | None = N
     return shared.select("qid", "stem", (F.col("shared") / F.sqrt("nq") + RECUR_COSINE * F.log(F.col("recurrence").cast("double"))).alias("score"))
 
 
-def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, stem, sim): cosine of every query with every embedded candidate of its scope."""
-    q = queries.where("qvec IS NOT NULL").select("qid", "scope", "qvec", numbers.norm("qvec").alias("qn"))
-    d = docs.where("vec IS NOT NULL").select("scope", "stem", "vec", numbers.norm("vec").alias("dn"))
-    sim = F.coalesce(F.try_divide(numbers.dot("qvec", "vec"), F.col("qn") * F.col("dn")), F.lit(0.0))
-    return d.join(small(q), "scope").select("qid", "stem", sim.alias("sim"))
+#: Query vectors up to which they go to the tasks as one matrix a scope.
+MATRIX_ROWS = 20_000
+
+
+def similarities(queries: DataFrame, docs: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(qid, stem, sim): cosine of every query with every embedded candidate of its scope, or with those in `kept` (qid, stem) alone.
+
+    Query vectors within a bound are multiplied as a matrix with each batch of candidates; more of them meet by a join.
+    """
+    q = queries.where("qvec IS NOT NULL").select("qid", "scope", F.col("qvec").cast("array<double>").alias("qvec"))
+    d = docs.where("vec IS NOT NULL").select("scope", "stem", F.col("vec").cast("array<double>").alias("vec"))
+    value = F.coalesce(F.try_divide(numbers.dot("qvec", "vec"), numbers.norm("qvec") * numbers.norm("vec")), F.lit(0.0))
+    if kept is not None:
+        return kept.select("qid", "stem").join(d.select("stem", "vec"), "stem").join(small(q.select("qid", "qvec"), queries), "qid").select("qid", "stem", value.alias("sim"))
+    if q.count() > MATRIX_ROWS:
+        return d.join(q, "scope").select("qid", "stem", value.alias("sim"))
+    kind = queries.schema["qid"].dataType.simpleString()
+    held: dict[tuple[str, int], list] = {}
+    for r in q.collect():
+        held.setdefault((r.scope, len(r.qvec)), []).append((r.qid, r.qvec))
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1)) > 0, n, 1.0)[:, None]
+    shared = queries.sparkSession.sparkContext.broadcast({k: ([i for i, _ in v], unit(np.array([x for _, x in v], float))) for k, v in held.items()})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = []
+            for (scope, size), own in pdf.groupby(["scope", pdf["vec"].map(len)]):
+                asked = shared.value.get((scope, size))
+                if asked:
+                    sim = unit(np.array(own["vec"].tolist(), float)) @ asked[1].T
+                    n, m = sim.shape
+                    parts.append(pd.DataFrame({"qid": asked[0] * n, "stem": np.repeat(own["stem"].to_numpy(object), m), "sim": sim.ravel()}))
+            if parts:
+                yield pd.concat(parts)
+
+    return d.mapInPandas(run, f"qid {kind}, stem string, sim double")
 
 
 def confidence(sims: DataFrame) -> DataFrame:
@@ -201,7 +233,13 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int, as_of: str, limit: int
     queries, note, index = stored(queries, "queries"), narrow(docs), postings(queries, docs)
     lex = stored(bm25(queries, note, index), "lex")
     kept = prefilter(queries, note, limit, lex)
-    sims = stored(similarities(queries, note).join(kept, ["qid", "stem"], "left_semi"), "sims")
+    # in scopes within the limit every candidate is kept, and a matrix is quicker than pairs
+    size = stored(note.groupBy("scope").agg((F.count("*") <= limit).alias("whole")), "scopes")
+    of = queries.join(small(size), "scope")
+    sims = similarities(of.where("whole"), note)
+    if not of.where("NOT whole").isEmpty():
+        sims = sims.unionByName(similarities(of.where("NOT whole"), note, kept.join(small(of.where("NOT whole").select("qid"), queries), "qid", "left_semi")))
+    sims = stored(sims, "sims")
     conf = stored(confidence(sims), "confidence")
     sem = sims.join(small(conf.where("NOT low").select("qid"), queries), "qid").where(F.col("sim") > SIM_FLOOR)
     scored = priors(fuse(sem, lex.join(kept, ["qid", "stem"], "left_semi")), note, conf, as_of, queries=queries)
@@ -213,14 +251,22 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int, as_of: str, limit: int
     return expand(hits, note, links, relations, more).unionByName(recent)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, as_of: str) -> DataFrame:
-    """(qid, stem, score, low, rank): the search ranker over embedded notes, then text-only notes by overlap."""
+def search(queries: DataFrame, docs: DataFrame, k: int, as_of: str, limit: int | None = None) -> DataFrame:
+    """(qid, stem, score, low, rank): the search ranker over embedded notes, then text-only notes by overlap.
+
+    With `limit` the embedded candidates of a query in a larger scope are its `limit` best by BM25, before any cosine.
+    """
     queries, note, index = stored(queries, "queries"), narrow(docs), postings(queries, docs)
     embedded, plain = note.where("vec IS NOT NULL"), note.where("vec IS NULL")
     part = lambda rows: index.join(rows.select("stem"), "stem", "left_semi")
-    sims = stored(similarities(queries, embedded), "sims")
+    lex, kept = bm25(queries, embedded, part(embedded)), None
+    if limit is not None:
+        lex = stored(lex, "lex")
+        kept = stored(prefilter(queries, embedded, limit, lex), "kept")
+        lex = lex.join(kept, ["qid", "stem"], "left_semi")
+    sims = stored(similarities(queries, embedded, kept), "sims")
     conf = stored(confidence(sims), "confidence")
-    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), bm25(queries, embedded, part(embedded))), embedded, conf, as_of, queries=queries)
+    fused = priors(fuse(sims.where(F.col("sim") > NEAR_FLOOR), lex), embedded, conf, as_of, queries=queries)
     first = fused.join(small(conf.select("qid", "low"), queries), "qid", "left").select("qid", "stem", "score", F.coalesce("low", F.lit(True)).alias("low"), F.lit(0).alias("tier"))
     second = lex_overlap(queries, plain, part(plain)).select("qid", "stem", "score", F.lit(True).alias("low"), F.lit(1).alias("tier"))
     return top(first.unionByName(second), ["qid"], ["tier", F.desc("score"), "stem"], k).select("qid", "stem", "score", "low", "rank")
@@ -243,17 +289,18 @@ def posterior(scores: DataFrame, docs: DataFrame, as_of: str) -> DataFrame:
     return scores.join(note, "stem").select("qid", "stem", value.alias("score"))
 
 
-def min_max(value: Column, w) -> Column:
-    """Value scaled to [0, 1] in its window; one half when all are equal."""
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high == low, 0.5).otherwise((value - low) / (high - low))
+def min_max(scores: DataFrame, *values: str) -> DataFrame:
+    """`scores` with `values` scaled to [0, 1] in each query by its extremes; one half when all are equal."""
+    ends = scores.groupBy("qid").agg(*[f(v).alias(f"_{n}_{v}") for v in values for n, f in (("low", F.min), ("high", F.max))])
+    both = scores.join(ends, "qid")
+    scaled = {v: F.when(F.col(f"_high_{v}") == F.col(f"_low_{v}"), 0.5).otherwise((F.col(v) - F.col(f"_low_{v}")) / (F.col(f"_high_{v}") - F.col(f"_low_{v}"))) for v in values}
+    return both.withColumns(scaled).select(*scores.columns)
 
 
 def linear_blend(scores: DataFrame, docs: DataFrame, weight: float, log: bool = True) -> DataFrame:
-    w = Window.partitionBy("qid")
     often = F.log(F.col("recurrence").cast("double")) if log else (F.col("recurrence") - 1).cast("double")
-    both = scores.join(docs.select("stem", "recurrence"), "stem")
-    return both.select("qid", "stem", ((1 - weight) * min_max(F.col("score"), w) + weight * min_max(often, w)).alias("score"))
+    both = stored(scores.join(docs.select("stem", often.alias("often")), "stem").select("qid", "stem", "score", "often"), "blend")
+    return min_max(both, "score", "often").select("qid", "stem", ((1 - weight) * F.col("score") + weight * F.col("often")).alias("score"))
 
 
 def mmr(scores: DataFrame, docs: DataFrame, k: int, divergence: float = 0.3) -> DataFrame:
@@ -267,7 +314,7 @@ def mmr(scores: DataFrame, docs: DataFrame, k: int, divergence: float = 0.3) ->
         rel = (rel - rel.min()) / spread if spread else np.full(len(rel), 0.5)
         dim = max((len(v) for v in pdf["vec"] if v is not None), default=1)
         unit = np.array([np.zeros(dim) if v is None else np.asarray(v) / (np.linalg.norm(v) or 1) for v in pdf["vec"]])
-        near, left, order = np.zeros(len(rel)), list(range(len(rel))), []
+        near, left, order = np.full(len(rel), -np.inf), list(range(len(rel))), []
         while left:
             value = (1 - divergence) * rel[left] - divergence * near[left] if order else rel[left]
             best = left[int(np.argmax(value))]
@@ -289,11 +336,9 @@ def bridge(scores: DataFrame, docs: DataFrame, centroids: DataFrame, divergence:
 
 def rare_event(scores: DataFrame, docs: DataFrame, consequence: Column, gated: bool = False, weight: float = 0.35) -> DataFrame:
     """Scores raised for notes whose consequence is large for how rarely they recur."""
-    w = Window.partitionBy("qid")
-    both = scores.join(docs.select("stem", (consequence / (1 + F.log1p(F.col("recurrence").cast("double")))).alias("f")), "stem")
-    rare = min_max(F.col("f"), w)
-    value = F.col("score") * (1 + weight * rare) if gated else F.col("score") + weight * rare
-    return both.select("qid", "stem", value.alias("score"))
+    both = stored(scores.join(docs.select("stem", (consequence / (1 + F.log1p(F.col("recurrence").cast("double")))).alias("f")), "stem").select("qid", "stem", "score", "f"), "rare")
+    value = F.col("score") * (1 + weight * F.col("f")) if gated else F.col("score") + weight * F.col("f")
+    return min_max(both, "f").select("qid", "stem", value.alias("score"))
 
 
 def rocchio(queries: DataFrame, docs: DataFrame, k0: int = 3, beta: float = 0.4) -> DataFrame:
@@ -325,8 +370,9 @@ def fusion_variants(sem: DataFrame, lex: DataFrame, agreement: float = 0.25) ->
     at = lambda c: F.coalesce(c, F.lit(MISSING))
     z = zscores(sem, "sim", "zs").join(zscores(lex, "lex", "zl"), ["qid", "stem"], "full")
     r = robust(sem, "sim", "rs").join(robust(lex, "lex", "rl"), ["qid", "stem"], "full")
-    peak = F.max("zs").over(Window.partitionBy("qid"))
-    both = z.withColumn("peak", F.coalesce(peak, F.lit(0.0))).join(r, ["qid", "stem"])
+    z = stored(z, "z")
+    peak = z.groupBy("qid").agg(F.coalesce(F.max("zs"), F.lit(0.0)).alias("peak"))
+    both = z.join(peak, "qid").join(r, ["qid", "stem"])
     agree = SEM_WEIGHT * at("zs") + at("zl") + agreement * F.coalesce(F.col("zs") * F.col("zl"), F.lit(0.0))
     adaptive = at("zs") / (1 + 0.25 * F.col("peak")) + at("zl")
     return both.select("qid", "stem", (SEM_WEIGHT * at("rs") + at("rl")).alias("robust"), agree.alias("agree"), adaptive.alias("adaptive"))

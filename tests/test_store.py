@@ -208,3 +208,62 @@ def test_mean_and_ranking_metrics(spark):
     rel = spark.createDataFrame([(1, "b"), (2, "x")], "qid int, stem string")
     got = retrieval.eval_recall(ranked, rel).first()
     assert got.questions == 2 and got.recall_1 == 0.0 and got.recall_3 == 0.5 and got.mrr == 0.25
+
+
+def test_diversity_counts_opposite_notes(spark):
+    scores = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.52), (1, "c", 0.5)], "qid int, stem string, score double")
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0])], "stem string, vec array<double>")
+    assert [r.stem for r in retrieval.mmr(scores, docs, 3).orderBy("rank").collect()] == ["a", "c", "b"]
+
+
+def test_prefiltered_candidates_alone_meet_the_query_vector(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    rows = [("s", f"n{i:03}", " ".join(rng.choice(words, 12)), rng.normal(size=4).tolist(), int(i % 4) + 1, "mistake", dt.date(2024, 5, 1), False, 0.9) for i in range(120)]
+    docs = spark.createDataFrame(rows, "scope string, stem string, body string, vec array<double>, recurrence int, ntype string, date date, resolved boolean, confidence double")
+    q = spark.createDataFrame([(1, "s", " ".join(words[:9]), rng.normal(size=4).tolist())], "qid int, scope string, text string, qvec array<double>")
+    kept = {r.stem for r in retrieval.prefilter(q, docs, 20).collect()}
+    seen = []
+    real = retrieval.confidence
+    monkeypatch.setattr(retrieval, "confidence", lambda sims: seen.append({r.stem for r in sims.collect()}) or real(sims))
+    got = {r.stem for r in retrieval.retrieve(q, docs, 5, "2025-01-01", limit=20).collect()}
+    assert seen == [kept] and len(kept) == 20 and got <= kept
+    assert retrieval.search(q, docs, 5, "2025-01-01", limit=20).count() == 5
+    assert {(r.stem, round(r.sim, 9)) for r in retrieval.similarities(q, docs, docs.selectExpr("1 AS qid", "stem")).collect()} == {(r.stem, round(r.sim, 9)) for r in retrieval.similarities(q, docs).collect()}
+
+
+def test_folders_take_the_cluster_file_system(spark):
+    from lorekeep.shared import qualified
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.viewfs.mounttable.store.link./ckpt", "file:///tmp")
+        conf.set("fs.defaultFS", "viewfs://store/")
+        assert qualified(spark, "/ckpt/") == "viewfs://store/ckpt"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert qualified(spark, "/ckpt") == "file:/ckpt"
+
+
+def test_delta_leaves_nothing_behind(spark):
+    from lorekeep.sources import transcripts
+
+    mark = "path string, chars int, hash8 string, bytes int"
+    file = "path string, text string, mtime long"
+    empty = spark.createDataFrame([], mark)
+    over = transcripts.delta(spark.createDataFrame([("a", "x" * 50, 0)], file), empty, cap=20).first()
+    assert (over.mode, over.mined, over.chars, over.bytes) == ("over", "", None, None)
+    again = transcripts.delta(spark.createDataFrame([("a", "x" * 50, 0)], file), empty, cap=None).first()
+    assert (again.mode, len(again.mined), again.chars, again.bytes) == ("full", 50, 50, 50)
+    live = transcripts.delta(spark.createDataFrame([("a", "one\ntw", 1000)], file), empty, now=1000).first()
+    assert (live.mode, live.mined, live.chars, live.bytes) == ("full", "one\n", 4, -1)
+    marks = spark.createDataFrame([live.asDict()], "path string, mode string, mined string, chars int, hash8 string, bytes int").select("path", "chars", "hash8", "bytes")
+    settled = transcripts.delta(spark.createDataFrame([("a", "one\ntw", 1000)], file), marks, now=5000).first()
+    assert (settled.mode, settled.mined, settled.chars, settled.bytes) == ("delta", "tw", 6, 6)
+    waits = transcripts.delta(spark.createDataFrame([("a", "one\ntw", 1000)], file), marks, now=1000).first()
+    assert (waits.mode, waits.mined, waits.chars, waits.bytes) == ("wait", "", 4, -1)
+    wide = transcripts.delta(spark.createDataFrame([("a", "é" * 15, 0)], file), empty, cap=20).first()
+    assert wide.mode == "over"  # the cap is in bytes
+    tail = transcripts.delta(spark.createDataFrame([("a", "one\n" + "y" * 30, 0)], file), marks, cap=20).first()
+    assert (tail.mode, tail.chars, tail.bytes) == ("over", 4, -1)  # the watermark stays
