@@ -60,17 +60,24 @@ def stale(notes: DataFrame, files: DataFrame, text_col: str = "text") -> DataFra
     return per.withColumn("stale", F.col("found") == 0)
 
 
+def above(path: Column) -> Column:
+    """Every folder above a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
 def project_of_path(rows: DataFrame, roots: DataFrame, key: str = "id") -> DataFrame:
     """(key, project): the segment under the longest matching root (column root), else the last segment of the path."""
-    both = rows.select(key, "path").join(F.broadcast(roots), F.col("path").startswith(F.concat(F.col("root"), F.lit("/"))), "left")
-    longest = both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(F.length("root"))))).where("_n = 1")
-    under = F.substring_index(F.expr("substring(path, length(root) + 2)"), "/", 1)
-    return longest.select(key, F.when(F.col("root").isNotNull(), under).otherwise(F.substring_index("path", "/", -1)).alias("project"))
+    hit = rows.select(key, "path", F.explode(above(F.col("path"))).alias("root")).join(roots.select("root").distinct(), "root", "left_semi")
+    longest = hit.groupBy(key, "path").agg(F.max(F.length("root")).alias("n"))
+    both = rows.select(key, "path").join(longest, [key, "path"], "left")
+    under = F.substring_index(F.expr("substring(path, n + 2)"), "/", 1)
+    return both.select(key, F.when(F.col("n").isNotNull(), under).otherwise(F.substring_index("path", "/", -1)).alias("project"))
 
 
 def tracked(rows: DataFrame, roots: DataFrame, excludes: list[str], key: str = "id") -> DataFrame:
     """(key, tracked): paths below a root, not in an excluded place."""
-    hit = rows.select(key, "path").join(F.broadcast(roots), F.col("path").startswith(F.concat(F.col("root"), F.lit("/"))), "left_semi").select(key, F.lit(True).alias("inside"))
+    hit = rows.select(key, F.explode(above(F.col("path"))).alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select(key, F.lit(True).alias("inside"))
     out = F.lit(False)
     for e in excludes:
         out = out | F.col("path").contains(e)

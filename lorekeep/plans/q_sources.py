@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.fixtures import Tables
-from lorekeep.operators import graph
+from lorekeep.operators import graph, lenses
 from lorekeep.plans.registry import query
 from lorekeep.shared import new_path
+from lorekeep.sources import files as tree
 from lorekeep.sources import notes as source
 from lorekeep.sources import transcripts
 
@@ -92,9 +93,13 @@ def processed_prune(t):
     return transcripts.prune(t.ledger.select("event_id", at.alias("processed_at")), "2024-04-15")
 
 
-@query(FILES + f" SELECT (SELECT count(*) FROM sf WHERE mtime <= {NOW} - 120 AND path NOT IN (SELECT path FROM pr)) AS waiting, (SELECT max(processed_at) FROM pr) AS newest")
+@query(FILES + f" SELECT (SELECT count(*) FROM sf WHERE mtime <= {NOW} - 120 AND path NOT IN (SELECT path FROM pr) AND path % 10 <> 4) AS waiting, (SELECT max(processed_at) FROM pr) AS newest")
 def backlog_report(t):
-    return transcripts.backlog(session_files(t), processed(t), NOW)
+    """Of the projects below the tracked root, but for an excluded one."""
+    cwd = t.sessions.select(F.col("session").alias("key"), F.concat(F.lit("/work/"), "project", F.lit("/src")).alias("path")).distinct()
+    roots = t.spark.createDataFrame([("/work",)], "root string")
+    own = lenses.tracked(cwd, roots, ["/p4/"], "key").select(F.col("key").alias("path"), "tracked")
+    return transcripts.backlog(session_files(t), processed(t), NOW, tracked=own)
 
 
 @query("""SELECT session, project, CAST(turn AS INT) AS pos, CASE WHEN turn % 2 = 0 THEN 'mistake' ELSE 'pattern' END AS ntype, trim(substr(text, 1, 40)) AS title, trim(text) AS descr, CASE WHEN turn % 3 = 0 THEN 1.0 WHEN turn % 3 = 1 THEN 0.5 END AS confidence
@@ -189,9 +194,12 @@ def import_dedup(t):
 
 def _html_sql() -> str:
     body = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''), '{source.HIDDEN}', '', 'g'), '{source.TAG}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), lambda x: x <> ''), chr(10))"""
+    char = "CASE WHEN lower(m) LIKE '&#x%' THEN chr(CAST('0x' || substr(m, 4, length(m) - 4) AS INT)) ELSE chr(CAST(substr(m, 3, length(m) - 3) AS INT)) END"
+    pairs = f"list_zip(regexp_split_to_array(b, '{source.NUMERIC}'), list_append(list_transform(regexp_extract_all(b, '{source.NUMERIC}'), lambda m: {char}), ''))"
+    shown, body = body, f"array_to_string(list_transform({pairs}, lambda p: p[1] || p[2]), '')"
     for name, sign in source.ENTITIES.items():
         body = "replace({}, '{}', '{}')".format(body, name, sign.replace("'", "''"))
-    return f" SELECT page_id, {body} AS body FROM pages"
+    return f" SELECT page_id, {body} AS body FROM (SELECT page_id, {shown} AS b FROM pages)"
 
 
 @query(_html_sql())
@@ -213,17 +221,30 @@ def file_inventory(t):
     return source.inventory(files(t))
 
 
+@query(f", f AS (SELECT project, doc_id % 3 = 0 AS code, octet_length(encode({FILE_TEXT})) AS bytes FROM n) SELECT project, count(*) AS files, round(sum(bytes) / 1024.0, 1) AS kb, CAST(coalesce(sum(bytes) FILTER (code), 0) AS BIGINT) AS code_bytes, (SELECT string_agg(e || ':' || k, ',' ORDER BY k DESC, e) FROM (SELECT CASE WHEN g.code THEN 'py' ELSE 'md' END AS e, count(*) AS k FROM f g WHERE g.project = f.project GROUP BY 1)) AS top FROM f GROUP BY project")
+def file_totals(t):
+    found = tree.listed(files(t)).select("path", F.octet_length("text").alias("bytes"), F.split_part("path", F.lit("/"), F.lit(1)).alias("project"))
+    return tree.totals(found, ["project"])
+
+
 @query("SELECT project || '/m' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path, unnest(['os', 'a.b' || (doc_id % 5)]) AS module FROM n")
 def import_edges(t):
     return source.inventory(files(t)).select("path", F.explode("imports").alias("module"))
 
 
 @query(r""", p AS (SELECT doc_id, regexp_replace(text, '\n\s*\n', chr(10), 'g') AS t FROM n0), c AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil(length(t) / 1500.0) AS INT), 1))) AS pos, t FROM p), s AS (SELECT doc_id, pos, substr(t, pos * 1500 + 1, 1500) AS chunk FROM c)
-SELECT doc_id, CAST(pos AS INT) AS pos, chunk FROM s WHERE length(chunk) > 300 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 20""")
+SELECT doc_id, CAST(pos AS INT) AS pos, chunk FROM s WHERE length(chunk) > 300""")
 def chunk_text(t):
     return source.chunk(t.read("documents"))
 
 
+@query(r""", p AS (SELECT doc_id, project, regexp_replace(text, '\n\s*\n', chr(10), 'g') AS t FROM n0), c AS (SELECT doc_id, project, unnest(range(0, greatest(CAST(ceil(length(t) / 1500.0) AS INT), 1))) AS pos, t FROM p), s AS (SELECT doc_id, project, pos, substr(t, pos * 1500 + 1, 1500) AS chunk FROM c)
+SELECT doc_id, CAST(pos AS INT) AS pos, chunk FROM (SELECT * FROM s WHERE length(chunk) > 300 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5) QUALIFY row_number() OVER (PARTITION BY project ORDER BY md5(chunk), doc_id, pos) <= 30""")
+def chunk_text_capped(t):
+    """At most five segments of a text and thirty of a project."""
+    return source.chunk(t.read("documents").withColumnRenamed("source", "project"), cap=5, domain_col="project", domain_cap=30)
+
+
 @query("SELECT stem, CASE WHEN doc_id % 4 = 0 THEN vec ELSE CASE WHEN vec IS NULL THEN [CAST(doc_id AS DOUBLE)] ELSE [CAST(doc_id AS DOUBLE)] END END AS vec, CASE WHEN doc_id % 4 <> 0 OR vec IS NOT NULL THEN 'new' END AS embed_space, NOT (doc_id % 4 = 0 AND vec IS NOT NULL) AS asked FROM n WHERE NOT (doc_id % 4 = 0 AND vec IS NULL) UNION ALL SELECT stem, [CAST(doc_id AS DOUBLE)], 'new', true FROM n WHERE doc_id % 4 = 0 AND vec IS NULL")
 def embed_missing(t):
     notes = t.plain_notes.select("doc_id", "stem").join(t.vectors, "doc_id", "left")
@@ -232,6 +253,16 @@ def embed_missing(t):
     return source.embed_missing(notes.drop("doc_id"), new, "new")
 
 
+@query("SELECT stem, CASE WHEN doc_id % 4 = 0 OR project = 'src1' THEN vec WHEN doc_id % 3 = 0 THEN NULL ELSE [CAST(doc_id AS DOUBLE)] END AS vec, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN project = 'src1' THEN 'old' WHEN doc_id % 3 <> 0 THEN 'new' END AS embed_space, doc_id % 4 <> 0 OR vec IS NULL AS asked FROM n WHERE NOT (doc_id % 4 = 0 AND vec IS NULL)")
+def embed_abandoned(t):
+    """A project whose embedder fails keeps what it had."""
+    k = F.col("doc_id")
+    notes = t.plain_notes.select("doc_id", "stem", "project").join(t.vectors, "doc_id", "left").where("NOT (doc_id % 4 = 0 AND vec IS NULL)")
+    notes = notes.withColumn("embed_space", F.when(k % 4 == 0, "new").otherwise("old"))
+    new = notes.where("project <> 'src1' AND doc_id % 3 <> 0").select("stem", F.array(k.cast("double")).alias("new_vec"))
+    return source.embed_missing(notes.drop("doc_id"), new, "new", F.col("project"))
+
+
 @query("SELECT project, status, count(*) AS notes, sum(recurrence) AS recurrence FROM n WHERE status = 'live' GROUP BY ALL")
 def sink_notes(t):
     path = new_path(t.spark, "notes")

@@ -113,10 +113,12 @@ def prune(processed: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     return processed.where(at.isNull() | (at >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp")))
 
 
-def backlog(files: DataFrame, processed: DataFrame, now: int, settle: int = SETTLE_SECONDS) -> DataFrame:
-    """Settled files that nobody processed, and the newest processed time, in one row."""
-    waiting = files.where(F.col("mtime") <= now - settle).join(processed, "path", "left_anti").agg(F.count("*").alias("waiting"))
-    return waiting.crossJoin(processed.agg(F.max("processed_at").alias("newest")))
+def backlog(files: DataFrame, processed: DataFrame, now: int, settle: int = SETTLE_SECONDS, tracked: DataFrame | None = None) -> DataFrame:
+    """Settled files that nobody processed, and the newest processed time, in one row; with `tracked` (path, tracked) only those of tracked projects."""
+    left = files.where(F.col("mtime") <= now - settle).join(processed, "path", "left_anti")
+    if tracked is not None:
+        left = left.join(tracked.where("tracked").select("path").distinct(), "path", "left_semi")
+    return left.agg(F.count("*").alias("waiting")).crossJoin(processed.agg(F.max("processed_at").alias("newest")))
 
 
 def context_entries(journals: DataFrame, key: str = "project") -> DataFrame:
