@@ -7,8 +7,8 @@ for ten bits would be too many, so minimum hashes complete it: BANDS keys of ROW
 of them each name the buckets of a node; a pair of similarity 0.8 shares a bucket
 with probability 0.9998. Inside a bucket the minimum hashes themselves (a sketch of 16
 or 8 bits each) are compared with numpy: first every node with one centre of its bucket,
-for STARS choices of the centre, then all nodes that are still in different
-components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
+for STARS choices of the centre, then along a spanning forest of the closest sketches, then
+all nodes that are still in different components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
 SLACK (three deviations: 0.999 of the pairs at the limit) leave a task, and a link is
 such a pair whose sets have a Jaccard similarity of `least` or more, measured on the
 sets themselves (as 64-bit hashes) in a join. So all pairs of a bucket are either
@@ -126,7 +126,7 @@ def _sets(size: int):
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     pairs = stored(pairs.distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     sets = sets.join(F.broadcast(asked) if pairs.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("held").alias("held_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("held").alias("held_u")), "u")
     shared = F.size(F.array_intersect("held_u", "held_v"))
@@ -134,8 +134,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= least * (F.size("held_u") + F.size("held_v") - shared) - 1e-9).select("u", "v")
 
 
+FOREST = -1
+
+
+def _forest(keyed: np.ndarray, others: np.ndarray, n: np.ndarray, least: float, agree: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the sketches that agree, the closest ones first to last."""
+    left = np.arange(1, len(n))
+    best, parent, at = np.full(len(n), -1), np.zeros(len(n), np.int64), 0
+    while len(left):
+        same = (keyed[left] == keyed[at]).sum(axis=1) + (others[left] == others[at]).sum(axis=1)
+        same[np.minimum(n[left], n[at]) < least * np.maximum(n[left], n[at]) - 1e-9] = -1
+        nearer = same > best[left]
+        best[left[nearer]], parent[left[nearer]] = same[nearer], at
+        at = int(left[np.argmax(best[left])])
+        if best[at] >= agree:
+            yield at, int(parent[at])
+        left = left[left != at]
+
+
 def _compare(star: int | None, least: float):
-    """Rows (key, tile, node, n, root, sketch, band) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), or all."""
+    """Rows (key, tile, node, n, root, sketch, band) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), along a spanning forest (FOREST), or all."""
 
     def group(columns: list) -> Iterator[pa.RecordBatch]:
         node, n, root = (c.to_numpy() for c in columns[2:5])
@@ -145,6 +163,12 @@ def _compare(star: int | None, least: float):
         keyed, others = sketches(columns[5].to_pylist())
         agree = int(np.ceil((least - SLACK) * SKETCH))
         order = range(len(node) - 1)
+        if star == FOREST:
+            edges = np.array([e for e in _forest(keyed, others, n, least, agree) if root[e[0]] != root[e[1]]], np.int64).reshape(-1, 2)
+            if len(edges):
+                a, b = node[edges[:, 0]], node[edges[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+            return
         if star is not None:
             order = [int(np.argmin((node.view(np.uint64) ^ ADD[star]) * FACTOR[star]))]
         for i in order:
@@ -184,7 +208,7 @@ def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> Da
     new = stored(_verified(near, sets, least), "links")
     if not new.isEmpty():
         found, root = new, stored(components(new), "roots")
-    for star in [*range(STARS), None]:
+    for star in [*range(STARS), FOREST, None]:
         placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         placed = stored(placed.join(mixed, "key", "left_semi").select("key", "band", "node", "n", "root", "sketch"), "placed")
