@@ -267,6 +267,54 @@ def integrity_stats(entities: DataFrame, relations: DataFrame, findings: DataFra
     return counts.crossJoin(edges).crossJoin(found).select("notes", "entities", "edges", "findings", "dangling", F.bround(F.try_divide(F.col("dangling"), F.col("edges")), 3).alias("dangling_rate"))
 
 
+def export_rows(entities: DataFrame, relations: DataFrame, top: int = 40, shared: int = 2) -> DataFrame:
+    """(kind, source, rel, target, notes): the commonest entities (relations' targets are entities too), the typed edges among them, and pairs of `shared` notes or more."""
+    tagged = entities.select("stem", "entity").distinct()
+    named = tagged.groupBy("entity").agg(F.count("*").alias("notes")).unionByName(relations.select(F.col("target").alias("entity"), F.lit(0).cast("long").alias("notes")).distinct())
+    nodes = stored(named.groupBy("entity").agg(F.max("notes").alias("notes")).orderBy(F.desc("notes"), "entity").limit(top), "nodes")
+    kept = F.broadcast(nodes.select("entity"))  # `top` rows
+    ours = stored(tagged.join(kept, "entity"), "tagged")
+    edges = relations.select("stem", "rel", "target").join(kept.withColumnRenamed("entity", "target"), "target").join(ours.withColumnRenamed("entity", "source"), "stem").where("source <> target")
+    typed = edges.groupBy("source", "rel", "target").agg(F.count("*").alias("notes"))
+    pairs = ours.select("stem", F.col("entity").alias("source")).join(ours.select("stem", F.col("entity").alias("target")), "stem").where("source < target").groupBy("source", "target").agg(F.count("*").alias("notes")).where(F.col("notes") >= shared)
+    void = F.lit("")
+    return nodes.select(F.lit("node").alias("kind"), F.col("entity").alias("source"), void.alias("rel"), void.alias("target"), "notes").union(typed.select(F.lit("edge"), "source", "rel", "target", "notes")).union(pairs.select(F.lit("pair"), "source", void, "target", "notes"))
+
+
+def export_text(rows: DataFrame, form: str) -> DataFrame:
+    """One row with the text of exported rows: json, dot or mermaid. Nodes are few (`top` of export_rows)."""
+
+    def listed(kind: str, order: list[Column], line: Column, between: str) -> Column:
+        held = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line")))))
+        return F.array_join(F.transform(held, lambda x: x["line"]), between)
+
+    c = F.col
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    weight = [-c("notes"), c("source"), c("target"), c("rel")]
+    if form == "json":
+        nodes = listed("node", [-c("notes"), c("source")], F.to_json(F.struct(c("source").alias("id"), "notes")), ",")
+        edges = listed("edge", weight, F.to_json(F.struct("source", "rel", "target", "notes")), ",")
+        pairs = listed("pair", weight, F.to_json(F.struct(c("source").alias("a"), c("target").alias("b"), "notes")), ",")
+        text = F.concat(F.lit('{"nodes":['), nodes, F.lit('],"edges":['), edges, F.lit('],"cooccurrence":['), pairs, F.lit("]}"))
+    elif form == "dot":
+        nodes = listed("node", [c("source")], F.concat(F.lit("  "), quoted(c("source")), F.lit(" [label="), quoted(F.concat("source", F.lit("\\n("), c("notes").cast("string"), F.lit(")"))), F.lit("];\n")), "")
+        edges = listed("edge", weight, F.concat(F.lit("  "), quoted(c("source")), F.lit(" -> "), quoted(c("target")), F.lit(" [label="), quoted(c("rel")), F.lit("];\n")), "")
+        pairs = listed("pair", weight, F.concat(F.lit("  "), quoted(c("source")), F.lit(" -> "), quoted(c("target")), F.lit(" [dir=none, style=dashed];\n")), "")
+        text = F.concat(F.lit("digraph notes {\n  rankdir=LR; node [shape=box];\n"), nodes, edges, pairs, F.lit("}"))
+    elif form == "mermaid":
+        ids = F.transform(F.array_sort(F.collect_list(F.when(c("kind") == "node", c("source")))), lambda x: x)
+        named = rows.crossJoin(F.broadcast(rows.agg(ids.alias("ids"))))
+        at = lambda x: F.concat(F.lit("n"), (F.array_position("ids", x) - 1).cast("string"))
+        rows = named.withColumns({"s": at(c("source")), "t": at(c("target"))})
+        nodes = listed("node", [c("source")], F.concat(F.lit("\n  "), "s", F.lit("["), quoted(c("source")), F.lit("]")), "")
+        edges = listed("edge", weight, F.concat(F.lit("\n  "), "s", F.lit(" -->|"), "rel", F.lit("| "), "t"), "")
+        pairs = listed("pair", weight, F.concat(F.lit("\n  "), "s", F.lit(" -.- "), "t"), "")
+        text = F.concat(F.lit("graph LR"), nodes, edges, pairs)
+    else:
+        raise ValueError(f"no export form {form!r}")
+    return rows.agg(text.alias("text"))
+
+
 def export(entities: DataFrame, top: int = 40) -> DataFrame:
     """(kind, source, target, weight): the commonest entities, and edges of two shared notes or more among them."""
     nodes = entities.groupBy("entity").agg(F.count("*").alias("weight")).orderBy(F.desc("weight"), "entity").limit(top)

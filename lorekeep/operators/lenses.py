@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.shared import stored
+
 HEAD_SHARE, MARKER = 0.4, "\n\n[...middle of the transcript trimmed...]\n\n"
 
 
@@ -17,13 +19,15 @@ def select(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])
 
 
-def order_by(df: DataFrame, name: str, descending: bool = True) -> DataFrame:
-    """Numbers before texts (after them when descending), missing and empty values last either way."""
+def order_keys(name: str, descending: bool = True) -> list[tuple[Column, bool]]:
+    """What rows are sorted by, and whether downwards: numbers before texts (after them when descending), missing and empty values last either way."""
     text = F.col(name).cast("string")
     number = text.try_cast("double")
-    missing = text.isNull() | (text == "")
-    direction = F.desc if descending else F.asc
-    return df.withColumns({"_m": missing, "_t": number.isNull(), "_n": number, "_s": text}).orderBy("_m", direction("_t"), direction("_n"), direction("_s")).drop("_m", "_t", "_n", "_s")
+    return [(text.isNull() | (text == ""), False), (number.isNull(), descending), (number, descending), (text, descending)]
+
+
+def order_by(df: DataFrame, name: str, descending: bool = True) -> DataFrame:
+    return df.orderBy(*[k.desc() if down else k.asc() for k, down in order_keys(name, descending)])
 
 
 def top(df: DataFrame, n: int) -> DataFrame:
@@ -60,6 +64,20 @@ def stale(notes: DataFrame, files: DataFrame, text_col: str = "text") -> DataFra
     return per.withColumn("stale", F.col("found") == 0)
 
 
+def numbered(df: DataFrame, order: list[tuple[Column, bool]], name: str = "place") -> DataFrame:
+    """`df` with the place of each row in a total order, from 1: rows are sorted by range in many tasks, and a task adds the number of rows before its own."""
+    ranged = df.select("*", *[c.alias(f"_o{i}") for i, (c, _) in enumerate(order)])
+    keys = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}").asc() for i, (_, down) in enumerate(order)]
+    dealt = stored(ranged.repartitionByRange(*keys).withColumn("_task", F.spark_partition_id()), "ranged")
+    before, offsets = 0, []
+    for r in dealt.groupBy("_task").count().orderBy("_task").collect():  # one row a task
+        offsets.append((r["_task"], before))
+        before += r["count"]
+    start = df.sparkSession.createDataFrame(offsets, "_task int, _before long")
+    own = F.row_number().over(Window.partitionBy("_task").orderBy(*keys))
+    return dealt.join(F.broadcast(start), "_task").withColumn(name, own + F.col("_before")).select(*df.columns, name)
+
+
 def above(path: Column) -> Column:
     """Every folder above a path."""
     parts = F.split(path, "/")

@@ -175,3 +175,38 @@ def compact(entries: DataFrame, cap: int = 12_000, floor: int = 3, ceiling: int
     r = entries.withColumns({"n": F.row_number().over(w), "used": F.sum(F.octet_length("text") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     keep = (F.col("n") <= floor) | ((F.col("n") <= ceiling) & (F.col("used") <= cap))
     return r.select("project", "stem", F.when(keep, "keep").otherwise("fold").alias("state"))
+
+
+#: Bytes that a fold reserves for the new state, and a spill for its note; link targets that a fold carries on.
+FOLD_RESERVE, SPILL_RESERVE, LINKS = 1800, 200, 60
+
+
+def compaction(entries: DataFrame, cap: int = 12_000, floor: int = 3, ceiling: int = 12, live: bool = False) -> DataFrame:
+    """Entries (project, date, stem, text) with what becomes of them: keep, fold (into a summary that a model writes) or spill (moved verbatim).
+
+    A journal within `cap` bytes is left alone. Maintenance keeps the newest entries that fit beside the summary, between `floor` and
+    `ceiling` of them and never more than fit. On the `live` path, where no model is asked, journals are left alone up to four
+    times the cap; beyond it all but the newest entries that fit are spilled.
+    """
+    w = Window.partitionBy("project").orderBy(F.desc("date"), F.desc("stem"))
+    # the journal's entries without their texts
+    size = entries.select("project", "date", "stem", (F.octet_length("text") + 2).alias("bytes"))
+    r = size.withColumns({"n": F.row_number().over(w), "used": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    reserve = SPILL_RESERVE if live else FOLD_RESERVE
+    per = r.groupBy("project").agg(F.count("*").alias("all"), F.sum("bytes").alias("total"), F.count_if((F.col("n") == 1) | (F.col("used") <= max(0, cap - reserve))).alias("fit"))
+    low, high = F.least(F.lit(floor), F.col("all") - 1), F.least(F.lit(ceiling), F.col("all") - 1)
+    kept = F.greatest(low, F.least("fit", high))
+    kept = F.when(kept > F.col("fit"), F.greatest(F.lit(1), F.col("fit"))).otherwise(kept)
+    touched = (F.col("all") >= 2) & (F.col("total") > (4 * cap if live else cap))
+    state = F.when(~touched | (F.col("n") <= (F.col("fit") if live else kept)), "keep").otherwise("spill" if live else "fold")
+    return r.join(per, "project").select("project", "date", "stem", state.alias("state"))
+
+
+def folded_links(entries: DataFrame, states: DataFrame, most: int = LINKS) -> DataFrame:
+    """(project, place, target): the last `most` distinct link targets of folded entries, in the order in which they first appear, so that no note loses its place in the graph."""
+    old = entries.join(states.where("state = 'fold'").select("project", "stem"), ["project", "stem"], "left_semi")
+    each = old.select("project", "date", "stem", F.posexplode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))).alias("pos", "target")).withColumn("target", F.trim("target")).where("target <> ''")
+    first = each.groupBy("project", "target").agg(F.min(F.struct("date", "stem", "pos")).alias("at"))
+    back = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("at")))
+    last = first.withColumn("back", back).where(F.col("back") <= most)
+    return last.select("project", F.row_number().over(Window.partitionBy("project").orderBy("at")).alias("place"), "target")

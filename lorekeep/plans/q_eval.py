@@ -11,6 +11,7 @@ from lorekeep.operators import evaluation as ev
 from lorekeep.operators import retrieval as r
 from lorekeep.plans.q_retrieval import ALL, docs, mm, queries, rounded
 from lorekeep.plans.registry import query
+from lorekeep.shared import stored
 
 RANKED = ALL + ", rk AS (SELECT qid, stem, doc_id, recurrence, lex, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, stem) AS rank FROM (SELECT qid, stem, round(lex, 6) AS lex FROM bm) JOIN cd USING (stem)), rl AS (SELECT qid, stem FROM qrels JOIN cd USING (doc_id))"
 
@@ -109,6 +110,13 @@ def posterior_fit(t):
     return named(t, ev.posterior_fit(choices(t), FEATURES), FEATURES)
 
 
+@query(None)
+def posterior_ablation(t):
+    """What each feature is worth: the loss without it less the loss with all."""
+    rows = stored(choices(t), "choices")
+    return t.spark.createDataFrame([(n, round(x, 6)) for n, x in ev.leave_one_out(rows, FEATURES)], "feature string, loss_change double")
+
+
 def rewards(t: Tables):
     e = t.read("events")
     return e.select(F.lit(1.0).alias("one"), (F.col("user_id") / 150).alias("user"), (F.col("value") / 100).alias("value"), (F.col("event_type") == "view").cast("double").alias("view"), (F.col("event_type") == "purchase").cast("double").alias("reward"), (F.col("event_id") % 5).alias("seed"), F.floor(F.col("event_id") / 50).alias("round"), F.col("event_id").alias("stem"))

@@ -162,6 +162,40 @@ def context_compact(t):
     return rollups.compact(t.plain_notes)
 
 
+def compaction_sql(cap: int, live: bool) -> str:
+    room, limit = cap - (200 if live else 1800), cap * (4 if live else 1)
+    kept = "fit" if live else "CASE WHEN greatest(least(3, al - 1), least(fit, least(12, al - 1))) > fit THEN greatest(1, fit) ELSE greatest(least(3, al - 1), least(fit, least(12, al - 1))) END"
+    return f""", jr AS (SELECT project, date, stem, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 300) ELSE title END || ' [[' || slug || ']] see [[t' || (doc_id % 7) || '|x]]' AS text FROM n),
+en AS (SELECT *, octet_length(encode(text)) + 2 AS bytes, row_number() OVER w AS k, sum(octet_length(encode(text)) + 2) OVER (PARTITION BY project ORDER BY date DESC, stem DESC ROWS UNBOUNDED PRECEDING) AS used FROM jr WINDOW w AS (PARTITION BY project ORDER BY date DESC, stem DESC)),
+pp AS (SELECT project, count(*) AS al, sum(bytes) AS total, count(*) FILTER (k = 1 OR used <= {room}) AS fit FROM en GROUP BY 1),
+cs AS (SELECT project, date, stem, text, CASE WHEN al < 2 OR total <= {limit} OR k <= {kept} THEN 'keep' ELSE '{"spill" if live else "fold"}' END AS state FROM en JOIN pp USING (project))"""
+
+
+def journal(t: Tables):
+    k = F.col("doc_id")
+    body = F.concat(F.when(k % 3 == 0, F.substring("text", 1, 300)).otherwise(F.col("title")), F.lit(" [["), "slug", F.lit("]] see [[t"), (k % 7).cast("string"), F.lit("|x]]"))
+    return t.plain_notes.select("project", "date", "stem", body.alias("text"))
+
+
+@query(compaction_sql(4000, False) + " SELECT project, stem, state FROM cs")
+def context_fold(t):
+    return rollups.compaction(journal(t), 4000).select("project", "stem", "state")
+
+
+@query(compaction_sql(1500, True) + " SELECT project, stem, state FROM cs")
+def context_spill(t):
+    """Where no model is asked, journals over four times the cap give up their oldest entries as they are."""
+    return rollups.compaction(journal(t), 1500, live=True).select("project", "stem", "state")
+
+
+@query(compaction_sql(4000, False) + """, lk AS (SELECT project, date, stem, unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)', 1)) AS target, generate_subscripts(regexp_extract_all(text, '\\[\\[([^\\]|#]+)', 1), 1) AS pos FROM cs WHERE state = 'fold'),
+fi AS (SELECT project, trim(target) AS target, min({'d': date, 's': stem, 'p': pos}) AS spot FROM lk GROUP BY ALL), la AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY project ORDER BY spot DESC) <= 6)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY spot) AS INT) AS place, target FROM la""")
+def context_links(t):
+    entries = journal(t)
+    return rollups.folded_links(entries, rollups.compaction(entries, 4000), 6)
+
+
 @query("SELECT stem, recurrence, row_number() OVER (PARTITION BY project ORDER BY recurrence DESC, stem) AS rank FROM n WHERE ntype = 'mistake' AND recurrence >= 2 AND length(title) >= 6 AND length(descr) >= 15 AND lower(title) <> lower(prevention) QUALIFY rank <= 3")
 def distill_candidates(t):
     ok = (F.col("recurrence") >= 2) & (F.length("title") >= 6) & (F.length("descr") >= 15) & (F.lower("title") != F.lower("prevention"))

@@ -30,12 +30,11 @@ def lens_pipe(t):
     return mine.withColumn("place", F.row_number().over(Window.orderBy(F.col("confidence").isNull(), F.desc("confidence"), "stem"))).transform(lambda d: lenses.where(d, F.col("place") <= 12))
 
 
-@query("SELECT v, row_number() OVER (ORDER BY v IS NULL OR v = '', TRY_CAST(v AS DOUBLE) IS NULL DESC, TRY_CAST(v AS DOUBLE) DESC, v DESC NULLS LAST) AS place FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE slug END AS v FROM n) WHERE v IS NOT NULL")
+@query("SELECT v, row_number() OVER (ORDER BY v IS NULL OR v = '', TRY_CAST(v AS DOUBLE) IS NULL DESC, TRY_CAST(v AS DOUBLE) DESC, v DESC NULLS LAST) AS place FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE slug END AS v FROM n)")
 def lens_order_by(t):
     key = F.col("doc_id") % 4
     v = F.when(key == 0, None).when(key == 1, "").when(key == 2, F.col("doc_id").cast("string")).otherwise(F.col("slug"))
-    shown = lenses.order_by(t.plain_notes.select(v.alias("v")).where("v IS NOT NULL").distinct().coalesce(1), "v")
-    return shown.select("v", (F.monotonically_increasing_id() + 1).alias("place"))
+    return lenses.numbered(t.plain_notes.select(v.alias("v")).distinct(), lenses.order_keys("v"))
 
 
 @query("SELECT stem FROM n ORDER BY stem LIMIT 7")

@@ -276,3 +276,33 @@ def export_graph(t):
     return graph.export(t.entities.where("status = 'live'"), 20)
 
 
+
+
+EXPORT = """, tg AS (SELECT DISTINCT stem, entity FROM ne WHERE status = 'live'), rl AS (SELECT stem, rel, target FROM nr WHERE status = 'live'),
+nd AS (SELECT entity, max(notes) AS notes FROM (SELECT entity, count(*) AS notes FROM tg GROUP BY 1 UNION ALL SELECT DISTINCT target, 0 FROM rl) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12),
+ed AS (SELECT entity AS source, rel, target, count(*) AS notes FROM tg JOIN rl USING (stem) WHERE entity <> target AND entity IN (SELECT entity FROM nd) AND target IN (SELECT entity FROM nd) GROUP BY ALL),
+pa AS (SELECT a.entity AS source, b.entity AS target, count(*) AS notes FROM tg a JOIN tg b ON a.stem = b.stem AND a.entity < b.entity WHERE a.entity IN (SELECT entity FROM nd) AND b.entity IN (SELECT entity FROM nd) GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def exported(t: Tables) -> DataFrame:
+    return graph.export_rows(t.entities.where("status = 'live'"), t.relations.where("status = 'live'"), 12)
+
+
+@query(EXPORT + " SELECT 'node' AS kind, entity AS source, '' AS rel, '' AS target, notes FROM nd UNION ALL SELECT 'edge', source, rel, target, notes FROM ed UNION ALL SELECT 'pair', source, '', target, notes FROM pa")
+def export_rows(t):
+    return exported(t)
+
+
+@query(EXPORT + """ SELECT '{"nodes":[' || (SELECT string_agg('{"id":"' || entity || '","notes":' || notes || '}', ',' ORDER BY notes DESC, entity) FROM nd) || '],"edges":[' || coalesce((SELECT string_agg('{"source":"' || source || '","rel":"' || rel || '","target":"' || target || '","notes":' || notes || '}', ',' ORDER BY notes DESC, source, target, rel) FROM ed), '') || '],"cooccurrence":[' || coalesce((SELECT string_agg('{"a":"' || source || '","b":"' || target || '","notes":' || notes || '}', ',' ORDER BY notes DESC, source, target) FROM pa), '') || ']}' AS text""")
+def export_json(t):
+    return graph.export_text(exported(t), "json")
+
+
+@query(EXPORT + """ SELECT 'digraph notes {' || chr(10) || '  rankdir=LR; node [shape=box];' || chr(10) || (SELECT string_agg('  "' || entity || '" [label="' || entity || '\\n(' || notes || ')"];' || chr(10), '' ORDER BY entity) FROM nd) || coalesce((SELECT string_agg('  "' || source || '" -> "' || target || '" [label="' || rel || '"];' || chr(10), '' ORDER BY notes DESC, source, target, rel) FROM ed), '') || coalesce((SELECT string_agg('  "' || source || '" -> "' || target || '" [dir=none, style=dashed];' || chr(10), '' ORDER BY notes DESC, source, target) FROM pa), '') || '}' AS text""")
+def export_dot(t):
+    return graph.export_text(exported(t), "dot")
+
+
+@query(EXPORT + """, ii AS (SELECT entity, 'n' || (row_number() OVER (ORDER BY entity) - 1) AS id FROM nd) SELECT 'graph LR' || (SELECT string_agg(chr(10) || '  ' || id || '["' || entity || '"]', '' ORDER BY entity) FROM ii) || coalesce((SELECT string_agg(chr(10) || '  ' || a.id || ' -->|' || rel || '| ' || b.id, '' ORDER BY notes DESC, source, target, rel) FROM ed JOIN ii a ON a.entity = source JOIN ii b ON b.entity = target), '') || coalesce((SELECT string_agg(chr(10) || '  ' || a.id || ' -.- ' || b.id, '' ORDER BY notes DESC, source, target) FROM pa JOIN ii a ON a.entity = source JOIN ii b ON b.entity = target), '') AS text""")
+def export_mermaid(t):
+    return graph.export_text(exported(t), "mermaid")
