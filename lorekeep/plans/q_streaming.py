@@ -9,7 +9,8 @@ from lorekeep.fixtures import Tables, pick
 from lorekeep.operators import active, graph
 from lorekeep.plans.q_active import lessons
 from lorekeep.plans.registry import query
-from lorekeep.shared import new_path
+from lorekeep.shared import new_path, stored
+from lorekeep.sources.versions import Versions
 from lorekeep.streaming import jobs
 
 
@@ -95,19 +96,20 @@ def st_prompt_recall(t):
 
 @query(None)
 def st_lesson_upsert(t):
-    """The write path as a batch sink: every batch of lessons is folded into the notes that the batch before it left."""
-    base = new_path(t.spark, "note-versions")
+    """The write path as a batch sink: every batch of lessons is folded into the notes of its projects, and a version of the table keeps all others."""
     none = "project string, ntype string, slug string, stem string, date date, recurrence long, session string, status string, superseded_by string, resolved_by string"
-    t.spark.createDataFrame([], none).write.parquet(f"{base}/version=0")
+    store = Versions(t.spark, new_path(t.spark, "note-versions"), none, "project")
     key = F.col("doc_id")
     moving = stream(t, "documents").select(
         "doc_id", F.col("source").alias("project"), pick(["mistake", "pattern", "decision"], key % 3).alias("ntype"), F.date_add(F.lit("2024-01-01").cast("date"), (key * 37 % 366).cast("int")).alias("date"), F.lit(None).cast("double").alias("confidence"), "text"
     )
 
     def fold(df: DataFrame, number: int) -> DataFrame:
-        notes = t.spark.read.schema(none).parquet(f"{base}/version={number}")
-        active.upsert(notes, lessons(df)).write.mode("overwrite").parquet(f"{base}/version={number + 1}")
-        return t.spark.createDataFrame([(number + 1,)], "version long")
+        # lessons tie notes of one project only, so the others stay as they are
+        new = stored(lessons(df), "batch")
+        touched = new.select("project").distinct()
+        after = stored(active.upsert(store.read(number, touched), new), "after")
+        return t.spark.createDataFrame([(store.write(number, after, touched),)], "version long")
 
     last = jobs.run_once(moving, "upsert", batch=fold).agg(F.max("version")).first()[0] or 0
-    return t.spark.read.schema(none).parquet(f"{base}/version={last}")
+    return store.read(last)
