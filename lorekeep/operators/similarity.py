@@ -319,8 +319,11 @@ def leaders(rows: DataFrame, least: float | None, head: int = HEAD, chunk: int =
 
     todo, done = stored(rows, "undecided"), None
     while not todo.isEmpty():
-        first = F.row_number().over(Window.partitionBy("g").orderBy("place", "id"))
-        heads = todo.withColumn("_n", first).where(F.col("_n") <= head).drop("_n")
+        # the first of each task's part, then the first of these: no task ranks a whole group
+        narrow = todo.select("g", "id", "place", F.spark_partition_id().alias("_part"))
+        for by in (["g", "_part"], ["g"]):
+            narrow = narrow.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("place", "id"))).where(F.col("_n") <= head)
+        heads = todo.join(narrow.select("g", "id"), ["g", "id"], "left_semi")
         settled = stored(heads.groupBy("g").applyInPandas(settle, SEEDED), "settled")
         rest = stored(todo.join(settled.select("g", "id"), ["g", "id"], "left_anti"), "undecided")
         done = settled if done is None else done.unionByName(settled)

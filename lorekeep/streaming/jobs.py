@@ -88,7 +88,7 @@ def alarm_counts(events: DataFrame) -> DataFrame:
 
 
 def prompt_recall(hits: DataFrame, per_prompt: int = PER_PROMPT, prompts: int = PROMPTS) -> DataFrame:
-    """(session, prompt, stem) shown: for each prompt its best notes not shown in the session yet, a few per prompt, some prompts per session.
+    """(session, prompt, stem) shown: for each prompt its best notes not shown in the session yet, a few per prompt, some prompts per session (1: once a session).
 
     Hits: session, prompt (ordered), rank, stem, at; reset rows have a null stem.
     State goes some days (of event time) after a session's last prompt.
