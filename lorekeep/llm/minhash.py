@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import simhash
 from lorekeep.llm.components import components
-from lorekeep.llm.shared import stored
+from lorekeep.llm.shared import small_batches, stored
 
 BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
 #: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
@@ -43,7 +43,7 @@ SKETCH, KEYED = 256, 64
 #: Candidate texts up to which their list is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 400_000
 #: Shingles in one numpy step, and in one batch of sets.
-STEP, FLUSH = 4096, 500_000
+STEP, FLUSH = 2048, 200_000
 _MIX = np.random.default_rng(20240101).integers(0, 1 << 64, (2, SKETCH), np.uint64)
 ADD, FACTOR = _MIX[0][:, None], _MIX[1][:, None] | np.uint64(1)
 
@@ -226,7 +226,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, h, root) of every row: its id, the XXH64 of its text, its component."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>, sketch binary"), "prints")
+    with small_batches(df.sparkSession):
+        prints = stored(rows.mapInArrow(_prints(shingle), "id long, h long, node long, n int, fp long, keys array<long>, sketch binary"), "prints")
     nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     buckets = nodes.select("node", "h", "n", "sketch", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
@@ -238,7 +239,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     if asked.count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     texts = rows.join(asked, "h", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets(shingle), "node long, held array<long>").dropDuplicates(["node"]), "sets")
+    with small_batches(df.sparkSession):
+        sets = stored(texts.mapInArrow(_sets(shingle), "node long, held array<long>").dropDuplicates(["node"]), "sets")
     root = links(buckets.select("key", "band", "node", "n", "sketch"), sets, least, near)
     return prints.join(root, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
 

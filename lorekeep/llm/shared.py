@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 from lorekeep.shared import new_path, shared_dir, stored
 
-__all__ = ["new_path", "open_fs", "partitions", "shared_dir", "stored"]
+__all__ = ["new_path", "open_fs", "partitions", "shared_dir", "small_batches", "stored"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -22,3 +25,15 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
     """Tasks for `rows`, `per_task` at most in the mean, and no fewer than the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python at most `rows` at once in what is written inside the block, so that two tasks' batches fit beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
