@@ -41,7 +41,7 @@ WIDE, MOST, STEP = 32, 128, 1 << 20
 AROUND = 320
 MIN_WORDS = 50
 #: Places, and documents that have some, up to which their list is broadcast; with a longer one texts are shuffled, all of them beyond the second bound.
-BROADCAST_ROWS, BROADCAST_IDS = 400_000, 2_000_000
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 2_000_000
 GEAR = np.frombuffer(np.random.default_rng(20240101).bytes(1024), "<u4")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
