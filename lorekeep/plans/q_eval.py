@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.fixtures import AS_OF, Tables
@@ -47,10 +46,9 @@ def eval_stratified(t):
 
 @query(RANKED + f", sc AS (SELECT qid, stem, {mm('lex')} AS a, {mm('ln(recurrence)')} AS b FROM rk WHERE rank <= 50), gr AS (SELECT qid, stem, w, round((1 - w) * a + w * b, 9) AS s FROM sc, (SELECT unnest([0.0, 0.1, 0.3, 0.5]) AS w)), fr AS (SELECT w, qid, min(rank) AS r FROM (SELECT *, row_number() OVER (PARTITION BY w, qid ORDER BY s DESC, stem) AS rank FROM gr) JOIN rl USING (qid, stem) GROUP BY ALL) SELECT CAST(w AS DOUBLE) AS w, round(sum(CASE WHEN r = 1 THEN 1.0 ELSE 0 END) / (SELECT count(DISTINCT qid) FROM rl), 6) AS recall_1, round(sum(1.0 / r) / (SELECT count(DISTINCT qid) FROM rl), 6) AS mrr FROM fr GROUP BY 1")
 def eval_weight_sweep(t):
-    w = Window.partitionBy("qid")
     both = ranked(t, 50).join(t.plain_notes.select("stem", "recurrence"), "stem")
-    scores = both.select("qid", "stem", r.min_max(F.col("lex"), w).alias("a"), r.min_max(F.log(F.col("recurrence").cast("double")), w).alias("b"))
-    return ev.weight_sweep(scores, relevant(t), [0.0, 0.1, 0.3, 0.5])
+    scores = stored(both.select("qid", "stem", F.col("lex").alias("a"), F.log(F.col("recurrence").cast("double")).alias("b")), "sweep")
+    return ev.weight_sweep(r.min_max(scores, "a", "b"), relevant(t), [0.0, 0.1, 0.3, 0.5])
 
 
 @query(", p AS (SELECT (event_id * 37 % 1000) / 1000 AS p, CASE WHEN event_type IN ('purchase', 'view') THEN 1.0 ELSE 0 END AS y FROM events), b AS (SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, avg(p) AS predicted, avg(y) AS observed FROM p GROUP BY 1) SELECT bin, n, round(predicted, 6) AS predicted, round(observed, 6) AS observed, round((SELECT sum(n * abs(predicted - observed)) / sum(n) FROM b), 6) AS ece FROM b")
