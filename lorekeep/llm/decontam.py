@@ -63,7 +63,7 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     """The index (row, tid, pos, id): a posting of every occurrence of a term, and per row of `docs` one without a tid that has its id and, as pos, its number of words."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     at = rows.select("row", "id", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "term"))
-    asked = terms.select(F.col("term").alias("asked"), "tid").union(terms.sparkSession.createDataFrame([(None, None)], "asked string, tid long"))
+    asked = terms.select(F.col("term").alias("asked"), "tid").union(terms.sparkSession.range(1).select(F.lit(None).cast("string"), F.lit(None).cast("long")))
     asked = _small(stored(asked, "asked"))
     found = at.join(asked, F.col("term").eqNullSafe(F.col("asked")))
     return stored(found.select("row", "tid", "pos", F.when(F.col("tid").isNull(), F.col("id")).alias("id")), "postings")

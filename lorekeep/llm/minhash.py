@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import simhash
 from lorekeep.llm.components import components
-from lorekeep.llm.shared import small_batches, stored
+from lorekeep.llm.shared import forget, small_batches, stored
 
 BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
 #: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
@@ -85,6 +85,7 @@ def sketches(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32)
             keys = np.zeros((batch.num_rows, BANDS), np.uint64)
@@ -105,6 +106,7 @@ def _prints(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nodes: list[int] = []
             sets: list[np.ndarray] = []

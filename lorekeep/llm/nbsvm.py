@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.shared import forget
+
 BITS = 16
 SAMPLE = 6_000
 #: Bytes hashed in one numpy step.
@@ -202,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -219,6 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         for batch in batches:
             values = pa.array([m.score(t.as_py()) for t in batch.column(2)], pa.float64())
@@ -235,6 +239,7 @@ def filter_rows(docs: DataFrame, model: Model, text_col: str = "text", threshold
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keep = [shared.value.score(t.as_py()) >= threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))

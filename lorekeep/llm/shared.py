@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 from lorekeep.shared import new_path, shared_dir, stored
 
-__all__ = ["new_path", "open_fs", "partitions", "shared_dir", "small_batches", "stored"]
+__all__ = ["forget", "kept_by_worker", "new_path", "open_fs", "partitions", "shared_dir", "small_batches", "stored"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -37,3 +41,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+_kept: list = []
+
+
+def kept_by_worker(f: Callable) -> Callable:
+    """`f` with its last results kept in a Python worker from task to task, until the worker turns to other work (`forget`)."""
+    _kept.append(lru_cache(maxsize=2)(f))
+    return _kept[-1]
+
+
+def forget() -> None:
+    """Drop what this worker keeps of other work, and give the memory back; tasks of a later stage run in the same process."""
+    if any(f.cache_info().currsize for f in _kept):
+        for f in _kept:
+            f.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)

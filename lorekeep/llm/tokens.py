@@ -15,13 +15,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from lorekeep.llm.shared import kept_by_worker
+
 VOCABULARY = "byte_bpe_50k.json"
 MARK = "\0"
 #: Two white-space characters in a row (a border may lie inside the run), or the mark.
@@ -127,9 +128,9 @@ def cut(texts: pa.Array, specials: list[str]) -> tuple[pa.Array, np.ndarray]:
     return flat.take(pa.array(spans(starts, all_counts))), all_counts
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
-    """A function from texts (null: empty) to their ids; one per worker."""
+    """A function from texts (null: empty) to their ids; one per worker, until it turns to other work."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache = Cache(path, plain_specials)
 
