@@ -6,9 +6,10 @@ pairs at a similarity of 0.8 it finds few (ten bits differ in the mean), and key
 for ten bits would be too many, so minimum hashes complete it: BANDS keys of ROWS
 of them each name the buckets of a node; a pair of similarity 0.8 shares a bucket
 with probability 0.9998. Inside a bucket the minimum hashes themselves (a sketch of 16
-or 8 bits each) are compared with numpy: first every node with one centre of its bucket,
-for STARS choices of the centre, then along a spanning forest of the closest sketches, then
-all nodes that are still in different components, crowded buckets in tiles. Only pairs whose sketches agree in `least` less
+or 8 bits each) are compared with numpy: first every node with one centre of its bucket, then
+along a spanning forest of the closest sketches, then all nodes that are still in different
+components, crowded buckets in tiles. Every such step links the components of those before, not
+their nodes anew, and its tables go once its links are found. Only pairs whose sketches agree in `least` less
 SLACK (three deviations: 0.999 of the pairs at the limit) leave a task, and a link is
 such a pair whose sets have a Jaccard similarity of `least` or more, measured on the
 sets themselves (as 64-bit hashes) in a join. So all pairs of a bucket are either
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import simhash
 from lorekeep.llm.components import components
-from lorekeep.llm.shared import forget, small_batches, stored
+from lorekeep.llm.shared import cleared, forget, new_path, small_batches, stored
 
-BANDS, ROWS, STARS, SEED = 16, 4, 3, 42
+BANDS, ROWS, SEED = 16, 4, 42
 #: Differing bits of the SimHash candidates, and the blocks that fingerprints are cut into.
 RADIUS, BLOCKS = 4, 7
 #: What a sketch may lack of a similarity; nodes of a bucket in a tile.
@@ -126,17 +127,18 @@ def _sets(size: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+    """(a, b), the components of u and v, of the pairs (u, v, a, b) whose sets are similar enough."""
     pairs = stored(pairs.distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     sets = sets.join(F.broadcast(asked) if pairs.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("held").alias("held_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("held").alias("held_u")), "u")
     shared = F.size(F.array_intersect("held_u", "held_v"))
     # shared / union >= least; the margin is for the rounding of `least` alone
-    return both.where(shared >= least * (F.size("held_u") + F.size("held_v") - shared) - 1e-9).select("u", "v")
+    return both.where(shared >= least * (F.size("held_u") + F.size("held_v") - shared) - 1e-9).select("a", "b")
 
 
-FOREST = -1
+#: Steps within the buckets: with one node, along a spanning forest, all pairs.
+STAR, FOREST, ALL = range(3)
 
 
 def _forest(keyed: np.ndarray, others: np.ndarray, n: np.ndarray, least: float, agree: int) -> Iterator[tuple[int, int]]:
@@ -154,8 +156,12 @@ def _forest(keyed: np.ndarray, others: np.ndarray, n: np.ndarray, least: float,
         left = left[left != at]
 
 
-def _compare(star: int | None, least: float):
-    """Rows (key, tile, node, n, root, sketch, band) sorted by (key, tile) to candidates (u, v) of different roots: with one node of the group (`star`), along a spanning forest (FOREST), or all."""
+def _compare(step: int, least: float):
+    """Rows (key, tile, node, n, root, sketch, band) sorted by (key, tile) to candidates (u, v, a, b) of different roots a and b: with one node of the group (STAR), along a spanning forest (FOREST), or ALL."""
+
+    def pairs(node: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], names=["u", "v", "a", "b"])
 
     def group(columns: list) -> Iterator[pa.RecordBatch]:
         node, n, root = (c.to_numpy() for c in columns[2:5])
@@ -165,28 +171,27 @@ def _compare(star: int | None, least: float):
         keyed, others = sketches(columns[5].to_pylist())
         agree = int(np.ceil((least - SLACK) * SKETCH))
         order = range(len(node) - 1)
-        if star == FOREST:
+        if step == FOREST:
             edges = np.array([e for e in _forest(keyed, others, n, least, agree) if root[e[0]] != root[e[1]]], np.int64).reshape(-1, 2)
             if len(edges):
-                a, b = node[edges[:, 0]], node[edges[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+                yield pairs(node, root, edges[:, 0], edges[:, 1])
             return
-        if star is not None:
-            order = [int(np.argmin((node.view(np.uint64) ^ ADD[star]) * FACTOR[star]))]
+        if step == STAR:
+            order = [int(np.argmin((node.view(np.uint64) ^ ADD[0]) * FACTOR[0]))]
         for i in order:
             at = np.flatnonzero(root != root[i])
-            at = at if star is not None else at[at > i]
+            at = at if step == STAR else at[at > i]
             low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
             at = at[low >= least * high - 1e-9]
             same = keyed[at] == keyed[i]
             close = same.sum(axis=1) + (others[at] == others[i]).sum(axis=1) >= agree
-            if star is None:
+            if step == ALL:
                 # a pair leaves the first of the buckets that it shares, and no other
                 shared = same.reshape(len(at), BANDS, ROWS).all(axis=2)
                 close &= shared.argmax(axis=1) == band
             at = at[close]
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[at], node[i])), pa.array(np.minimum(node[at], node[i]))], names=["u", "v"])
+                yield pairs(node, root, at, np.full(len(at), i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -204,23 +209,32 @@ def _compare(star: int | None, least: float):
     return run
 
 
+def _joined(root: DataFrame | None, pairs: DataFrame, sets: DataFrame, least: float, path: str | None = None) -> DataFrame | None:
+    """`root` (node, root) once the components that the pairs link are one; written to `path`, or as it was when they link none."""
+    new = stored(_verified(pairs, sets, least), "links")
+    if new.isEmpty():
+        return root
+    moved = components(new.toDF("u", "v"))
+    if root is not None:
+        moved = stored(moved, "moved").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        # a root that was alone before has no row of its own yet
+        moved = root.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(moved.select(F.col("root").alias("node"), F.col("to").alias("root"))).distinct()
+    return stored(moved, "roots", path)
+
+
 def links(rows: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> DataFrame:
     """(node, root) of every linked node, from bucket rows (key, band, node, n, sketch), the sets (node, held) of their nodes, and the candidates (u, v)."""
-    found = root = None
-    new = stored(_verified(near, sets, least), "links")
-    if not new.isEmpty():
-        found, root = new, stored(components(new), "roots")
-    for star in [*range(STARS), FOREST, None]:
-        placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        placed = stored(placed.join(mixed, "key", "left_semi").select("key", "band", "node", "n", "root", "sketch"), "placed")
-        dealt = simhash.tiled(placed, ["key"], "node", TILE).select("key", "tile", "node", "n", "root", "sketch", "band")
-        pairs = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(star, least), "u long, v long")
-        new = stored(_verified(pairs, sets, least), "links")
-        if new.isEmpty():
-            continue
-        found = new if found is None else found.union(new)
-        root = stored(components(found), "roots")
+    spark = rows.sparkSession
+    root = _joined(None, near.select("u", "v", F.col("u").alias("a"), F.col("v").alias("b")), sets, least)
+    for step in (STAR, FOREST, ALL):
+        at = new_path(spark, "roots")
+        with cleared(spark):
+            placed = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            placed = stored(placed.join(mixed, "key", "left_semi").select("key", "band", "node", "n", "root", "sketch"), "placed")
+            dealt = simhash.tiled(placed, ["key"], "node", TILE).select("key", "tile", "node", "n", "root", "sketch", "band")
+            pairs = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(step, least), "u long, v long, a long, b long")
+            root = _joined(root, pairs, sets, least, at)
     return rows.select("node", F.col("node").alias("root")).limit(0) if root is None else root
 
 

@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-from lorekeep.shared import new_path, shared_dir, stored
+from lorekeep.shared import cleared, drop, new_path, shared_dir, stored
 
-__all__ = ["forget", "kept_by_worker", "new_path", "open_fs", "partitions", "shared_dir", "small_batches", "stored"]
+__all__ = ["cleared", "drop", "forget", "kept_by_worker", "new_path", "open_fs", "partitions", "shared_dir", "small_batches", "stored"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

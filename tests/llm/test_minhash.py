@@ -5,7 +5,8 @@ import re
 from itertools import combinations
 
 import corpus_pipeline
-from lorekeep.llm import minhash
+from lorekeep import shared
+from lorekeep.llm import components, minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +85,36 @@ def test_stages_take_null_and_repeated_ids(spark, words):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()), key=str)
     assert got == sorted([(None, a), (3, b), (4, c), (4, c)], key=str)
+
+
+def test_steps_link_components_and_keep_one_table_of_edges(spark, words, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for k in range(60):  # a cloud of copies that no single step links
+        copy = list(base)
+        for j in rng.sample(range(120), rng.randint(0, 6)):
+            copy[j] = f"w{k}x{j}"
+        texts.append(" ".join(copy))
+    runs = []
+
+    def seen(edges):
+        out = components.components(edges)
+        ends = {x for r in edges.collect() for x in (r.u, r.v)}
+        runs.append((ends, {r.node: r.root for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(minhash, "components", seen)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(brute_roots([grams(t) for t in texts]))) and 2 <= len(runs) <= 4
+    for i, (ends, _) in enumerate(runs):  # a node that has been linked to a smaller one does not come again
+        assert not ends & {node for _, root in runs[:i] for node, r in root.items() if node != r}
+
+
+def test_rounds_replace_each_other(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    before = len(shared._made)
+    out = components.components(chain)
+    assert {r.root for r in out.collect()} == {0} and out.count() == 41
+    assert len([p for p in shared._made[before:] if "/edges-" in p]) == 1
