@@ -16,3 +16,6 @@ def test_equal_scores_rank_by_stem_whatever_the_order_of_their_sums(spark):
     assert rows.where("stem = 'a'").first().lex < rows.where("stem = 'b'").first().lex
     best = {r.stem: r.score for r in retrieval.rrf([(rows, "lex", 1.0)]).collect()}
     assert best["a"] > best["b"]
+    docs = spark.createDataFrame([("s", x, 1) for x in "abc"], "scope string, stem string, recurrence int")
+    q = spark.createDataFrame([(1, "s")], "qid int, scope string")
+    assert [r.stem for r in retrieval.prefilter(q, docs, 1, rows).collect()] == ["a"]
