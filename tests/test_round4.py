@@ -19,3 +19,11 @@ def test_equal_scores_rank_by_stem_whatever_the_order_of_their_sums(spark):
     docs = spark.createDataFrame([("s", x, 1) for x in "abc"], "scope string, stem string, recurrence int")
     q = spark.createDataFrame([(1, "s")], "qid int, scope string")
     assert [r.stem for r in retrieval.prefilter(q, docs, 1, rows).collect()] == ["a"]
+
+
+def test_retrieve_without_a_limit_ranks_every_candidate(spark):
+    docs = spark.createDataFrame([("s", f"n{i:03}", f"alpha word{i}" if i < 9 else "nothing", [1.0, 0.0] if i == 99 else [0.0, 1.0], "pattern", 1 + i % 4) for i in range(100)], "scope string, stem string, body string, vec array<double>, ntype string, recurrence int")
+    docs = docs.selectExpr("*", "date'2024-12-31' AS date", "false AS resolved", "cast(null as double) AS confidence", "body AS text")
+    q = spark.createDataFrame([(1, "s", "alpha word3", [1.0, 0.0])], "qid int, scope string, text string, qvec array<double>")
+    got = lambda limit: {r.stem for r in retrieval.retrieve(q, docs, 10, "2025-01-01", limit).collect() if r.mode == "fused"}
+    assert "n099" in got(None) and "n099" not in got(9)
