@@ -8,6 +8,7 @@ from lorekeep.fixtures import AS_OF, Tables
 from lorekeep.functions import numbers
 from lorekeep.operators import evaluation as ev
 from lorekeep.operators import retrieval as r
+from lorekeep.operators import similarity
 from lorekeep.plans.q_retrieval import ALL, docs, mm, queries, rounded
 from lorekeep.plans.registry import query
 from lorekeep.shared import stored
@@ -31,11 +32,8 @@ def eval_ndcg(t):
 
 @query(", sm AS (SELECT a.stem, b.stem AS other, list_cosine_similarity(a.vec, b.vec) AS sim FROM n a JOIN n b ON a.project = b.project AND a.stem <> b.stem WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL), lk AS (SELECT stem, target AS other FROM nl), rk AS (SELECT stem, other, row_number() OVER (PARTITION BY stem ORDER BY round(sim, 9) DESC, other) AS rank FROM sm) SELECT count(*) AS questions, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5 FROM rk JOIN lk USING (stem, other)")
 def eval_leave_one_out(t):
-    v = t.plain_notes.join(t.vectors, "doc_id").select("project", "stem", "vec")
-    pairs = v.join(v.select("project", F.col("stem").alias("other"), F.col("vec").alias("ov")), "project").where("stem <> other")
-    sims = pairs.select("stem", "other", F.round(numbers.cosine("vec", "ov"), 9).alias("sim"))
-    best = r.top(sims, ["stem"], [F.desc("sim"), "other"], 1 << 30)
-    hit = best.join(t.links.select("stem", F.col("target").alias("other")), ["stem", "other"])
+    v = stored(t.plain_notes.join(t.vectors, "doc_id").select("project", "stem", "vec"), "vectors")
+    hit = similarity.link_ranks(v, t.links, ["project"])
     return hit.agg(F.count("*").alias("questions"), ev.share(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0), "recall_5"))
 
 
