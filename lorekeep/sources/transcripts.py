@@ -124,9 +124,10 @@ def backlog(files: DataFrame, processed: DataFrame, now: int, settle: int = SETT
 def context_entries(journals: DataFrame, key: str = "project") -> DataFrame:
     """Head (entry 0) and dated entries of a journal (key, text), cut before each "## YYYY-MM-DD" line."""
     parts = F.split("text", r"(?m)(?=^## \d{4}-\d{2}-\d{2})")
-    has_head = ~F.col("text").rlike(r"^## \d{4}-\d{2}-\d{2}")
-    cut = journals.select(key, F.posexplode(parts).alias("pos", "entry"), has_head.alias("headed"))
-    return cut.select(key, F.when(F.col("headed"), F.col("pos")).otherwise(F.col("pos") + 1).alias("entry_no"), F.regexp_extract("entry", r"^## (\d{4}-\d{2}-\d{2})", 1).alias("day"), "entry")
+    # settled inside the generator's input, once a journal: beside it, every entry would ask the whole text again
+    numbered = F.when(F.col("text").rlike(r"^## \d{4}-\d{2}-\d{2}"), F.concat(F.array(F.lit(None).cast("string")), parts)).otherwise(parts)
+    cut = journals.select(key, F.posexplode(numbered).alias("entry_no", "entry")).where("entry IS NOT NULL")
+    return cut.select(key, "entry_no", F.regexp_extract("entry", r"^## (\d{4}-\d{2}-\d{2})", 1).alias("day"), "entry")
 
 
 def first_in_order(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 from lorekeep import shared
 from lorekeep.functions import flags
 from lorekeep.operators import active, evaluation, retrieval, similarity
+from lorekeep.sources import transcripts
 
 
 def test_negation_is_a_word(spark):
@@ -93,3 +94,15 @@ def test_bandit_streams_its_rounds(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert [w[:2] for w in whole] == [(0, 50), (1, 50)] and 0 < whole[0][2] < 1
+
+
+def test_entries_of_long_journals_are_cut_in_one_pass(spark):
+    rows = [("a", 3000, ""), ("b", 3000, "head\n"), ("c", 0, "head only"), ("d", 1, "")]
+    text = lambda n, head: head + "".join(f"## 2024-01-{i % 28 + 1:02}\n{'x' * 400} {i}\n" for i in range(n))
+    df = spark.createDataFrame([(k, text(n, head)) for k, n, head in rows], "project string, text string")
+    out = transcripts.context_entries(df)
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "text" not in above and "RLIKE" not in above.upper()
+    got = {(r.project, r.entry_no): (r.day, r.entry) for r in out.collect()}
+    assert len(got) == 6003 and got["b", 0] == ("", "head\n") and got["c", 0] == ("", "head only") and ("a", 0) not in got
+    assert got["a", 1][0] == "2024-01-01" and got["a", 3000][1].endswith(" 2999\n") and got["d", 1][0] == "2024-01-01"
