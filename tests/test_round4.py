@@ -5,6 +5,7 @@ import numpy as np
 from lorekeep import shared
 from lorekeep.functions import flags
 from lorekeep.operators import active, evaluation, retrieval, similarity
+from lorekeep.plans import QUERIES, q_similarity
 from lorekeep.sources import transcripts
 
 
@@ -106,3 +107,9 @@ def test_entries_of_long_journals_are_cut_in_one_pass(spark):
     got = {(r.project, r.entry_no): (r.day, r.entry) for r in out.collect()}
     assert len(got) == 6003 and got["b", 0] == ("", "head\n") and got["c", 0] == ("", "head only") and ("a", 0) not in got
     assert got["a", 1][0] == "2024-01-01" and got["a", 3000][1].endswith(" 2999\n") and got["d", 1][0] == "2024-01-01"
+
+
+def test_twin_fit_makes_its_features_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(q_similarity, "stored", lambda df, name: made.append(name) or shared.stored(df, name))
+    assert QUERIES["twin_fit"](spark, "/root/testdata/sf0.001").count() == 1 and made == ["labelled"]
